@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from strandweave.llm.bpe import op5_bpe_encode_decode
+from strandweave.llm.line_dedup import op9_line_dedup
 from strandweave.llm.packing import op2_packing
 from strandweave.llm.simhash import op6_simhash_near_dedup
 from strandweave.llm.token_counts import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_bpe_encode_decode, op6_simhash_near_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_packing, op5_bpe_encode_decode, op6_simhash_near_dedup, op9_line_dedup, op10_token_counts)}
 ORACLES: dict[str, str] = {}
