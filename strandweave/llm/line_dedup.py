@@ -95,6 +95,21 @@ def within_one_word(a: str, b: str) -> Column:
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, max_words: int = 256) -> DataFrame:
     """(doc_id, doc_key, text, new_text, n_units, n_exact, n_near) of each row: its text without the units that go, and how many went as equal to or near an earlier one."""
+    left = _left(docs, _keyed(docs), min_words, max_words)
+    return left.select("doc_id", "doc_key", "text", "new_text", "n_units", "n_exact", "n_near")
+
+
+def rewrite(docs: DataFrame, min_words: int = 5, max_words: int = 256) -> DataFrame:
+    """The rows of docs with their columns, text without the units that go, n_chars (if there) as its new length."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("doc_key", F.xxhash64("text"))
+    left = _left(docs, whole, min_words, max_words)
+    new = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return left.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
+def _left(docs: DataFrame, rows: DataFrame, min_words: int, max_words: int) -> DataFrame:
+    """rows (with doc_id, doc_key and text of docs) with new_text and counts."""
     keyed = _keyed(docs)
     distinct = stored(earliest_units(_units(keyed, min_words, max_words)), "lines-distinct")
     near = stored(candidates(distinct), "lines-candidates")
@@ -107,7 +122,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, max_words: int = 256) -> Da
     firsts = distinct.select(F.col("first").alias("place")).join(gone, "place", "left")
     marks = firsts.groupBy(F.col("place.doc_id").alias("m_id"), F.col("place.doc_key").alias("m_key")).agg(
         F.collect_list(F.when(F.col("near").isNull(), F.col("place.k"))).alias("kept"), F.count("near").alias("n_near"))
-    joined = keyed.join(marks, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("doc_key") == F.col("m_key")), "left")
+    joined = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("doc_key") == F.col("m_key")), "left")
 
     units = joined.withColumn("units", F.expr(_UNITS.format(w=max_words)))
     long_enough = f"length(u.body) - length(replace(u.body, ' ', '')) + 1 >= {min_words}"
@@ -116,7 +131,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, max_words: int = 256) -> Da
     left = units.withColumn("left", F.expr("transform(array_except(sequence(0, size(units) - 1), gone), i -> units[i])"))
     whole = F.expr("array_join(transform(left, (u, i) -> concat(if(i = 0, '', if(u.line = left[i - 1].line, ' ', '\\n')), u.body)), '')")
     n_near = F.coalesce("n_near", F.lit(0))
-    return left.select("doc_id", "doc_key", "text", whole.alias("new_text"), F.size("able").cast("long").alias("n_units"), (F.size("gone") - n_near).alias("n_exact"), n_near.alias("n_near"))
+    return left.select(*rows.columns, whole.alias("new_text"), F.size("able").cast("long").alias("n_units"), (F.size("gone") - n_near).alias("n_exact"), n_near.alias("n_near"))
 
 
 def op9_line_dedup(spark, sf_dir):

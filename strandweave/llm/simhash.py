@@ -95,6 +95,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, crowded: int = 64) -> DataF
     return fps.join(by_fp, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, words: int = 3, crowded: int = 64) -> DataFrame:
+    """The rows of docs, all columns as they are, of which each component's smallest doc_id stays, once."""
+    first = near_duplicates(docs, words, crowded).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    return docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_first"))).drop("_first").dropDuplicates(["doc_id"])
+
+
 def op6_simhash_near_dedup(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
