@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandweave.plans import interval_queries, robust_queries, window_queries
+from strandweave.plans import interval_queries, robust_queries, similarity_queries, window_queries
 
-MODULES = (robust_queries, interval_queries, window_queries)
+MODULES = (robust_queries, interval_queries, window_queries, similarity_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLES.items()}
