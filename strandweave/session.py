@@ -14,6 +14,6 @@ def session(name: str = "strandweave", **settings: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
-    for k, v in (defaults | {k.replace("_", "."): v for k, v in settings.items()}).items():
+    for k, v in (defaults | {k.replace("_", "."): str(v) for k, v in settings.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
