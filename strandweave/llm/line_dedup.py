@@ -8,7 +8,7 @@ units always stay. Removal of a line's every unit removes the line; a document m
 1. Equal units meet by two 64-bit hashes; the earliest stands for all. Four keys ride along: the hashes of
    the unit's first and second half, and of the halves it would have with one word less.
 2. Units within one edit share one of those half keys (the edit falls into one half only), so units that share none
-   are done; for most text that is nearly all.
+   are done; for most text that is nearly all. Sieves of a fixed size keep what can't match out of the shuffles.
 3. The rest emit their deletion neighbourhood: the hash of the unit and of each variant with a word
    left out, with the place. Units that share a variant and the place differ in that word; one that equals a
    variant of another has a word less. Groups are reduced to their earliest unit, never paired up.
@@ -34,34 +34,48 @@ _UNITS = (
 )
 
 
+#: Bits of a sieve: 2,048 rows of 4 KB, so its broadcast is 8 MB whatever the input; when it fills up it lets more through, and the join after it decides.
+SIEVE_BITS = 1 << 26
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).withColumn("doc_key", F.xxhash64("text"))
 
 
 def _units(docs: DataFrame, min_words: int, max_words: int) -> DataFrame:
-    """(doc_id, doc_key, k, w): the removable units, with their words."""
+    """(doc_id, doc_key, k, body, n): the removable units, with their number of words."""
     all_units = docs.select("doc_id", "doc_key", F.posexplode(F.expr(_UNITS.format(w=max_words))).alias("k", "u"))
-    return all_units.select("doc_id", "doc_key", "k", F.split("u.body", " ", -1).alias("w")).filter(F.size("w") >= min_words)
+    n = F.length("u.body") - F.length(F.replace("u.body", F.lit(" "), F.lit(""))) + 1
+    return all_units.select("doc_id", "doc_key", "k", "u.body", n.alias("n")).filter(F.col("n") >= min_words)
 
 
 def _half_keys() -> Column:
-    n, m = "size(w)", "(size(w) - 1)"
-    start = "xxhash64(0, {n}, slice(w, 1, {n} div 2))"
-    end = "xxhash64(1, {n}, slice(w, size(w) - {n} + {n} div 2 + 1, {n} - {n} div 2))"
-    return F.expr("array(" + ", ".join(x.format(n=size) for size in (n, m) for x in (start, end)) + ")")
+    start = "xxhash64(0, {n}, substring_index(body, ' ', {n} div 2))"
+    end = "xxhash64(1, {n}, substring_index(body, ' ', {n} div 2 - {n}))"
+    return F.expr("array(" + ", ".join(x.format(n=size) for size in ("n", "(n - 1)") for x in (start, end)) + ")")
 
 
 def earliest_units(units: DataFrame) -> DataFrame:
     """(h1, h2, first, keys): each different unit, its earliest place, its half keys."""
-    hashed = units.select(F.xxhash64("w").alias("h1"), F.xxhash64(F.array_join("w", " "), F.size("w")).alias("h2"), F.struct("doc_id", "doc_key", "k").alias("place"), _half_keys().alias("keys"))
+    hashed = units.select(F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "n", "body").alias("h2"), F.struct("doc_id", "doc_key", "k").alias("place"), _half_keys().alias("keys"))
     return hashed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("keys").alias("keys"))
 
 
+def _sieved(rows: DataFrame, kept: DataFrame, key: Column, kept_key: Column) -> DataFrame:
+    """The rows whose key may be one of kept's: none of those is lost, nearly all others are, before any shuffle of rows."""
+    at = lambda k: F.pmod(F.xxhash64(k, F.lit(3)), F.lit(SIEVE_BITS))
+    bits = kept.select(at(kept_key).alias("at")).groupBy(F.expr("at div 32768").alias("_part")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("_bits"))
+    rows = rows.withColumn("_at", at(key)).withColumn("_part", F.expr("_at div 32768")).withColumn("_at", (F.col("_at") % 32768).cast("int"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, _at div 8 + 1, 1)")), 16, 10).cast("int")
+    is_set = F.expr("shiftright(_byte, _at % 8) & 1") == 1
+    return rows.join(F.broadcast(bits), "_part").withColumn("_byte", byte).filter(is_set).drop("_part", "_at", "_bits", "_byte")
+
+
 def candidates(distinct: DataFrame) -> DataFrame:
     """(doc_id, doc_key, k) of the different units that share a half key with another."""
     keys = distinct.select("first", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    return keys.join(shared, "key").select("first.doc_id", "first.doc_key", "first.k").distinct()
+    shared = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "lines-shared")
+    return _sieved(keys, shared, F.col("key"), F.col("key")).join(shared, "key").select("first.doc_id", "first.doc_key", "first.k").distinct()
 
 
 def near_units(words: DataFrame) -> DataFrame:
@@ -113,24 +127,28 @@ def _left(docs: DataFrame, rows: DataFrame, min_words: int, max_words: int) -> D
     keyed = _keyed(docs)
     distinct = stored(earliest_units(_units(keyed, min_words, max_words)), "lines-distinct")
     near = stored(candidates(distinct), "lines-candidates")
+    place = [F.col(c) for c in ("doc_id", "doc_key", "k")]
+    found = _sieved(_units(keyed, min_words, max_words), near, F.xxhash64(*place), F.xxhash64(*place))
     c = near.select(F.col("doc_id").alias("c_id"), F.col("doc_key").alias("c_key"), F.col("k").alias("c_k"))
+    found = found.join(c, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("doc_key") == F.col("c_key")) & (F.col("k") == F.col("c_k")))
     # places repeat where rows do: one row of each is enough
-    found = _units(keyed, min_words, max_words).join(c, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("doc_key") == F.col("c_key")) & (F.col("k") == F.col("c_k")))
-    words = found.groupBy(F.struct("doc_id", "doc_key", "k").alias("place")).agg(F.first("w").alias("w"))
-    gone = stored(near_units(stored(words, "lines-words")), "lines-near").withColumn("near", F.lit(True))
+    words = found.groupBy(F.struct(*place).alias("place")).agg(F.first("body").alias("body")).select("place", F.split("body", " ", -1).alias("w"))
+    gone = stored(near_units(stored(words, "lines-words")), "lines-near")
 
-    firsts = distinct.select(F.col("first").alias("place")).join(gone, "place", "left")
-    marks = firsts.groupBy(F.col("place.doc_id").alias("m_id"), F.col("place.doc_key").alias("m_key")).agg(
-        F.collect_list(F.when(F.col("near").isNull(), F.col("place.k"))).alias("kept"), F.count("near").alias("n_near"))
-    joined = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("doc_key") == F.col("m_key")), "left")
+    by_doc = lambda rows, ks: rows.groupBy(F.col("place.doc_id").alias(f"{ks}_id"), F.col("place.doc_key").alias(f"{ks}_key")).agg(F.collect_list("place.k").alias(ks))
+    joined = rows
+    for marks, ks in ((distinct.select(F.col("first").alias("place")), "first_ks"), (gone, "near_ks")):
+        joined = joined.join(by_doc(marks, ks), F.col("doc_id").eqNullSafe(F.col(f"{ks}_id")) & (F.col("doc_key") == F.col(f"{ks}_key")), "left")
+    none = F.expr("cast(array() as array<int>)")
+    joined = joined.withColumn("near_ks", F.coalesce("near_ks", none)).withColumn("kept", F.array_except(F.coalesce("first_ks", none), "near_ks"))
 
     units = joined.withColumn("units", F.expr(_UNITS.format(w=max_words)))
     long_enough = f"length(u.body) - length(replace(u.body, ' ', '')) + 1 >= {min_words}"
     can_go = f"transform(filter(transform(units, (u, i) -> struct(i as i, {long_enough} as c)), x -> x.c), x -> x.i)"
-    units = units.withColumn("able", F.expr(can_go)).withColumn("gone", F.expr("array_except(able, coalesce(kept, cast(array() as array<int>)))"))
+    units = units.withColumn("able", F.expr(can_go)).withColumn("gone", F.expr("array_except(able, kept)"))
     left = units.withColumn("left", F.expr("transform(array_except(sequence(0, size(units) - 1), gone), i -> units[i])"))
     whole = F.expr("array_join(transform(left, (u, i) -> concat(if(i = 0, '', if(u.line = left[i - 1].line, ' ', '\\n')), u.body)), '')")
-    n_near = F.coalesce("n_near", F.lit(0))
+    n_near = F.size("near_ks").cast("long")
     return left.select(*rows.columns, whole.alias("new_text"), F.size("able").cast("long").alias("n_units"), (F.size("gone") - n_near).alias("n_exact"), n_near.alias("n_near"))
 
 
