@@ -18,6 +18,7 @@ from strandweave.operators import kernels as K
 from strandweave.operators.intervals import interpolated
 from strandweave.operators.similarity import assigned_cosine, best_separated
 from strandweave.operators.windows import chain_density
+from strandweave.session import materialised
 
 
 def by_series(df: DataFrame, keys: Sequence[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -45,7 +46,11 @@ def monotone_chain(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def coarse_offsets(dub: DataFrame, ref: DataFrame, keys: Sequence[str], least: int = 5, **rule) -> DataFrame:
     """(keys, dub, off): for each dub frame the offset to ref of the longest chain of separated matches, interpolated and cut to a whole number; 0 for pairs with fewer than `least`."""
-    chain = monotone_chain(best_separated(dub, ref, keys, **rule).select(*keys, "dub", "ref"), keys)
+    return chain_offsets(monotone_chain(best_separated(dub, ref, keys, **rule).select(*keys, "dub", "ref"), keys), dub, keys, least)
+
+
+def chain_offsets(chain: DataFrame, dub: DataFrame, keys: Sequence[str], least: int = 5) -> DataFrame:
+    """coarse_offsets of a chain (keys, dub, ref) that is there."""
     enough = chain.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).drop("_n")
     knots = chain.join(enough, list(keys)).select(*keys, F.col("dub").alias("kt"), (F.col("ref") - F.col("dub")).alias("kv"))
     got = interpolated(dub.select(*keys, F.col("frame").alias("dub")), knots, keys, "dub", out="off")
@@ -137,11 +142,10 @@ def align_chunks(dub: DataFrame, ref: DataFrame, offsets: DataFrame, keys: Seque
 
 def align(dub: DataFrame, ref: DataFrame, keys: Sequence[str], thin: int = 8, **how) -> DataFrame:
     """(keys, dub, ref, cos) of whole pairs: coarse offsets, chain density as protection, then align_chunks; cos is null where dropped."""
-    pairs = best_separated(dub, ref, keys, thin=thin)
-    chain = monotone_chain(pairs.select(*keys, "dub", "ref"), keys)
-    off = coarse_offsets(dub, ref, keys, thin=thin)
+    chain = materialised(monotone_chain(best_separated(dub, ref, keys, thin=thin).select(*keys, "dub", "ref"), keys))
+    off = chain_offsets(chain, dub, keys)
     dense = chain_density(chain.select(*keys, F.col("dub").alias("i"), (F.col("ref") - F.col("dub")).alias("off")), dub.select(*keys, F.col("frame").alias("i")), keys)
-    match = align_chunks(dub, ref, off, keys, dense, **how)
+    match = materialised(align_chunks(dub, ref, off, keys, dense, **how))
     cos = assigned_cosine(match, dub, ref, keys).select(*keys, "dub", "cos")
     return match.join(cos, [*keys, "dub"], "left")
 

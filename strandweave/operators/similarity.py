@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.vector import cosine
+from strandweave.session import materialised
 
 BLOCK = 2048
 
@@ -52,6 +53,7 @@ def best_separated(dub: DataFrame, ref: DataFrame, keys: Sequence[str], thin: in
     d = pack(dub).select(*keys, F.col("block").alias("d_block"), F.col("frames").alias("d_frames"), F.col("vecs").alias("d_vecs"), "dim")
     r = pack(ref).select(*keys, F.col("block").alias("r_block"), F.col("frames").alias("r_frames"), F.col("vecs").alias("r_vecs"))
     kinds = ", ".join(f"{k} {dub.schema[k].dataType.simpleString()}" for k in keys)
+    d, r = materialised(d), materialised(r)
     met = d.join(r, keys).repartition(*keys, "d_block", "r_block")
 
     def first(batches):
@@ -65,7 +67,7 @@ def best_separated(dub: DataFrame, ref: DataFrame, keys: Sequence[str], thin: in
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(di), pa.array(ri[k]), pa.array(c[np.arange(len(di)), k])], names=[*keys, "d_block", "dub", "ref", "cos"])
 
     order = Window.partitionBy(*keys, "dub").orderBy(F.desc("cos"), "ref")
-    best = met.mapInArrow(first, f"{kinds}, d_block long, dub long, ref long, cos double").withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    best = materialised(met.mapInArrow(first, f"{kinds}, d_block long, dub long, ref long, cos double").withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r"))
     centres = best.groupBy(*keys, "d_block").agg(F.sort_array(F.collect_list(F.struct("dub", "ref"))).alias("centres"))
 
     def second(batches):

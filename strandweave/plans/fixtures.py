@@ -82,3 +82,5 @@ WMED_SQL = """
 def wmed_sql(name: str, source: str, keys: str, v: str, w: str, out: str) -> str:
     """Common table expressions that leave (keys, out) under name."""
     return WMED_SQL.format(name=name, source=source, keys=keys, v=v, w=w, out=out)
+
+AE_SQL = anchors_sql("event_type")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "strandweave", **settings: str) -> SparkSession:
@@ -17,3 +19,21 @@ def session(name: str = "strandweave", **settings: str) -> SparkSession:
     for k, v in (defaults | {k.replace("_", "."): str(v) for k, v in settings.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; in local sessions without that setting, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared)
+    return shared
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df, computed once and read from the shared folder from here on: what several later steps use isn't computed for each, and lost executors cost no more than a step."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
