@@ -26,14 +26,13 @@ from pyspark.sql import functions as F
 
 from strandweave.llm.common import id_and_text, stored, table
 
-#: Of all units of a text: (line, text, unit) with unit telling whether it can be removed.
+#: The units of a text in order: (line, body, n): which line, the words, how many. Only lines of more than {w} words are split to words.
 _UNITS = (
-    "flatten(transform(split(text, '\\n', -1), (x, i) -> if(length(x) < {w}, "
-    "array(struct(i as line, x as body)), "
-    "transform(sequence(0, (size(split(x, ' ', -1)) - 1) div {w}), p -> struct(i as line, array_join(slice(split(x, ' ', -1), p * {w} + 1, {w}), ' ') as body)))))"
+    "flatten(transform(transform(split(text, '\\n', -1), (x, i) -> struct(i as line, x as body, length(x) - length(replace(x, ' ', '')) + 1 as n)), "
+    "u -> if(u.n <= {w}, array(u), transform(sequence(0, (u.n - 1) div {w}), "
+    "p -> struct(u.line as line, array_join(slice(split(u.body, ' ', -1), p * {w} + 1, {w}), ' ') as body, least({w}, u.n - p * {w}) as n)))))"
 )
 
-
 #: Bits of a sieve: 2,048 rows of 4 KB, so its broadcast is 8 MB whatever the input; when it fills up it lets more through, and the join after it decides.
 SIEVE_BITS = 1 << 26
 
@@ -45,8 +44,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _units(docs: DataFrame, min_words: int, max_words: int) -> DataFrame:
     """(doc_id, doc_key, k, body, n): the removable units, with their number of words."""
     all_units = docs.select("doc_id", "doc_key", F.posexplode(F.expr(_UNITS.format(w=max_words))).alias("k", "u"))
-    n = F.length("u.body") - F.length(F.replace("u.body", F.lit(" "), F.lit(""))) + 1
-    return all_units.select("doc_id", "doc_key", "k", "u.body", n.alias("n")).filter(F.col("n") >= min_words)
+    return all_units.select("doc_id", "doc_key", "k", "u.body", "u.n").filter(F.col("n") >= min_words)
 
 
 def _half_keys() -> Column:
@@ -79,10 +77,11 @@ def candidates(distinct: DataFrame) -> DataFrame:
 
 
 def near_units(words: DataFrame) -> DataFrame:
-    """(place) of the units of words (place, w; all different) that have an earlier one within one word."""
-    gone = F.expr("transform(sequence(1, size(w)), q -> struct(q as q, size(w) - 1 as m, xxhash64(concat(slice(w, 1, q - 1), slice(w, q + 1, size(w) - q))) as v))")
-    whole = F.expr("array(struct(0 as q, size(w) as m, xxhash64(w) as v))")
-    variants = stored(words.select("place", F.explode(F.concat(whole, gone)).alias("x")).select("place", "x.q", "x.m", "x.v"), "lines-variants")
+    """(place) of the units of words (place, body, n; all different) that have an earlier one within one word."""
+    rows = words.select("place", "body", "n", F.explode(F.sequence(F.lit(0), "n")).alias("q"))
+    without = F.expr("case when q = 1 then substring_index(body, ' ', 1 - n) when q = n then substring_index(body, ' ', n - 1) else concat(substring_index(body, ' ', q - 1), ' ', substring_index(body, ' ', q - n)) end")
+    size, text = F.when(F.col("q") == 0, F.col("n")).otherwise(F.col("n") - 1), F.when(F.col("q") == 0, F.col("body")).otherwise(without)
+    variants = stored(rows.select("place", "q", size.alias("m"), F.xxhash64(text).alias("v")), "lines-variants")
 
     by_place = variants.groupBy("v", "m", "q").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("n"))
     by_variant = by_place.groupBy("v", "m").agg(
@@ -95,7 +94,8 @@ def near_units(words: DataFrame) -> DataFrame:
     earlier = F.explode(F.when(F.col("q") == 0, F.array("any")).otherwise(F.array("least", "whole")))
     pairs = met.select("place", earlier.alias("other")).filter("other < place").distinct()
 
-    a, b = words.select("place", F.col("w").alias("wa")), words.select(F.col("place").alias("other"), F.col("w").alias("wb"))
+    w = F.split("body", " ", -1)
+    a, b = words.select("place", w.alias("wa")), words.select(F.col("place").alias("other"), w.alias("wb"))
     return pairs.join(a, "place").join(b, "other").filter(within_one_word("wa", "wb")).select("place").distinct()
 
 
@@ -116,10 +116,13 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, max_words: int = 256) -> Da
 def rewrite(docs: DataFrame, min_words: int = 5, max_words: int = 256) -> DataFrame:
     """The rows of docs with their columns, text without the units that go, n_chars (if there) as its new length."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("doc_key", F.xxhash64("text"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
+    whole = docs.select(F.struct(*rest).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("doc_key", F.xxhash64("text"))
     left = _left(docs, whole, min_words, max_words)
-    new = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return left.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+    new = {"text": F.col("new_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("new_text").cast(docs.schema["n_chars"].dataType)
+    return left.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def _left(docs: DataFrame, rows: DataFrame, min_words: int, max_words: int) -> DataFrame:
@@ -132,7 +135,7 @@ def _left(docs: DataFrame, rows: DataFrame, min_words: int, max_words: int) -> D
     c = near.select(F.col("doc_id").alias("c_id"), F.col("doc_key").alias("c_key"), F.col("k").alias("c_k"))
     found = found.join(c, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("doc_key") == F.col("c_key")) & (F.col("k") == F.col("c_k")))
     # places repeat where rows do: one row of each is enough
-    words = found.groupBy(F.struct(*place).alias("place")).agg(F.first("body").alias("body")).select("place", F.split("body", " ", -1).alias("w"))
+    words = found.groupBy(F.struct(*place).alias("place")).agg(F.first("body").alias("body"), F.first("n").alias("n"))
     gone = stored(near_units(stored(words, "lines-words")), "lines-near")
 
     by_doc = lambda rows, ks: rows.groupBy(F.col("place.doc_id").alias(f"{ks}_id"), F.col("place.doc_key").alias(f"{ks}_key")).agg(F.collect_list("place.k").alias(ks))
@@ -143,8 +146,7 @@ def _left(docs: DataFrame, rows: DataFrame, min_words: int, max_words: int) -> D
     joined = joined.withColumn("near_ks", F.coalesce("near_ks", none)).withColumn("kept", F.array_except(F.coalesce("first_ks", none), "near_ks"))
 
     units = joined.withColumn("units", F.expr(_UNITS.format(w=max_words)))
-    long_enough = f"length(u.body) - length(replace(u.body, ' ', '')) + 1 >= {min_words}"
-    can_go = f"transform(filter(transform(units, (u, i) -> struct(i as i, {long_enough} as c)), x -> x.c), x -> x.i)"
+    can_go = f"filter(transform(units, (u, i) -> if(u.n >= {min_words}, i, null)), i -> i is not null)"
     units = units.withColumn("able", F.expr(can_go)).withColumn("gone", F.expr("array_except(able, kept)"))
     left = units.withColumn("left", F.expr("transform(array_except(sequence(0, size(units) - 1), gone), i -> units[i])"))
     whole = F.expr("array_join(transform(left, (u, i) -> concat(if(i = 0, '', if(u.line = left[i - 1].line, ' ', '\\n')), u.body)), '')")
