@@ -82,6 +82,8 @@ def near_units(words: DataFrame) -> DataFrame:
     without = F.expr("case when q = 1 then substring_index(body, ' ', 1 - n) when q = n then substring_index(body, ' ', n - 1) else concat(substring_index(body, ' ', q - 1), ' ', substring_index(body, ' ', q - n)) end")
     size, text = F.when(F.col("q") == 0, F.col("n")).otherwise(F.col("n") - 1), F.when(F.col("q") == 0, F.col("body")).otherwise(without)
     variants = stored(rows.select("place", "q", size.alias("m"), F.xxhash64(text).alias("v")), "lines-variants")
+    shared = stored(variants.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("v"), "lines-shared-variants")
+    variants = stored(_sieved(variants, shared, F.col("v"), F.col("v")), "lines-met")
 
     by_place = variants.groupBy("v", "m", "q").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("n"))
     by_variant = by_place.groupBy("v", "m").agg(
