@@ -27,7 +27,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: lines equal or near to an earlier one go; every document stays, with what is left of it."""
-    return line_dedup.rewrite(docs)
+    return line_dedup.rewrite(docs, short_lines=True)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 The unit is a line of at least `min_words` words; a longer line than `max_words` words is cut to units of that
 many, so a line's work stays in proportion to its length. Words are what single spaces separate. The edit bound is one word: set, dropped or replaced.
-A unit goes if an earlier one (by doc_id, then place in the text) is equal or within the bound; shorter lines and
-units always stay. Removal of a line's every unit removes the line; a document may end up empty, but stays a row.
+A unit goes if an earlier one (by doc_id, then place in the text) is equal or within the bound. With `short_lines`, as the
+query and the pipeline have it, shorter ones that aren't empty go if an earlier one is equal (a word less or more would link
+different ones); else they always stay. Removal of a line's every unit removes the line; a document may end up empty, but stays a row.
 
 1. Equal units meet by two 64-bit hashes; the earliest stands for all. Four keys ride along: the hashes of
    the unit's first and second half, and of the halves it would have with one word less.
@@ -41,10 +42,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).withColumn("doc_key", F.xxhash64("text"))
 
 
-def _units(docs: DataFrame, min_words: int, max_words: int) -> DataFrame:
+def _able(min_words: int, short_lines: bool, of: str = "") -> str:
+    """Whether a unit can go."""
+    return f"({of}n >= {min_words}" + (f" or {of}body <> '')" if short_lines else ")")
+
+
+def _units(docs: DataFrame, min_words: int, max_words: int, short_lines: bool = False) -> DataFrame:
     """(doc_id, doc_key, k, body, n): the removable units, with their number of words."""
     all_units = docs.select("doc_id", "doc_key", F.posexplode(F.expr(_UNITS.format(w=max_words))).alias("k", "u"))
-    return all_units.select("doc_id", "doc_key", "k", "u.body", "u.n").filter(F.col("n") >= min_words)
+    return all_units.select("doc_id", "doc_key", "k", "u.body", "u.n").filter(_able(min_words, short_lines))
 
 
 def _half_keys() -> Column:
@@ -53,9 +59,9 @@ def _half_keys() -> Column:
     return F.expr("array(" + ", ".join(x.format(n=size) for size in ("n", "(n - 1)") for x in (start, end)) + ")")
 
 
-def earliest_units(units: DataFrame) -> DataFrame:
-    """(h1, h2, first, keys): each different unit, its earliest place, its half keys."""
-    hashed = units.select(F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "n", "body").alias("h2"), F.struct("doc_id", "doc_key", "k").alias("place"), _half_keys().alias("keys"))
+def earliest_units(units: DataFrame, min_words: int) -> DataFrame:
+    """(h1, h2, first, keys): each different unit, its earliest place, its half keys (null below min_words, where equality alone counts)."""
+    hashed = units.select(F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "n", "body").alias("h2"), F.struct("doc_id", "doc_key", "k").alias("place"), F.when(F.col("n") >= min_words, _half_keys()).alias("keys"))
     return hashed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("keys").alias("keys"))
 
 
@@ -109,28 +115,28 @@ def within_one_word(a: str, b: str) -> Column:
     return F.expr(f"abs(size({a}) - size({b})) <= 1 and ({start}) + ({end}) >= greatest(size({a}), size({b})) - 1")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, max_words: int = 256) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 5, max_words: int = 256, short_lines: bool = False) -> DataFrame:
     """(doc_id, doc_key, text, new_text, n_units, n_exact, n_near) of each row: its text without the units that go, and how many went as equal to or near an earlier one."""
-    left = _left(docs, _keyed(docs), min_words, max_words)
+    left = _left(docs, _keyed(docs), min_words, max_words, short_lines)
     return left.select("doc_id", "doc_key", "text", "new_text", "n_units", "n_exact", "n_near")
 
 
-def rewrite(docs: DataFrame, min_words: int = 5, max_words: int = 256) -> DataFrame:
+def rewrite(docs: DataFrame, min_words: int = 5, max_words: int = 256, short_lines: bool = False) -> DataFrame:
     """The rows of docs with their columns, text without the units that go, n_chars (if there) as its new length."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
     whole = docs.select(F.struct(*rest).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("doc_key", F.xxhash64("text"))
-    left = _left(docs, whole, min_words, max_words)
+    left = _left(docs, whole, min_words, max_words, short_lines)
     new = {"text": F.col("new_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("new_text").cast(docs.schema["n_chars"].dataType)
     return left.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
-def _left(docs: DataFrame, rows: DataFrame, min_words: int, max_words: int) -> DataFrame:
+def _left(docs: DataFrame, rows: DataFrame, min_words: int, max_words: int, short_lines: bool) -> DataFrame:
     """rows (with doc_id, doc_key and text of docs) with new_text and counts."""
     keyed = _keyed(docs)
-    distinct = stored(earliest_units(_units(keyed, min_words, max_words)), "lines-distinct")
+    distinct = stored(earliest_units(_units(keyed, min_words, max_words, short_lines), min_words), "lines-distinct")
     near = stored(candidates(distinct), "lines-candidates")
     place = [F.col(c) for c in ("doc_id", "doc_key", "k")]
     found = _sieved(_units(keyed, min_words, max_words), near, F.xxhash64(*place), F.xxhash64(*place))
@@ -148,7 +154,7 @@ def _left(docs: DataFrame, rows: DataFrame, min_words: int, max_words: int) -> D
     joined = joined.withColumn("near_ks", F.coalesce("near_ks", none)).withColumn("kept", F.array_except(F.coalesce("first_ks", none), "near_ks"))
 
     units = joined.withColumn("units", F.expr(_UNITS.format(w=max_words)))
-    can_go = f"filter(transform(units, (u, i) -> if(u.n >= {min_words}, i, null)), i -> i is not null)"
+    can_go = f"filter(transform(units, (u, i) -> if({_able(min_words, short_lines, 'u.')}, i, null)), i -> i is not null)"
     units = units.withColumn("able", F.expr(can_go)).withColumn("gone", F.expr("array_except(able, kept)"))
     left = units.withColumn("left", F.expr("transform(array_except(sequence(0, size(units) - 1), gone), i -> units[i])"))
     whole = F.expr("array_join(transform(left, (u, i) -> concat(if(i = 0, '', if(u.line = left[i - 1].line, ' ', '\\n')), u.body)), '')")
@@ -157,5 +163,5 @@ def _left(docs: DataFrame, rows: DataFrame, min_words: int, max_words: int) -> D
 
 
 def op9_line_dedup(spark, sf_dir):
-    found = dedup_lines(table(spark, sf_dir, "documents"))
+    found = dedup_lines(table(spark, sf_dir, "documents"), short_lines=True)
     return found.select("doc_id", "n_units", "n_exact", "n_near", F.length("new_text").cast("long").alias("n_chars"), F.sha2("new_text", 256).alias("text_sha256"))

@@ -205,6 +205,26 @@ def test_line_dedup(spark, least, most):
     same([(r.doc_id, r.text, r.place) for r in new.collect()], [(d, want[d, t or ""][0], "kept as it is") for d, t in rows])
 
 
+def test_line_dedup_of_short_lines(spark, nothing):
+    """Equal ones go however short (or without spaces); near ones only from min_words on; empty lines stay."""
+    rows = [(1, "Les.\n\na b c d e\n頁の行"), (2, "Les.\n\nLes!\na b c d\n頁の行"), (3, "a b c d\na b c d x\na b c"), (4, "Les.\n\na b c d e\n頁の行")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.new_text, r.n_units, r.n_exact, r.n_near) for r in line_dedup.dedup_lines(df, short_lines=True).collect()}
+    assert got == {1: (rows[0][1], 3, 0, 0), 2: ("\nLes!\na b c d", 4, 2, 0), 3: ("a b c", 3, 1, 1), 4: ("", 3, 3, 0)}
+    assert {r.doc_id: r.text for r in line_dedup.rewrite(df, short_lines=True).collect()} == {k: v[0] for k, v in got.items()}
+    assert line_dedup.dedup_lines(nothing, short_lines=True).count() == 0
+
+
+def test_line_dedup_query_and_stage_take_short_lines(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    seen = [x for r in corpus_pipeline.line_dedup_stage(spark, docs, sf).collect() for x in r.text.split("\n") if x]
+    assert len(seen) == len(set(seen))
+    assert sum(r.n_chars for r in line_dedup.op9_line_dedup(spark, sf).collect()) == sum(r.n_chars for r in corpus_pipeline.line_dedup_stage(spark, docs, sf).collect())
+
+
 def test_line_dedup_of_nothing(nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
