@@ -1,7 +1,7 @@
 """Operator 9: line dedup, by a deletion-neighbourhood join (DataFrame and SQL functions alone).
 
-The unit is a line of at least `min_words` words; a longer line than `max_words` words is cut to units of that
-many, so a line's work stays in proportion to its length. Words are what single spaces separate. The edit bound is one word: set, dropped or replaced.
+The unit is a whole line of at least `min_words` words, however long; only if `max_words` is given, a longer line is cut to
+units of that many. Words are what single spaces separate. The edit bound is one word: set, dropped or replaced.
 A unit goes if an earlier one (by doc_id, then place in the text) is equal or within the bound. With `short_lines`, as the
 query and the pipeline have it, shorter ones that aren't empty go if an earlier one is equal (a word less or more would link
 different ones); else they always stay. Removal of a line's every unit removes the line; a document may end up empty, but stays a row.
@@ -12,7 +12,8 @@ different ones); else they always stay. Removal of a line's every unit removes t
    are done; for most text that is nearly all. Sieves of a fixed size keep what can't match out of the shuffles.
 3. The rest emit their deletion neighbourhood: the hash of the unit and of each variant with a word
    left out, with the place. Units that share a variant and the place differ in that word; one that equals a
-   variant of another has a word less. Groups are reduced to their earliest unit, never paired up.
+   variant of another has a word less. Groups are reduced to their earliest unit, never paired up. Variants of
+   `TEXT_WORDS` words or more are hashed by running sums over the unit's words, so a unit's work stays in proportion to its length.
 4. Each unit and the earliest one it met are verified by their words: common start and common end must
    cover all but one.
 
@@ -22,18 +23,23 @@ different documents, ordered by the text's hash. Null text is empty; null ids co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.llm.common import id_and_text, stored, table
 
-#: The units of a text in order: (line, body, n): which line, the words, how many. Only lines of more than {w} words are split to words.
+#: The lines of a text in order: (line, body, n): which line, the words, how many.
+_LINES = "transform(split(text, '\\n', -1), (x, i) -> struct(i as line, x as body, length(x) - length(replace(x, ' ', '')) + 1 as n))"
+#: The same, cut to units of at most {w} words. Only lines of more than {w} words are split to words.
 _UNITS = (
-    "flatten(transform(transform(split(text, '\\n', -1), (x, i) -> struct(i as line, x as body, length(x) - length(replace(x, ' ', '')) + 1 as n)), "
+    "flatten(transform(" + _LINES + ", "
     "u -> if(u.n <= {w}, array(u), transform(sequence(0, (u.n - 1) div {w}), "
     "p -> struct(u.line as line, array_join(slice(split(u.body, ' ', -1), p * {w} + 1, {w}), ' ') as body, least({w}, u.n - p * {w}) as n)))))"
 )
 
+#: Variants of fewer words are hashed as text, which is quicker for them; longer ones by running sums.
+TEXT_WORDS = 256
+
 #: Bits of a sieve: 2,048 rows of 4 KB, so its broadcast is 8 MB whatever the input; when it fills up it lets more through, and the join after it decides.
 SIEVE_BITS = 1 << 26
 
@@ -42,14 +48,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).withColumn("doc_key", F.xxhash64("text"))
 
 
+def _cut(max_words: int | None) -> Column:
+    return F.expr(_LINES if max_words is None else _UNITS.format(w=max_words))
+
+
 def _able(min_words: int, short_lines: bool, of: str = "") -> str:
     """Whether a unit can go."""
     return f"({of}n >= {min_words}" + (f" or {of}body <> '')" if short_lines else ")")
 
 
-def _units(docs: DataFrame, min_words: int, max_words: int, short_lines: bool = False) -> DataFrame:
+def _units(docs: DataFrame, min_words: int, max_words: int | None, short_lines: bool = False) -> DataFrame:
     """(doc_id, doc_key, k, body, n): the removable units, with their number of words."""
-    all_units = docs.select("doc_id", "doc_key", F.posexplode(F.expr(_UNITS.format(w=max_words))).alias("k", "u"))
+    all_units = docs.select("doc_id", "doc_key", F.posexplode(_cut(max_words)).alias("k", "u"))
     return all_units.select("doc_id", "doc_key", "k", "u.body", "u.n").filter(_able(min_words, short_lines))
 
 
@@ -82,12 +92,29 @@ def candidates(distinct: DataFrame) -> DataFrame:
     return _sieved(keys, shared, F.col("key"), F.col("key")).join(shared, "key").select("first.doc_id", "first.doc_key", "first.k").distinct()
 
 
-def near_units(words: DataFrame) -> DataFrame:
-    """(place) of the units of words (place, body, n; all different) that have an earlier one within one word."""
-    rows = words.select("place", "body", "n", F.explode(F.sequence(F.lit(0), "n")).alias("q"))
+def _text_variants(words: DataFrame) -> DataFrame:
+    """(place, q, m, v): the hash v of the m words that are left without the q-th (0: of all), for each m below TEXT_WORDS."""
+    rows = words.filter(F.col("n") <= TEXT_WORDS).select("place", "body", "n", F.explode(F.sequence(F.when(F.col("n") < TEXT_WORDS, 0).otherwise(1), F.col("n"))).alias("q"))
     without = F.expr("case when q = 1 then substring_index(body, ' ', 1 - n) when q = n then substring_index(body, ' ', n - 1) else concat(substring_index(body, ' ', q - 1), ' ', substring_index(body, ' ', q - n)) end")
     size, text = F.when(F.col("q") == 0, F.col("n")).otherwise(F.col("n") - 1), F.when(F.col("q") == 0, F.col("body")).otherwise(without)
-    variants = stored(rows.select("place", "q", size.alias("m"), F.xxhash64(text).alias("v")), "lines-variants")
+    return rows.select("place", "q", size.alias("m"), F.xxhash64(text).alias("v"))
+
+
+def _long_variants(words: DataFrame) -> DataFrame:
+    """The same for each m from TEXT_WORDS on. A hash is the xor of hashes of (place, word): before q the words keep their places, after it they move by one."""
+    rows = words.filter(F.col("n") >= TEXT_WORDS).select("place", "n", F.posexplode(F.split("body", " ", -1)).alias("i", "word"))
+    rows = rows.select("place", "n", (F.col("i") + 1).alias("q"), F.xxhash64(F.col("i") + 1, "word").alias("stays"), F.xxhash64("i", "word").alias("moves"))
+    unit = Window.partitionBy("place")
+    upto, all_of_it = unit.orderBy("q").rowsBetween(Window.unboundedPreceding, Window.currentRow), unit.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = [F.bit_xor(c).over(w).alias(name) for c, w, name in (("stays", upto, "until"), ("moves", upto, "moved"), ("moves", all_of_it, "moves_all"))]
+    rows = rows.select("place", "n", "q", "stays", *sums)
+    without = rows.filter(F.col("n") > TEXT_WORDS).select("place", "q", (F.col("n") - 1).alias("m"), F.expr("until ^ stays ^ moves_all ^ moved").alias("v"))
+    return without.unionByName(rows.filter("q = n").select("place", F.lit(0).alias("q"), F.col("n").alias("m"), F.col("until").alias("v")))
+
+
+def near_units(words: DataFrame) -> DataFrame:
+    """(place) of the units of words (place, body, n; all different) that have an earlier one within one word."""
+    variants = stored(_text_variants(words).unionByName(_long_variants(words)), "lines-variants")
     shared = stored(variants.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("v"), "lines-shared-variants")
     variants = stored(_sieved(variants, shared, F.col("v"), F.col("v")), "lines-met")
 
@@ -115,13 +142,13 @@ def within_one_word(a: str, b: str) -> Column:
     return F.expr(f"abs(size({a}) - size({b})) <= 1 and ({start}) + ({end}) >= greatest(size({a}), size({b})) - 1")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, max_words: int = 256, short_lines: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 5, max_words: int | None = None, short_lines: bool = False) -> DataFrame:
     """(doc_id, doc_key, text, new_text, n_units, n_exact, n_near) of each row: its text without the units that go, and how many went as equal to or near an earlier one."""
     left = _left(docs, _keyed(docs), min_words, max_words, short_lines)
     return left.select("doc_id", "doc_key", "text", "new_text", "n_units", "n_exact", "n_near")
 
 
-def rewrite(docs: DataFrame, min_words: int = 5, max_words: int = 256, short_lines: bool = False) -> DataFrame:
+def rewrite(docs: DataFrame, min_words: int = 5, max_words: int | None = None, short_lines: bool = False) -> DataFrame:
     """The rows of docs with their columns, text without the units that go, n_chars (if there) as its new length."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
@@ -133,7 +160,7 @@ def rewrite(docs: DataFrame, min_words: int = 5, max_words: int = 256, short_lin
     return left.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
-def _left(docs: DataFrame, rows: DataFrame, min_words: int, max_words: int, short_lines: bool) -> DataFrame:
+def _left(docs: DataFrame, rows: DataFrame, min_words: int, max_words: int | None, short_lines: bool) -> DataFrame:
     """rows (with doc_id, doc_key and text of docs) with new_text and counts."""
     keyed = _keyed(docs)
     distinct = stored(earliest_units(_units(keyed, min_words, max_words, short_lines), min_words), "lines-distinct")
@@ -153,7 +180,7 @@ def _left(docs: DataFrame, rows: DataFrame, min_words: int, max_words: int, shor
     none = F.expr("cast(array() as array<int>)")
     joined = joined.withColumn("near_ks", F.coalesce("near_ks", none)).withColumn("kept", F.array_except(F.coalesce("first_ks", none), "near_ks"))
 
-    units = joined.withColumn("units", F.expr(_UNITS.format(w=max_words)))
+    units = joined.withColumn("units", _cut(max_words))
     can_go = f"filter(transform(units, (u, i) -> if({_able(min_words, short_lines, 'u.')}, i, null)), i -> i is not null)"
     units = units.withColumn("able", F.expr(can_go)).withColumn("gone", F.expr("array_except(able, kept)"))
     left = units.withColumn("left", F.expr("transform(array_except(sequence(0, size(units) - 1), gone), i -> units[i])"))

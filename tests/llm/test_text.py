@@ -225,6 +225,25 @@ def test_line_dedup_query_and_stage_take_short_lines(spark):
     assert sum(r.n_chars for r in line_dedup.op9_line_dedup(spark, sf).collect()) == sum(r.n_chars for r in corpus_pipeline.line_dedup_stage(spark, docs, sf).collect())
 
 
+@pytest.mark.parametrize("text_words", [1, 6, 256])
+def test_line_dedup_of_whole_lines(spark, monkeypatch, text_words):
+    """However long a line, one word set, put in or left out anywhere is near; held to the edit distance of whole lines."""
+    monkeypatch.setattr(line_dedup, "TEXT_WORDS", text_words)
+    rnd = random.Random(12)
+    lines = [[rnd.choice("ab") for _ in range(rnd.randint(5, 8))] for _ in range(60)]
+    for n in (254, 255, 256, 257, 300, 700):
+        base = [rnd.choice("abcdefgh") for _ in range(n)]
+        at = rnd.randrange(n)
+        lines += [base, ["new", *base], base[1:], base[:-1], [*base, "new"], base[:at] + base[at + 1 :], [*base[:at], "new", *base[at + 1 :]]]
+        lines += [["new", "new", *base], ["other", "x", *base[2:]], ["y", *base[1:], "z"], list(reversed(base))]
+    # only the later of two is there: base itself isn't
+    base = [rnd.choice("abcdefgh") for _ in range(400)]
+    lines += [[*base[:9], *base[10:]], [*base[:9], "one", *base[10:]], [*base[:9], "two", *base[10:]]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    want = {i: "" if any(w == v or one_apart(w, v) for v in lines[:i]) else " ".join(w) for i, w in enumerate(lines)}
+    assert {r.doc_id: r.new_text for r in line_dedup.dedup_lines(df, short_lines=True).collect()} == want
+
+
 def test_line_dedup_of_nothing(nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
