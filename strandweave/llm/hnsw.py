@@ -3,8 +3,9 @@
 Every shard builds a graph of its vectors: each has a level drawn geometrically, and each layer links its members
 to near but mutually diverse neighbours, found by beam search in what is built already. Every vector then queries
 every shard, in blocks: down the layers to entry points, then a beam on the ground layer. A query whose whole
-beam lies within the bound is searched again with a wider one; and each block is audited against a full scan for a
-sample of its queries and widened until the audit passes (at the widest, the shard is scanned). What is
+beam lies within the bound is searched again with a wider one; and each block is audited against a full scan of some of
+its queries, drawn until a set number with a link to another vector is seen (if the block has fewer, it is scanned whole), and
+widened until the mean recall of those queries is enough (at the widest, the shard is scanned). What is
 found is verified by cosine in doubles; links are counted in the task and reduced to a spanning star forest, so that
 a dense group never becomes rows of pairs; components are joined over all shards and blocks.
 
@@ -183,11 +184,28 @@ def beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entries: np.ndarray, w
     return rows_out, sims_out
 
 
-def within(x: np.ndarray, graph: Graph, q: np.ndarray, least: float, width: int, recall: float, audits: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of the pairs found whose similarity is at least `least` in single precision."""
+def within(x: np.ndarray, graph: Graph, q: np.ndarray, least: float, width: int, recall: float, audits: int = 64, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the pairs found whose similarity is at least `least` in single precision; own: the row that is the query itself (-1: none)."""
     floor = np.float32(least - 1e-4)
-    checked = np.linspace(0, len(q) - 1, min(audits, len(q))).astype(int)
-    true = q[checked] @ x.T >= floor
+    own = np.full(len(q), -1) if own is None else own
+    order = np.random.default_rng(len(x)).permutation(len(q))
+    step = max(1, min(audits, (32 << 20) // max(1, len(x))))
+    true_q, true_r, drawn, linked = [], [], 0, 0
+    while drawn < len(q) and linked < audits:
+        part = order[drawn : drawn + step]
+        i, j = np.nonzero(q[part] @ x.T >= floor)
+        true_q.append(part[i])
+        true_r.append(j)
+        linked += len(np.unique(i[j != own[part[i]]]))
+        drawn += len(part)
+    true_q, true_r = np.concatenate([np.empty(0, np.int64), *true_q]), np.concatenate([np.empty(0, np.int64), *true_r])
+    if drawn == len(q):
+        return true_q, true_r
+    other = true_r != own[true_q]
+    true_q, true_r = true_q[other], true_r[other]
+    of_query = np.maximum(np.bincount(true_q, minlength=len(q)), 1)
+    audited = np.zeros(len(q), bool)
+    audited[true_q] = True
     while True:
         entries = graph.entries(x, q) if len(graph.links) > 1 else np.repeat(graph.members[0][None, :6], len(q), 0)
         found_q, found_r, todo, wide = [], [], np.arange(len(q)), width
@@ -199,18 +217,15 @@ def within(x: np.ndarray, graph: Graph, q: np.ndarray, least: float, width: int,
             found_r.append(rows[i, j])
             todo, wide = todo[full], wide * 4
         found_q, found_r = np.concatenate(found_q), np.concatenate(found_r)
-        hit = np.zeros(true.shape, bool)
-        place = np.full(len(q), -1)
-        place[checked] = np.arange(len(checked))
-        of = place[found_q] >= 0
-        hit[place[found_q[of]], found_r[of]] = True
-        if (hit & true).sum() >= recall * true.sum():
+        of = audited[found_q]
+        hit = np.isin(true_q * len(x) + true_r, found_q[of] * len(x) + found_r[of])
+        if (hit / of_query[true_q]).sum() >= recall * linked - 1e-6:
             return found_q, found_r
         if width >= len(x):
             break
         width *= 4
-    pairs = [np.nonzero(q[i : i + 1024] @ x.T >= floor) for i in range(0, len(q), 1024)]
-    return np.concatenate([i + 1024 * k for k, (i, _) in enumerate(pairs)]), np.concatenate([j for _, j in pairs])
+    pairs = [np.nonzero(q[i : i + step] @ x.T >= floor) for i in range(0, len(q), step)]
+    return np.concatenate([i + step * k for k, (i, _) in enumerate(pairs)]), np.concatenate([j for _, j in pairs])
 
 
 def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +260,10 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, width: int = 32,
     def search(row: dict) -> pa.RecordBatch:
         ids, copies, x = unpacked(row)
         q_ids, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"], np.float64).reshape(-1, row["dim"])
-        i, j = within(_unit(x), pickle.loads(row["index"]), _unit(q), least, width, recall)
+        by_id = np.argsort(ids, kind="stable")
+        at = by_id[np.minimum(np.searchsorted(ids, q_ids, sorter=by_id), len(ids) - 1)]
+        own = np.where(ids[at] == q_ids, at, -1)
+        i, j = within(_unit(x), pickle.loads(row["index"]), _unit(q), least, width, recall, own=own)
         q_norm, x_norm = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
         cosine = np.concatenate([np.empty(0), *((q[i[k : k + 65536]] * x[j[k : k + 65536]]).sum(1) / (q_norm[i[k : k + 65536]] * x_norm[j[k : k + 65536]]) for k in range(0, len(i), 65536))])
         real = (cosine >= least) & (q_ids[i] != ids[j])

@@ -74,6 +74,36 @@ def test_graph_finds_all_within(good):
     assert not (found & ~true).any() and (found & true).sum() >= 0.98 * true.sum()
 
 
+class Blind:
+    """A graph without links, whose searches end where they start."""
+
+    def __init__(self, n, start):
+        self.links, self.members, self.start = [np.full((n, 1), -1, np.int32)] * 2, [np.arange(n)] * 2, start
+
+    def entries(self, x, q):
+        return self.start(len(q))
+
+
+@pytest.mark.parametrize("case", ["rare", "themselves", "hidden"])
+def test_audit_wants_real_links_of_each_query(case):
+    rng = np.random.default_rng(3)
+    unit = lambda v: (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    x = unit(rng.normal(size=(1000, 48)))
+    q, own, start = unit(rng.normal(size=(1000, 48))), None, lambda n: np.zeros((n, 1), np.int64)
+    if case == "rare":  # a few queries have a partner, and no search finds it
+        q[[101, 501, 777]] = unit(x[[5, 6, 7]] + 0.01 * rng.normal(size=(3, 48)))
+    elif case == "themselves":  # each search finds its own row alone
+        x[500:510] = unit(x[:10] + 0.01 * rng.normal(size=(10, 48)))
+        q, own, start = x, np.arange(1000), lambda n: np.arange(1000)[:, None]
+    else:  # half of the queries see all of a dense group, the others miss their one partner
+        x[:300] = unit(x[:1] + 0.01 * rng.normal(size=(300, 48)))
+        q[::2], q[1::2] = x[rng.integers(0, 300, 500)], x[400:900]
+        start = lambda n: np.tile(np.arange(300), (n, 1))
+    i, j = hnsw.within(x, Blind(1000, start), q, 0.9, 32, 0.99, own=own)
+    true = q @ x.T >= np.float32(0.9 - 1e-4)
+    assert len(set(zip(i.tolist(), j.tolist()))) == len(i) == true.sum() and true[i, j].all()
+
+
 def test_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vptree.nearest(none, none).count() == 0
