@@ -5,7 +5,7 @@ to near but mutually diverse neighbours, found by beam search in what is built a
 every shard, in blocks: down the layers to entry points, then a beam on the ground layer. A query whose whole
 beam lies within the bound is searched again with a wider one; and each block is audited against a full scan of some of
 its queries, drawn until a set number with a link to another vector is seen (if the block has fewer, it is scanned whole), and
-widened until the mean recall of those queries is enough (at the widest, the shard is scanned). What is
+widened until both the mean recall of those queries and that of all their pairs are enough (at the widest, the shard is scanned). What is
 found is verified by cosine in doubles; links are counted in the task and reduced to a spanning star forest, so that
 a dense group never becomes rows of pairs; components are joined over all shards and blocks.
 
@@ -219,7 +219,8 @@ def within(x: np.ndarray, graph: Graph, q: np.ndarray, least: float, width: int,
         found_q, found_r = np.concatenate(found_q), np.concatenate(found_r)
         of = audited[found_q]
         hit = np.isin(true_q * len(x) + true_r, found_q[of] * len(x) + found_r[of])
-        if (hit / of_query[true_q]).sum() >= recall * linked - 1e-6:
+        # of queries, so that a dense group hides no single pair, and of pairs, so that single ones don't hide a dense group's
+        if (hit / of_query[true_q]).sum() >= recall * linked - 1e-6 and hit.sum() >= recall * len(hit):
             return found_q, found_r
         if width >= len(x):
             break
