@@ -1,21 +1,30 @@
 """Operator 8: embedding near-dedup by hierarchical navigable small-world graphs, one per shard.
 
-Every shard builds a graph of its vectors: each has a level drawn geometrically, and each layer links its members
-to near but mutually diverse neighbours, found by beam search in what is built already. Every vector then queries
-every shard, in blocks: down the layers to entry points, then a beam on the ground layer. A query whose whole
-beam lies within the bound is searched again with a wider one; and each block is audited against a full scan of some of
-its queries, drawn until a set number with a link to another vector is seen (if the block has fewer, it is scanned whole), and
-widened until both the mean recall of those queries and that of all their pairs are enough (at the widest, the shard is scanned). What is
-found is verified by cosine in doubles; links are counted in the task and reduced to a spanning star forest, so that
-a dense group never becomes rows of pairs; components are joined over all shards and blocks.
+In each shard, near-identical vectors hang under a leader, with counts: a dense group is a few leaders however large it is. The shard
+builds a graph of its leaders: each has a level drawn geometrically, and each layer links its members to near but mutually
+diverse neighbours, found by beam search in what is built already. Every vector then queries every shard, in blocks: down the
+layers to entry points, then a beam on the ground layer. A leader that is found and its members are counted at once where the triangle
+inequality on angles puts all of them within the bound, and compared by cosine in doubles where it doesn't decide. A query whose
+whole beam may have links is compared with all leaders of the shard, in blocks of queries.
+
+The beam's width is set by audits against full scans. When a shard is built, queries are planted at the bound's edge around
+its own rows, so each has a link, and the beam widens until they are found. In each block `AUDITS` queries drawn at random are
+audited as well, on leaders other than their own, by query and by link, and the block is searched again with a wider beam if too few of their links were found (at the
+widest, all leaders are compared). All audits' first counts make `audited_recall`.
+
+Links are counted in the task and reduced to a star forest block by block, so that a dense group never becomes rows of pairs, in
+memory neither; components are joined over all shards and blocks. Cost: vectors times shards, and a group's square only where
+it is too loose to hang under leaders but all within the bound.
 
 Equal vectors are one node with a count. Vectors null, zero or holding null or non-finite components, and ids that are null, have no links and are
-components of their own. Of rows that share vec_id but not the vector, the smallest vector stands for that id.
+components of their own. Of rows that share vec_id but not the vector, the smallest vector stands for that id; repeated rows give repeated results.
+Vectors of different dimensions don't link. An empty table gives no rows; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +33,15 @@ from pyspark.sql import functions as F
 
 from strandweave.llm.common import stored, table
 from strandweave.llm.components import components
-from strandweave.llm.vectors import each_meeting, indexed, meetings, packed, shard_count, unpacked, usable
+from strandweave.llm.vectors import Layout, each_meeting, indexed, packed, unpacked, usable
 
 M, M_GROUND, BUILD_BEAM = 12, 24, 48
+#: Cosine to its leader that a row needs to hang under it.
+TIGHT = 0.98
+#: Queries of a block, and planted ones of a shard, whose links are audited against a full scan.
+AUDITS = 64
+#: Angles closer than this to a bound are decided by exact cosines: single precision is off by less.
+SLIP = 4e-3
 
 
 class Graph:
@@ -184,51 +199,6 @@ def beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entries: np.ndarray, w
     return rows_out, sims_out
 
 
-def within(x: np.ndarray, graph: Graph, q: np.ndarray, least: float, width: int, recall: float, audits: int = 64, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of the pairs found whose similarity is at least `least` in single precision; own: the row that is the query itself (-1: none)."""
-    floor = np.float32(least - 1e-4)
-    own = np.full(len(q), -1) if own is None else own
-    order = np.random.default_rng(len(x)).permutation(len(q))
-    step = max(1, min(audits, (32 << 20) // max(1, len(x))))
-    true_q, true_r, drawn, linked = [], [], 0, 0
-    while drawn < len(q) and linked < audits:
-        part = order[drawn : drawn + step]
-        i, j = np.nonzero(q[part] @ x.T >= floor)
-        true_q.append(part[i])
-        true_r.append(j)
-        linked += len(np.unique(i[j != own[part[i]]]))
-        drawn += len(part)
-    true_q, true_r = np.concatenate([np.empty(0, np.int64), *true_q]), np.concatenate([np.empty(0, np.int64), *true_r])
-    if drawn == len(q):
-        return true_q, true_r
-    other = true_r != own[true_q]
-    true_q, true_r = true_q[other], true_r[other]
-    of_query = np.maximum(np.bincount(true_q, minlength=len(q)), 1)
-    audited = np.zeros(len(q), bool)
-    audited[true_q] = True
-    while True:
-        entries = graph.entries(x, q) if len(graph.links) > 1 else np.repeat(graph.members[0][None, :6], len(q), 0)
-        found_q, found_r, todo, wide = [], [], np.arange(len(q)), width
-        while len(todo):
-            rows, sims = beam(x, graph.links[0], q[todo], entries[todo], min(wide, len(x)))
-            full = (sims[:, -1] >= floor) & (wide < len(x))
-            i, j = np.nonzero((sims >= floor) & ~full[:, None])
-            found_q.append(todo[i])
-            found_r.append(rows[i, j])
-            todo, wide = todo[full], wide * 4
-        found_q, found_r = np.concatenate(found_q), np.concatenate(found_r)
-        of = audited[found_q]
-        hit = np.isin(true_q * len(x) + true_r, found_q[of] * len(x) + found_r[of])
-        # of queries, so that a dense group hides no single pair, and of pairs, so that single ones don't hide a dense group's
-        if (hit / of_query[true_q]).sum() >= recall * linked - 1e-6 and hit.sum() >= recall * len(hit):
-            return found_q, found_r
-        if width >= len(x):
-            break
-        width *= 4
-    pairs = [np.nonzero(q[i : i + step] @ x.T >= floor) for i in range(0, len(q), step)]
-    return np.concatenate([i + step * k for k, (i, _) in enumerate(pairs)]), np.concatenate([j for _, j in pairs])
-
-
 def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, root) that join what the links (a, b) join, one a node at most."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -248,37 +218,228 @@ def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
-def near_duplicates(embeddings: DataFrame, least: float = 0.9, width: int = 32, recall: float = 0.99, least_shards: int = 8, shard_rows: int = 250_000, block_rows: int = 16_384) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each row: links are pairs of cosine at least `least`."""
+def led(x: np.ndarray, weight: np.ndarray, tight: float = TIGHT, rounds: int = 8) -> np.ndarray:
+    """The leader (a row, itself maybe) of each row of unit vectors; a row's similarity to another leader is at least `tight`.
+
+    In each round leaders meet by the signs of random projections; the weightiest of a bucket takes those near enough, with their rows
+    that are near enough too. What is missed stays apart, at the price of time alone.
+    """
+    n = len(x)
+    lead, rng = np.arange(n), np.random.default_rng(n)
+    bits = max(1, min(30, int(np.log2(max(n, 2)))))
+    for _ in range(rounds):
+        heads = np.flatnonzero(lead == np.arange(n))
+        mass = np.bincount(lead, weight, n)[heads]
+        code = (x[heads] @ rng.normal(size=(x.shape[1], bits)).astype(np.float32) > 0) @ (1 << np.arange(bits))
+        order = np.lexsort((heads, -mass, code))
+        first = np.r_[True, code[order][1:] != code[order][:-1]]
+        winner = np.empty(n, np.int64)
+        winner[heads[order]] = heads[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+        new = winner[lead]
+        near = (new != lead) & (_dots(x, np.arange(n), new) >= tight)
+        moved = near[lead]  # with its head; what the new head doesn't reach is on its own again
+        lead = np.where(near & moved, new, np.where(moved, np.arange(n), lead))
+    return lead
+
+
+def _dots(x: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 65536) -> np.ndarray:
+    return np.concatenate([np.empty(0, x.dtype), *(np.einsum("ij,ij->i", x[a[i : i + step]], x[b[i : i + step]]) for i in range(0, len(a), step))])
+
+
+class Index:
+    """A shard's leaders, their members and reach, the graph of the leaders, and the beam's width with the audit that set it."""
+
+    def __init__(self, unit: np.ndarray, copies: np.ndarray, least: float, width: int, recall: float, seed: int):
+        lead = led(unit, copies)
+        self.leaders, self.group = np.unique(lead, return_inverse=True)
+        self.order = np.argsort(self.group, kind="stable")
+        self.ends = np.cumsum(np.bincount(self.group, minlength=len(self.leaders)))
+        self.weight = np.bincount(self.group, copies, len(self.leaders))
+        to_lead = np.arccos(np.clip(_dots(unit, np.arange(len(unit)), lead), -1, 1))
+        self.reach = np.zeros(len(self.leaders))
+        np.maximum.at(self.reach, self.group, np.where(lead == np.arange(len(lead)), 0, to_lead))
+        x = unit[self.leaders]
+        self.graph = Graph(x, seed)
+        self.floor = self.floors(least)
+        self.width, self.audit = self._widened(x, least, width, recall, seed)
+
+    def floors(self, least: float) -> np.ndarray:
+        """For each leader the similarity below which none of its rows can link."""
+        return np.cos(np.minimum(np.arccos(least) + self.reach + SLIP, np.pi)).astype(np.float32)
+
+    def _widened(self, x: np.ndarray, least: float, width: int, recall: float, seed: int) -> tuple[int, tuple[int, int]]:
+        rng = np.random.default_rng(seed)
+        near = x[rng.permutation(len(x))[:AUDITS]].astype(np.float64)
+        away = rng.normal(size=near.shape)
+        away -= (away * near).sum(1, keepdims=True) * near
+        away /= np.linalg.norm(away, axis=1, keepdims=True) + 1e-300
+        cos = min(1.0, least + 0.002)
+        planted = (cos * near + np.sqrt(1 - cos * cos) * away).astype(np.float32)
+        true = planted @ x.T >= self.floor
+        first = None
+        while True:
+            hit = self.found(x, planted, width) & true
+            first = first or (int(hit.sum()), int(true.sum()))
+            if width >= len(x) or enough(hit, true, recall):
+                return width, first
+            width *= 4
+
+    def found(self, x: np.ndarray, q: np.ndarray, width: int) -> np.ndarray:
+        """Which leaders a beam of that width sees, for a few queries."""
+        rows, _ = self.searched(x, q, width)
+        seen = np.zeros((len(q), len(x)), bool)
+        i, j = np.nonzero(rows >= 0)
+        seen[i, rows[i, j]] = True
+        return seen
+
+    def searched(self, x: np.ndarray, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        entries = self.graph.entries(x, q) if len(self.graph.links) > 1 else np.repeat(self.graph.members[0][None, :6], len(q), 0)
+        return beam(x, self.graph.links[0], q, entries, min(width, len(x)))
+
+
+def enough(hit: np.ndarray, true: np.ndarray, recall: float) -> bool:
+    """By query, so that a dense group hides no single link, and by link, so that single ones don't hide a dense group's."""
+    each, of = hit.sum(1), true.sum(1)
+    some = of > 0
+    return (each[some] / of[some]).sum() >= recall * some.sum() - 1e-9 and each.sum() >= recall * of.sum() - 1e-9
+
+
+def hits_of(index: Index, x: np.ndarray, q: np.ndarray, own: np.ndarray, width: int, recall: float) -> tuple[Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], tuple[int, int]]:
+    """Chunks of (query, leader, similarity) that may hold links, each pair once, and (hits, links) of the block's audit; x: the leaders' vectors; own: each query's own group (-1: none)."""
+    step = max(1, (8 << 20) // max(1, len(x)))
+    drawn = np.sort(np.random.default_rng(len(q)).permutation(len(q))[:AUDITS])
+    true = np.concatenate([q[drawn[i : i + step]] @ x.T >= index.floor for i in range(0, len(drawn), step)])
+    true[np.flatnonzero(own[drawn] >= 0), own[drawn][own[drawn] >= 0]] = False
+    audit = None
+    while width < len(x):
+        rows, sims = index.searched(x, q, width)
+        full = sims[:, -1] >= index.floor.min()
+        hit = np.zeros_like(true)
+        i, j = np.nonzero(rows[drawn] >= 0)
+        hit[i, rows[drawn][i, j]] = True
+        hit[full[drawn]] = True
+        hit &= true
+        audit = audit or (int(hit.sum()), int(true.sum()))
+        if enough(hit, true, recall):
+            break
+        width *= 4
+    else:
+        rows, sims, full = np.empty((len(q), 0), np.int64), np.empty((len(q), 0), np.float32), np.ones(len(q), bool)
+
+    def chunks() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        ok = (rows >= 0) & (sims >= index.floor[rows]) & ~full[:, None]
+        i, j = np.nonzero(ok)
+        yield i, rows[i, j], sims[i, j]
+        whole = np.flatnonzero(full)
+        for lo in range(0, len(whole), step):
+            s = q[whole[lo : lo + step]] @ x.T
+            i, j = np.nonzero(s >= index.floor)
+            yield whole[lo + i], j, s[i, j]
+
+    return chunks(), audit or (0, 0)
+
+
+class Forest:
+    """Links, reduced to at most one a node whenever some have gathered."""
+
+    def __init__(self) -> None:
+        self.a, self.b, self.held = [], [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.held += len(a)
+        if self.held > 1 << 20:
+            self.reduced()
+
+    def reduced(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.empty(0, np.int64)
+        a, b = star_forest(np.concatenate([none, *self.a]), np.concatenate([none, *self.b]))
+        self.a, self.b, self.held = [a], [b], 0
+        return a, b
+
+
+def links_of(index: Index, leaders: np.ndarray, rows: tuple, q_rows: tuple, least: float, recall: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[int, int]]:
+    """For a block of queries: links to each of the shard's rows but itself, counted with copies; a star forest that joins them; the audit. rows, q_rows: (ids, copies, vectors)."""
+    ids, copies, x = rows
+    q_ids, _, q = q_rows
+    by_id = np.argsort(ids, kind="stable")
+    at = by_id[np.minimum(np.searchsorted(ids, q_ids, sorter=by_id), len(ids) - 1)]
+    own = np.where(ids[at] == q_ids, at, -1)
+    own_group = np.where(own >= 0, index.group[own], -1)
+    x_norm, q_norm = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
+    size = np.diff(index.ends, prepend=0)
+    links, forest, bound = np.zeros(len(q)), Forest(), np.arccos(least)
+    chunks, audit = hits_of(index, leaders, _unit(q), own_group, index.width, recall)
+    for i, j, s in chunks:
+        angle = np.arccos(np.clip(s.astype(np.float64), -1, 1))
+        sure = (size[j] > 1) & (angle + index.reach[j] <= bound - SLIP)
+        links += np.bincount(i[sure], index.weight[j[sure]] - np.where(own_group[i[sure]] == j[sure], copies[own[i[sure]]], 0), len(q))
+        forest.add(q_ids[i[sure]], ids[index.leaders[j[sure]]])
+
+        one = np.flatnonzero(size[j] == 1)
+        for lo in range(0, len(one), 65536):
+            a, b = i[one[lo : lo + 65536]], index.leaders[j[one[lo : lo + 65536]]]
+            real = (np.einsum("ij,ij->i", q[a], x[b]) / (q_norm[a] * x_norm[b]) >= least) & (own[a] != b)
+            links += np.bincount(a[real], copies[b[real]], len(q))
+            forest.add(q_ids[a[real]], ids[b[real]])
+
+        open_ = np.flatnonzero((size[j] > 1) & ~sure)
+        open_ = open_[np.argsort(j[open_], kind="stable")]
+        for part in np.split(open_, np.flatnonzero(np.diff(j[open_])) + 1) if len(open_) else ():
+            group = j[part[0]]
+            members = index.order[index.ends[group] - size[group] : index.ends[group]]
+            wide = min(len(members), 4096)
+            for lo in range(0, len(part), max(1, (1 << 20) // wide)):
+                a = i[part[lo : lo + max(1, (1 << 20) // wide)]]
+                for m in range(0, len(members), wide):
+                    b = members[m : m + wide]
+                    real = (q[a] @ x[b].T / (q_norm[a][:, None] * x_norm[b]) >= least) & (own[a][:, None] != b)
+                    links += np.bincount(a, real @ copies[b], len(q))
+                    # a group's rows are joined by their leader: one link to any of them is enough
+                    some = real.any(1)
+                    forest.add(q_ids[a[some]], ids[b[real[some].argmax(1)]])
+    return links.astype(np.int64), forest.reduced(), audit
+
+
+def near_duplicates(embeddings: DataFrame, least: float = 0.9, width: int = 32, recall: float = 0.99, least_shards: int = 4, shard_rows: int | None = None, block_rows: int | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, audited_recall) of each row: links are pairs of cosine at least `least`, a bound below TIGHT.
+
+    audited_recall is the share of the audited links that the first, narrowest beams found, over all shards and blocks (null: no vectors).
+    """
+    if not -1 < least < TIGHT:
+        raise ValueError(f"least must be below {TIGHT}")
     rows = usable(embeddings).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     nodes = stored(rows.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("embedding")), "hnsw-nodes")
-    n = nodes.count()
-    shards = shard_count(n, least_shards, shard_rows)
-    shard = packed(nodes, "shard", shards, "copies")
-    blocks = packed(nodes, "block", shard_count(n, 1, block_rows), "copies")
-    index = stored(indexed(shard, lambda k, x: pickle.dumps(Graph(_unit(x), k))), "hnsw-index")
-
-    def search(row: dict) -> pa.RecordBatch:
-        ids, copies, x = unpacked(row)
-        q_ids, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"], np.float64).reshape(-1, row["dim"])
-        by_id = np.argsort(ids, kind="stable")
-        at = by_id[np.minimum(np.searchsorted(ids, q_ids, sorter=by_id), len(ids) - 1)]
-        own = np.where(ids[at] == q_ids, at, -1)
-        i, j = within(_unit(x), pickle.loads(row["index"]), _unit(q), least, width, recall, own=own)
-        q_norm, x_norm = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
-        cosine = np.concatenate([np.empty(0), *((q[i[k : k + 65536]] * x[j[k : k + 65536]]).sum(1) / (q_norm[i[k : k + 65536]] * x_norm[j[k : k + 65536]]) for k in range(0, len(i), 65536))])
-        real = (cosine >= least) & (q_ids[i] != ids[j])
-        i, j = i[real], j[real]
-        links = np.bincount(i, copies[j], len(q_ids)).astype(np.int64)
-        node, root = star_forest(q_ids[i], ids[j])
+    n, dim = nodes.agg(F.count(F.lit(1)), F.max("dim")).first()
+    at = Layout(n, n, dim or 1, least_shards, shard_rows, block_rows)
+    index = stored(indexed(packed(nodes, "shard", at.shards, "copies"), lambda k, x, copies: pickle.dumps(Index(_unit(x), copies, least, width, recall, k))), "hnsw-index")
+
+    def opened(row: dict) -> list:
+        shard, mine = unpacked(row), pickle.loads(row["index"])
+        ids = shard[0]
+        hung = np.flatnonzero(mine.leaders[mine.group] != np.arange(len(ids)))
+        first = row["part"] == 0
+        return [shard, mine, _unit(shard[2][mine.leaders]), (ids[hung], ids[mine.leaders[mine.group[hung]]]) if first else None, mine.audit if first else (0, 0)]
+
+    def search(held: list, block: dict) -> pa.RecordBatch:
+        shard, mine, leaders, hung, planted = held
+        q_rows = unpacked(block)
+        links, (node, root), audit = links_of(mine, leaders, shard, q_rows, least, recall)
+        if hung is not None:  # what hangs under the shard's leaders, said once
+            node, root = np.concatenate([node, hung[0]]), np.concatenate([root, hung[1]])
+        held[3], held[4] = None, (0, 0)
         some = links > 0
-        none = pa.nulls(int(some.sum()), pa.int64()), pa.nulls(len(node), pa.int64())
-        cols = [np.concatenate([q_ids[some], node]), pa.concat_arrays([none[0], pa.array(root)]), pa.concat_arrays([pa.array(links[some]), none[1]])]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0]), cols[1], cols[2]], names=["a", "b", "n"])
+        counted = [q_rows[0][some], np.zeros(some.sum(), np.int64), links[some]]
+        audited = [[planted[0] + audit[0]], [planted[1] + audit[1]], [0]]
+        cols = [np.concatenate(c) for c in zip(counted, (node, root, np.zeros(len(node), np.int64)), audited)]
+        kind = np.repeat(["count", "link", "audit"], [some.sum(), len(node), 1])
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), *(pa.array(c.astype(np.int64)) for c in cols)], names=["kind", "a", "b", "n"])
 
-    found = stored(each_meeting(meetings(index, blocks, shards), search, "a long, b long, n long"), "hnsw-links")
-    counts = found.filter("n is not null").groupBy(F.col("a").alias("c_id")).agg(F.sum("n").alias("n"))
-    roots = components(found.filter("b is not null"))
+    found = stored(each_meeting(index, packed(nodes, "block", at.blocks, "copies"), at, opened, search, "kind string, a long, b long, n long"), "hnsw-links")
+    hits, true = found.filter("kind = 'audit'").agg(F.sum("a"), F.sum("b")).first()
+    counts = found.filter("kind = 'count'").groupBy(F.col("a").alias("c_id")).agg(F.sum("n").alias("n"))
+    roots = components(found.filter("kind = 'link'"))
     # the smallest id of a node is its vec_id, and roots are the smallest of those
     known = nodes.join(counts, nodes.vec_id == counts.c_id, "left").join(roots, nodes.vec_id == roots.node, "left")
     known = known.select(F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "vec_id").alias("root"))
@@ -286,7 +447,8 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, width: int = 32,
     every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"))
     out = every.join(by_id, F.col("vec_id") == F.col("k_id"), "left")
     component = F.coalesce("root", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    recalled = F.lit(hits / true if true else None).cast("double").alias("audited_recall")
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), recalled)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

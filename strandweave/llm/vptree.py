@@ -8,7 +8,9 @@ nearer (exact search), more prunes sooner. Each shard returns its k best per que
 
 Every row is indexed. Distances are Euclidean in doubles; ties go to the smaller vec_id. Rows null, zero or holding null or
 non-finite components take no part, rows of another dimension than the query's aren't compared with it, rows that
-share vec_id are candidates each, but not for a query of that vec_id; a repeated query row gives one result.
+share vec_id are candidates each, but not for a query of that vec_id; a repeated
+query row gives one result, and of queries that share vec_id but not the vector the smallest vector is searched. An empty table gives no rows; other
+columns of the tables, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.llm.common import stored, table
-from strandweave.llm.vectors import each_meeting, indexed, meetings, packed, shard_count, unpacked, usable
+from strandweave.llm.vectors import Layout, each_meeting, indexed, packed, unpacked, usable
 
 LEAF = 32
 
@@ -110,23 +112,31 @@ class Search:
                 self.walk(child, near)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, slack: float = 1.0, least_shards: int = 8, shard_rows: int = 250_000, block_rows: int = 16_384) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k rows nearest to each query, both (vec_id, embedding)."""
-    rows, queries = usable(rows), usable(queries).dropDuplicates(["vec_id"])
-    shards = shard_count(rows.count(), least_shards, shard_rows)
-    blocks = packed(queries, "block", shard_count(queries.count(), 1, block_rows))
-    index = stored(indexed(packed(rows, "shard", shards), lambda shard, x: pickle.dumps(build(x))), "vptree-index")
+def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, slack: float = 1.0, least_shards: int = 8, shard_rows: int | None = None, block_rows: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k rows nearest to each query, both (vec_id, embedding).
 
-    def search(row: dict) -> pa.RecordBatch:
+    Shards and blocks are bounded by bytes, or by shard_rows and block_rows where given.
+    """
+    rows = usable(rows)
+    queries = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
+    n, dim = rows.agg(F.count(F.lit(1)), F.max("dim")).first()
+    at = Layout(n, queries.count(), dim or 1, least_shards, shard_rows, block_rows)
+    blocks = packed(queries, "block", at.blocks)
+    index = stored(indexed(packed(rows, "shard", at.shards), lambda shard, x, _: pickle.dumps(build(x))), "vptree-index")
+
+    def opened(row: dict) -> tuple:
         ids, _, x = unpacked(row)
-        q_ids, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"], np.float64).reshape(-1, row["dim"])
-        order, nodes = pickle.loads(row["index"])
+        return ids, x, *pickle.loads(row["index"])
+
+    def search(shard: tuple, row: dict) -> pa.RecordBatch:
+        ids, x, order, nodes = shard
+        q_ids, _, q = unpacked(row)
         out = [Search(x, ids, order, nodes, q[i : i + 512], q_ids[i : i + 512], k, slack) for i in range(0, len(q), 512)]
         best, found = np.concatenate([s.best for s in out]), np.concatenate([s.found for s in out])
         real = np.isfinite(best)
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, k)[real.ravel()]), pa.array(found[real]), pa.array(best[real])], names=["query_id", "vec_id", "score"])
 
-    found = each_meeting(meetings(index, blocks, shards), search, "query_id long, vec_id long, score double")
+    found = each_meeting(index, blocks, at, opened, search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -44,6 +44,16 @@ def test_nearest(rows, good, slack):
         assert hits >= 0.9 * 10 * len(want)
 
 
+def roots_of(linked):
+    """The smallest row that each reaches."""
+    root = np.arange(len(linked))
+    while True:
+        low = np.minimum(root, np.where(linked, root[None, :], len(linked)).min(1))
+        if (low == root).all():
+            return root
+        root = low
+
+
 def test_near_duplicates(rows, good):
     got = {r.vec_id: r for r in hnsw.near_duplicates(rows, least_shards=3, block_rows=64).collect()}
     ids = sorted(good)
@@ -51,12 +61,7 @@ def test_near_duplicates(rows, good):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     linked = x @ x.T >= 0.9
     np.fill_diagonal(linked, False)
-    root = np.arange(len(ids))
-    while True:
-        low = np.minimum(root, np.where(linked, root[None, :], len(ids)).min(1))
-        if (low == root).all():
-            break
-        root = low
+    root = roots_of(linked)
     for i, k in enumerate(ids):
         assert (got[k].n_links, got[k].component_id) == (int(linked[i].sum()), ids[root[i]])
     for k in set(got) - set(ids) - {None}:
@@ -64,14 +69,48 @@ def test_near_duplicates(rows, good):
     assert got[None].n_links == 0 and got[None].component_id is None and got[None].kept
 
 
-def test_graph_finds_all_within(good):
-    x = np.array(list(good.values()))
-    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    i, j = hnsw.within(u, hnsw.Graph(u, 0), u, 0.9, 4, 1.0)
-    found = np.zeros((len(u), len(u)), bool)
-    found[i, j] = True
-    true = u @ u.T >= np.float32(0.9 - 1e-4)
-    assert not (found & ~true).any() and (found & true).sum() >= 0.98 * true.sum()
+def unit(v):
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
+def links_by_scan(q, x, least=0.9):
+    return q.astype(float) @ x.astype(float).T / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1) >= least
+
+
+def searched(x, least=0.9, index=None, width=32):
+    """n_links and the star forest of a shard that queries itself."""
+    ids, copies = np.arange(len(x)) * 3, np.ones(len(x), np.int64)
+    index = index or hnsw.Index(unit(x), copies, least, width, 0.99, 0)
+    rows = (ids, copies, x.astype(float))
+    return hnsw.links_of(index, unit(x)[index.leaders], rows, rows, least, 0.99)
+
+
+def groups_of(case, rng):
+    noise = rng.normal(size=(5000, 48))
+    if case == "pairs":  # 79 single pairs in 5,000 vectors
+        noise[3000:3079] = unit(noise[:79]) + 0.03 * rng.normal(size=(79, 48))
+    elif case == "dense":  # a tight group of 2,000
+        noise[:2000] = unit(noise[:1]) + 0.01 * rng.normal(size=(2000, 48))
+    elif case == "loose":  # one around the bound, too loose for leaders
+        noise[:1000] = unit(noise[:1]) + 0.05 * rng.normal(size=(1000, 48))
+    return noise
+
+
+@pytest.mark.parametrize("case", ["pairs", "dense", "loose"])
+def test_links_of_groups(case):
+    x = groups_of(case, np.random.default_rng(5))
+    true = links_by_scan(x, x)
+    np.fill_diagonal(true, False)
+    assert true.sum() >= 79
+    links, (node, root), _ = searched(x)
+    if case == "dense":
+        index = hnsw.Index(unit(x), np.ones(len(x), np.int64), 0.9, 32, 0.99, 0)
+        assert len(index.leaders) <= 3000 + 40 and index.reach.max() <= np.arccos(hnsw.TIGHT) + 1e-6
+    assert (links == true.sum(1)).mean() >= (0.99 if case == "loose" else 0.999) and links.sum() >= 0.99 * true.sum()
+    assert len(node) < len(x) and len(set(node)) == len(node)
+    got = np.arange(len(x))
+    got[node // 3] = root // 3
+    assert (got == roots_of(true)).mean() >= (0.99 if case == "loose" else 0.999)
 
 
 class Blind:
@@ -84,30 +123,58 @@ class Blind:
         return self.start(len(q))
 
 
-@pytest.mark.parametrize("case", ["rare", "themselves", "hidden"])
-def test_audit_wants_real_links_of_each_query(case):
+def test_audits_widen_a_bad_graph(monkeypatch):
+    """Planted queries have a link each, so a graph that finds nothing is searched wider and wider, till all is compared."""
+    x = groups_of("pairs", np.random.default_rng(6))[2500:3500]
+    x[:30] = x[900:930] + 0.01
+    true = links_by_scan(x, x)
+    np.fill_diagonal(true, False)
+    monkeypatch.setattr(hnsw, "Graph", lambda x, seed: Blind(len(x), lambda n: np.zeros((n, 1), np.int64)))
+    index = hnsw.Index(unit(x), np.ones(len(x), np.int64), 0.9, 32, 0.99, 0)
+    assert index.width >= len(index.leaders) and index.audit[0] < 0.1 * index.audit[1] and index.audit[1] >= 64
+    assert (searched(x, index=index)[0] == true.sum(1)).all()
+
+
+def test_block_audit_ignores_the_own_group():
+    """A graph that gives each query its own row alone: the block's audit sees the missing links."""
     rng = np.random.default_rng(3)
-    unit = lambda v: (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-    x = unit(rng.normal(size=(1000, 48)))
-    q, own, start = unit(rng.normal(size=(1000, 48))), None, lambda n: np.zeros((n, 1), np.int64)
-    if case == "rare":  # a few queries have a partner, and no search finds it
-        q[[101, 501, 777]] = unit(x[[5, 6, 7]] + 0.01 * rng.normal(size=(3, 48)))
-    elif case == "themselves":  # each search finds its own row alone
-        x[500:510] = unit(x[:10] + 0.01 * rng.normal(size=(10, 48)))
-        q, own, start = x, np.arange(1000), lambda n: np.arange(1000)[:, None]
-    else:  # half of the queries see all of a dense group, the others miss their one partner
-        x[:300] = unit(x[:1] + 0.01 * rng.normal(size=(300, 48)))
-        q[::2], q[1::2] = x[rng.integers(0, 300, 500)], x[400:900]
-        start = lambda n: np.tile(np.arange(300), (n, 1))
-    i, j = hnsw.within(x, Blind(1000, start), q, 0.9, 32, 0.99, own=own)
-    true = q @ x.T >= np.float32(0.9 - 1e-4)
-    assert len(set(zip(i.tolist(), j.tolist()))) == len(i) == true.sum() and true[i, j].all()
+    x = rng.normal(size=(1000, 48))
+    x[500:] = unit(x[:500]) + 0.05 * rng.normal(size=(500, 48))
+    true = links_by_scan(x, x)
+    np.fill_diagonal(true, False)
+    index = hnsw.Index(unit(x), np.ones(1000, np.int64), 0.9, 32, 0.99, 0)
+    assert len(index.leaders) == 1000
+    index.graph, index.width = Blind(1000, lambda n: np.arange(n)[:, None]), 32
+    links, _, (hits, of) = searched(x, index=index)
+    assert (links == true.sum(1)).all() and hits == 0 < of
+
+
+def test_exact_copies_and_counts(spark):
+    rng = np.random.default_rng(8)
+    x = [rng.normal(size=8).tolist()] * 30 + [rng.normal(size=8).tolist() for _ in range(5)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x)] + [(0, x[0])], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(rows, least=0.97).collect()}
+    assert all(got[i] == (29, 0, i == 0) for i in range(30))
+
+
+def test_long_vectors_and_bytes(spark):
+    """Shards are bounded by bytes: a dimension of 2,048 makes more of them."""
+    assert hnsw.Layout(1_000_000, 1000, 2048, 8).shards == 245 and hnsw.Layout(1_000_000, 1000, 64, 8).shards == 8
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 2048))
+    x[30:40] = x[:10] + 0.01 * rng.normal(size=(10, 2048))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in hnsw.near_duplicates(rows).collect()}
+    assert all(got[i].component_id == got[i + 30].component_id == i and got[i].n_links == 1 for i in range(10))
+    near = {r.query_id: r.vec_id for r in vptree.nearest(rows.filter("vec_id < 10"), rows, k=1).collect()}
+    assert near == {i: i + 30 for i in range(10)}
 
 
 def test_of_nothing(spark):
+    assert hnsw.near_duplicates(spark.createDataFrame([(5, None)], 'vec_id long, embedding array<float>')).first()[:4] == (5, 0, 5, True)
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vptree.nearest(none, none).count() == 0
-    assert hnsw.near_duplicates(none).count() == 0
+    assert hnsw.near_duplicates(none).count() == 0  # empty tables
 
 
 def test_components_of_a_path_and_a_star(spark):
