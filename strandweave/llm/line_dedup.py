@@ -13,12 +13,13 @@ different ones); else they always stay. Removal of a line's every unit removes t
 3. The rest emit their deletion neighbourhood: the hash of the unit and of each variant with a word
    left out, with the place. Units that share a variant and the place differ in that word; one that equals a
    variant of another has a word less. Groups are reduced to their earliest unit, never paired up. Variants of
-   `TEXT_WORDS` words or more are hashed by running sums over the unit's words, so a unit's work stays in proportion to its length.
+   `TEXT_WORDS` words or more leave out only words of segments that may hold the edit, and are hashed by running sums, so a unit's work stays in proportion to its length.
 4. Each unit and the earliest one it met are verified by their words: common start and common end must
    cover all but one.
 
 Rows that share doc_id and text are one document and get one result; rows that share doc_id but not text count as
-different documents, ordered by the text's hash. Null text is empty; null ids come first.
+different documents, ordered by the text's hash. Null text is empty; null ids come first. Empty lines always stay. An empty table gives no rows;
+other columns, whatever their names, ride along untouched in `rewrite` and aren't read in `dedup_lines`.
 """
 
 from __future__ import annotations
@@ -40,6 +41,9 @@ _UNITS = (
 #: Variants of fewer words are hashed as text, which is quicker for them; longer ones by running sums.
 TEXT_WORDS = 256
 
+#: Segments of a unit of TEXT_WORDS words or more, and its keys: size is the number of words that the segments are cut from, its own or one more.
+SEGMENTS = 16
+
 #: Bits of a sieve: 2,048 rows of 4 KB, so its broadcast is 8 MB whatever the input; when it fills up it lets more through, and the join after it decides.
 SIEVE_BITS = 1 << 26
 
@@ -100,16 +104,38 @@ def _text_variants(words: DataFrame) -> DataFrame:
     return rows.select("place", "q", size.alias("m"), F.xxhash64(text).alias("v"))
 
 
+def _segment_keys() -> Column:
+    outside = "substring_index(body, ' ', cast(s * k div {K} as int)), substring_index(body, ' ', cast(s * (k + 1) div {K} - s as int))".format(K=SEGMENTS)
+    keys = f"transform(sequence(0, {SEGMENTS - 1}), k -> struct(s as size, k as k, xxhash64(s, k, {outside}) as key))"
+    return F.expr(f"flatten(transform(filter(array(n, n + 1), s -> s > {TEXT_WORDS}), s -> {keys}))")
+
+
 def _long_variants(words: DataFrame) -> DataFrame:
-    """The same for each m from TEXT_WORDS on. A hash is the xor of hashes of (place, word): before q the words keep their places, after it they move by one."""
-    rows = words.filter(F.col("n") >= TEXT_WORDS).select("place", "n", F.posexplode(F.split("body", " ", -1)).alias("i", "word"))
-    rows = rows.select("place", "n", (F.col("i") + 1).alias("q"), F.xxhash64(F.col("i") + 1, "word").alias("stays"), F.xxhash64("i", "word").alias("moves"))
-    unit = Window.partitionBy("place")
-    upto, all_of_it = unit.orderBy("q").rowsBetween(Window.unboundedPreceding, Window.currentRow), unit.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sums = [F.bit_xor(c).over(w).alias(name) for c, w, name in (("stays", upto, "until"), ("moves", upto, "moved"), ("moves", all_of_it, "moves_all"))]
-    rows = rows.select("place", "n", "q", "stays", *sums)
-    without = rows.filter(F.col("n") > TEXT_WORDS).select("place", "q", (F.col("n") - 1).alias("m"), F.expr("until ^ stays ^ moves_all ^ moved").alias("v"))
-    return without.unionByName(rows.filter("q = n").select("place", F.lit(0).alias("q"), F.col("n").alias("m"), F.col("until").alias("v")))
+    """The same for each m from TEXT_WORDS on, but only for segments in which another unit may differ.
+
+    A unit has a key for each of its SEGMENTS segments, of all words outside it; once as it is and once as if that segment had a word more. Two units one
+    word apart share the key of the segment with the edit, so only the words of such segments are left out in turn.
+    A hash is the xor of hashes of (place, word): before q the words keep their places, after it they move by one.
+    """
+    long = words.filter(F.col("n") >= TEXT_WORDS)
+    keyed = stored(long.select("place", "n", F.explode(_segment_keys()).alias("s")).select("place", "n", "s.size", "s.k", "s.key"), "lines-segments")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("units")).filter("units > 1").select(F.col("key").alias("shared"))
+    met = keyed.join(shared, F.col("key") == F.col("shared")).groupBy("place").agg(F.collect_set(F.when(F.col("size") == F.col("n"), F.col("k"))).alias("ks"), F.max(F.col("size") > F.col("n")).alias("whole"))
+    w = F.split("body", " ", -1)
+    hashes = [F.transform(w, lambda x, i: F.xxhash64(i + 1, x)).alias("stays"), F.transform(w, lambda x, i: F.xxhash64(i, x)).alias("moves")]
+    rows = stored(long.join(met.withColumnRenamed("place", "met"), F.col("place") == F.col("met")).select("place", "n", "ks", "whole", *hashes), "lines-hashed")
+
+    all_of = lambda a: f"aggregate({a}, 0L, (s, x) -> s ^ x)"
+    whole = rows.filter("whole").select("place", F.lit(0).alias("q"), F.col("n").alias("m"), F.expr(all_of("stays")).alias("v"))
+    parts = rows.select("place", "n", "stays", "moves", F.explode("ks").alias("k")).withColumn("a", F.expr(f"n * k div {SEGMENTS}").cast("int")).withColumn("b", F.expr(f"n * (k + 1) div {SEGMENTS}").cast("int"))
+    outside = F.expr(f"{all_of('slice(stays, 1, a)')} ^ {all_of('slice(moves, b + 1, n)')}")
+    inside = F.expr("posexplode(arrays_zip(slice(stays, a + 1, b - a), slice(moves, a + 1, b - a)))").alias("i", "h")
+    parts = parts.select("place", "n", "k", "a", outside.alias("outside"), inside).select("place", "n", "k", "outside", (F.col("a") + F.col("i") + 1).alias("q"), F.col("h.0").alias("stays"), F.col("h.1").alias("moves"))
+    part = Window.partitionBy("place", "k").orderBy("q")
+    before, after = F.bit_xor("stays").over(part.rowsBetween(Window.unboundedPreceding, -1)), F.bit_xor("moves").over(Window.partitionBy("place", "k").orderBy(F.desc("q")).rowsBetween(Window.unboundedPreceding, -1))
+    v = F.expr("outside ^ coalesce(before, 0L) ^ coalesce(after, 0L)")
+    without = parts.withColumn("before", before).withColumn("after", after).select("place", "q", (F.col("n") - 1).alias("m"), v.alias("v"))
+    return without.unionByName(whole)
 
 
 def near_units(words: DataFrame) -> DataFrame:
