@@ -11,7 +11,9 @@ one of those, and all that share one are within 2 bits, so a star to the smalles
 same components, with no pair left out and none emitted beyond the group's size.
 
 Null text is empty. A text of fewer than `words` words is one shingle; without words the fingerprint is zero.
-Equal fingerprints are one node, whatever the number of documents. Repeated rows give repeated results.
+Equal fingerprints are one node, whatever the number of documents. Repeated rows give repeated results. A null doc_id takes part like any other:
+its row is linked, has the component's smallest id that isn't null, and null if there is none. An empty table gives no rows; other columns, whatever their
+names, aren't read, and `keep_first` hands them on as they are.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm.common import id_and_text, in_slices, stored, table
@@ -51,14 +53,14 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+    """(doc_id, doc_key, fp): the hash of the text, and the fingerprint as a signed 64-bit number."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text"):
             fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc_key"), pa.array(fps)], names=["doc_id", "doc_key", "fp"])
 
-    return id_and_text(docs).mapInArrow(hashed, "doc_id long, fp long")
+    return id_and_text(docs).select("doc_id", F.xxhash64("text").alias("doc_key"), "text").mapInArrow(hashed, "doc_id long, doc_key long, fp long")
 
 
 def links(fps: DataFrame, crowded: int = 64) -> DataFrame:
@@ -67,7 +69,9 @@ def links(fps: DataFrame, crowded: int = 64) -> DataFrame:
     point = " + ".join(f"shiftleft({c}, {3 * i})" for i, c in enumerate(count))
     up = ", ".join(f"if({c} < 4, {1 << 3 * i}L, null)" for i, c in enumerate(count))
     down = ", ".join(f"if({c} > 0, {-(1 << 3 * i)}L, null)" for i, c in enumerate(count))
-    keys = fps.select("fp", F.expr(point).alias("point"), F.expr(f"explode(array(0L, {up}, {down}))").alias("step")).filter("step is not null")
+    # fingerprints are few bytes and their cells many: dealt out before they are made, whatever few partitions they come in
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = fps.repartition(parts, "fp").select("fp", F.expr(point).alias("point"), F.expr(f"explode(array(0L, {up}, {down}))").alias("step")).filter("step is not null")
     keys = keys.select("fp", F.expr("point + step").alias("cell"))
     cells = keys.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = stored(keys.join(cells, "cell"), "simhash-cells")
@@ -84,21 +88,36 @@ def links(fps: DataFrame, crowded: int = 64) -> DataFrame:
     return few.unionByName(many).distinct()
 
 
+def _rooted(fps: DataFrame, crowded: int, least: Column) -> DataFrame:
+    """(f, component): for each fingerprint of fps the smallest `least` that it reaches over links of at most 2 bits."""
+    nodes = fps.groupBy("fp").agg(F.min(least).alias("least"))
+    found = components(links(nodes.select("fp"), crowded))
+    rooted = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    return stored(rooted.join(smallest, "root").select(F.col("fp").alias("f"), "component"), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, crowded: int = 64) -> DataFrame:
     """(doc_id, fp, component_id) of each row; component_id is the smallest doc_id reachable over links of at most 2 bits."""
     fps = stored(fingerprints(docs, words), "simhash-fp")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(nodes.select("fp"), crowded))
-    rooted = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = stored(rooted.join(smallest, "root").select(F.col("fp").alias("f"), "component_id"), "simhash-roots")
-    return fps.join(by_fp, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    by_fp = _rooted(fps, crowded, F.col("doc_id"))
+    return fps.join(by_fp, F.col("fp") == F.col("f")).select("doc_id", "fp", F.col("component").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, words: int = 3, crowded: int = 64) -> DataFrame:
-    """The rows of docs, all columns as they are, of which each component's smallest doc_id stays, once."""
-    first = near_duplicates(docs, words, crowded).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_first"))).drop("_first").dropDuplicates(["doc_id"])
+    """The rows of docs, all columns as they are, of which one document of each component stays.
+
+    A document is an id with a text (rows that share both are one and one of them stays; rows that share the id alone are different ones). The one of the smallest
+    id stays, null ids first, then that of the smallest hash of the text.
+    """
+    fps = stored(fingerprints(docs, words), "simhash-fp")
+    document = F.struct(F.col("doc_id").isNotNull().alias("has"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_key").alias("key"))
+    first = _rooted(fps, crowded, document).select("component.*").distinct()
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    own = [F.col("doc_id").isNotNull().alias("has"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")]
+    # the text is shuffled once: the join deals rows by the keys that repeats are dropped by
+    kept = docs.select(row, *own).join(first, ["has", "id", "key"]).dropDuplicates(["has", "id", "key"])
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op6_simhash_near_dedup(spark, sf_dir):
