@@ -3,11 +3,13 @@
 Texts are folded first: lower case, accents off, look-alike letters and digits that stand for letters to Latin letters,
 zero-width characters out, all else to spaces. The lexicon holds words and beginnings of words, each with its log
 odds between toxic and clean labelled documents, learned from a bounded sample (`per_class` documents of each
-class by smallest hash of the id; equal texts count once). Where a term also occurs in clean documents, its neighbouring
-words there that no toxic document has make exception phrases: a match that lies in one doesn't count. A
+class by smallest hash of the id; equal texts count once). Every term is an entry whose odds are `least_odds` or more and that
+`least_share` of the sampled toxic documents have (three at least); so their number is bounded by the sample, and none is left out. Where an entry also occurs in
+clean documents, its neighbouring words there that `least_clean` clean documents and no toxic one have make exception phrases, all of them: a match that lies in one doesn't count. A
 text's hits, one a word at most, are summed and set against its length; a logistic regression on the sample calibrates both to a score.
 
-Without labelled rows of both classes every score is 0. Null and empty texts have no hits. Repeated rows give repeated results.
+Ids labelled both ways give no sample; of equal texts with both labels the toxic one counts. Without labelled rows of both classes every score is 0. Null and empty
+texts have no hits; null ids are scored like any, but not learned from. Repeated rows give repeated results, an empty table none; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import bounded_sample, fold, id_and_text, in_slices, table
+from strandweave.llm.common import bounded_sample, id_and_text, in_slices, table
 from strandweave.llm.logistic import Logistic, class_weights
-from strandweave.llm.quality import Scorer, predictions
+from strandweave.llm.quality import Scorer, labelled, predictions
 
 #: Look-alikes of Latin letters in other scripts, and what stands for letters in obfuscated words.
 LOOK_ALIKES = {
@@ -115,16 +117,15 @@ class Lexicon:
         return [math.log1p(hits), math.log1p(100 * hits / (1 + f.count(" ")))]
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, per_class: int = 3000, entries: int = 4000) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, per_class: int = 3000, least_odds: float = math.log(20), least_share: float = 0.01) -> Scorer:
     """A scorer fitted on labelled rows outside the fold held_out."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
-    rows = rows.filter(fold(F.col("doc_id"), modulus) != held_out)
+    rows = labelled(labels, "toxic", modulus, held_out)
     counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
         return _clean
     # two numbers for each of at most 2 * per_class documents
-    sample = id_and_text(docs).join(F.broadcast(bounded_sample(rows, "label", per_class)), "doc_id").dropDuplicates(["text"])
-    sample = sample.persist()
+    sample = id_and_text(docs).join(F.broadcast(bounded_sample(rows, "label", per_class)), "doc_id")
+    sample = sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")).persist()
     try:
         sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
         if len(sizes) < 2:
@@ -132,8 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0,
         pos, neg = F.sum(F.col("n") * F.col("label")), F.sum(F.col("n") * (1 - F.col("label")))
         counted = sample.mapInArrow(_count(terms), "label long, term string, n long").groupBy("term").agg(pos.alias("pos"), neg.alias("neg"))
         odds = F.log((F.col("pos") + 0.5) / (sizes[1] + 1)) - F.log((F.col("neg") + 0.5) / (sizes[0] + 1))
-        counted = counted.filter(F.col("pos") >= max(3, 0.01 * sizes[1])).withColumn("odds", odds).filter(F.col("odds") > math.log(20))
-        found = counted.orderBy(F.desc("pos"), F.desc("odds"), "term").limit(entries).collect()
+        counted = counted.filter(F.col("pos") >= max(3, least_share * sizes[1])).withColumn("odds", odds).filter(F.col("odds") >= least_odds)
+        found = counted.orderBy("term").collect()
         weights = {r.term: r.odds for r in found}
         lexicon = Lexicon(weights, _exceptions(sample, {r.term for r in found if r.neg}))
 
@@ -174,8 +175,8 @@ def _count(of):
     return run
 
 
-def _exceptions(sample: DataFrame, ambiguous: set[str], least: int = 2, entries: int = 2000) -> list[str]:
-    """Two-word phrases with an ambiguous term that clean documents have at least `least` times and toxic ones never."""
+def _exceptions(sample: DataFrame, ambiguous: set[str], least_clean: int = 2) -> list[str]:
+    """Two-word phrases with an ambiguous term that at least `least_clean` clean documents have and no toxic one."""
     if not ambiguous:
         return []
 
@@ -186,7 +187,7 @@ def _exceptions(sample: DataFrame, ambiguous: set[str], least: int = 2, entries:
 
     pos, neg = F.sum(F.col("n") * F.col("label")), F.sum(F.col("n") * (1 - F.col("label")))
     counted = sample.mapInArrow(_count(phrases), "label long, term string, n long").groupBy("term").agg(pos.alias("pos"), neg.alias("neg"))
-    return [r.term for r in counted.filter((F.col("neg") >= least) & (F.col("pos") == 0)).orderBy(F.desc("neg"), "term").limit(entries).collect()]
+    return [r.term for r in counted.filter((F.col("neg") >= least_clean) & (F.col("pos") == 0)).orderBy("term").collect()]
 
 
 def op3_toxicity(spark, sf_dir):
