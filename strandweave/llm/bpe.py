@@ -1,14 +1,17 @@
 """Operator 5: BPE encoding and decoding, by tree concatenation.
 
-A text is cut before spaces that a non-space follows. No alternative of the tokenizer's splitting pattern
-crosses such a place, so the units between them encode on their own. A unit that stays long (no space for
-thousands of characters) has its pre-tokens found by the library; a long pre-token is halved down to leaves,
-the leaves are encoded, and at each join a window around it is encoded again, growing until its first token
-is the left side's and its last token the right side's. A BPE sequence is the right one if each pair of
+A text longer than `LEAF` characters is halved anywhere, down to leaves; the leaves are encoded, and at each join a window around it is encoded
+again. The window grows until it starts and ends before a space that a non-space follows, which no alternative of the tokenizer's
+splitting pattern crosses, and its first token is the left side's and its last token the right side's there: then both sides agree outside
+it, and the ids are those of the whole text exactly.
+
+Text between two such places that stays long (no space for thousands of characters) is cut out first, and its pre-tokens found by the library; a
+long pre-token is halved in the same way, with windows of tokens: a BPE sequence is the right one if each pair of
 neighbours is, so sides that agree in one token on either side of the window make the whole exact.
 
-Texts longer than `long_chars` are dealt out as pieces over tasks and put together by document; all others
-are encoded where they are read. Null text counts as empty; repeated rows give repeated results.
+Texts longer than `long_chars` are cut to pieces anywhere, dealt out over tasks, and joined by document in the same tree; all others
+are encoded where they are read. Null text counts as empty, null ids are encoded like any; repeated rows give repeated results, an empty table
+none; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -30,8 +33,12 @@ from strandweave.llm.common import id_and_text, in_slices
 #: Characters for which both libraries' splitting patterns have the same classes: Latin letters, digits, signs, plain white space.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ɏ]")
 _NOT_SAFE = re.compile(r" [\s\x00-\x1f\x7f-\xa0]| $")
+#: A place where a text may always be cut: before a space that a plain non-space follows.
+_SAFE = re.compile("(?= [!-~])")
 LEAF = 2048
 LONG_UNIT = 4096
+#: Characters around a join that are encoded again first.
+REACH = 64
 CACHE_ENTRIES = 300_000
 
 
@@ -50,8 +57,8 @@ class ByteBpe:
         self.size = self.tok.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 65536 else "<u4")
         self.spaced: dict[str, bytes] = {}
+        self.joins = 0
         self.quick = self._quick(name)
-        self.pieces: Strings | None = None
 
     def _quick(self, name: str):
         """The same vocabulary as ranks, if there is one: much faster on short units, and equal on the characters above."""
@@ -76,6 +83,28 @@ class ByteBpe:
         return self._ordinary(text)
 
     def _ordinary(self, text: str) -> np.ndarray:
+        """Ids of a text without special tokens."""
+        if len(text) > 2 * LEAF and max(map(len, text.split(" "))) <= LONG_UNIT:
+            half = len(text) // 2
+            return self.join_texts(self._ordinary(text[:half]), text[:half], self._ordinary(text[half:]), text[half:])
+        return self._leaf(text)
+
+    def join_texts(self, left: np.ndarray, a: str, right: np.ndarray, b: str) -> np.ndarray:
+        """Ids of the text a + b, from those of its two sides; what either says away from the join stays."""
+        if not a or not b:
+            return right if not a else left
+        self.joins += 1
+        reach, lens = REACH, self.strings.lens
+        while True:
+            start, end = _safe_before(a, reach), _safe_after(b, reach)
+            keep = len(left) - _tokens(lens[left[::-1]], len(a[start:].encode()))
+            drop = _tokens(lens[right], len(b[:end].encode()))
+            window = self._leaf(a[start:] + b[:end])
+            if (start == 0 or window[0] == left[keep]) and (end == len(b) or window[-1] == right[drop - 1]):
+                return np.concatenate([left[:keep], window, right[drop:]])
+            reach *= 2
+
+    def _leaf(self, text: str) -> np.ndarray:
         if self.quick is not None and not _OTHER.search(text) and (len(text) <= LONG_UNIT or max(map(len, text.split(" "))) <= LONG_UNIT):
             return np.array(self.quick.encode_ordinary(text), self.kind)
         units = safe_units(text)
@@ -130,13 +159,16 @@ class ByteBpe:
             reach *= 2
 
     # -- decoding ------------------------------------------------------------------------------------------
+    @functools.cached_property
+    def strings(self) -> Strings:
+        """The bytes that each token stands for."""
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
+        tokens = [self.tok.id_to_token(i) for i in range(self.size)]
+        return Strings([t.encode() if i in self.specials.values() else bytes(byte_of[c] for c in t) for i, t in enumerate(tokens)])
+
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids, special tokens included, as the library's byte-level decoder gives it."""
-        if self.pieces is None:
-            byte_of = {c: b for b, c in enumerate(byte_letters())}
-            tokens = [self.tok.id_to_token(i) for i in range(self.size)]
-            self.pieces = Strings([t.encode() if i in self.specials.values() else bytes(byte_of[c] for c in t) for i, t in enumerate(tokens)])
-        return self.pieces.joined(ids).decode("utf-8", "replace")
+        return self.strings.joined(ids).decode("utf-8", "replace")
 
 
 class Strings:
@@ -178,6 +210,25 @@ def safe_units(text: str) -> list[str]:
     return units
 
 
+def _safe_before(text: str, reach: int) -> int:
+    """The last safe place at least `reach` characters before the end, or the start."""
+    at = text.rfind(" ", 0, max(0, len(text) - reach))
+    while at > 0 and not _SAFE.match(text, at):
+        at = text.rfind(" ", 0, at)
+    return max(at, 0)
+
+
+def _safe_after(text: str, reach: int) -> int:
+    """The first safe place at least `reach` characters after the start, or the end."""
+    found = _SAFE.search(text, reach)
+    return found.start() if found else len(text)
+
+
+def _tokens(lens: np.ndarray, n: int) -> int:
+    """How many tokens from the first on stand for n bytes: a token has one at least, so no more than n are looked at."""
+    return int(np.searchsorted(np.cumsum(lens[:n]), n)) + 1 if n else 0
+
+
 @functools.cache
 def byte_bpe(name: str) -> ByteBpe:
     return ByteBpe(name)
@@ -220,44 +271,45 @@ def encode_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", long
             yield _rows(batch.column("doc_id").to_pylist(), [bpe.encode(t) for t in batch.column("text").to_pylist()], bpe, digests)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.string()), ("piece", pa.int64()), ("word", pa.bool_()), ("text", pa.string())])
+        schema = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.string()), ("piece", pa.int64()), ("kind", pa.string()), ("text", pa.string())])
         for batch in in_slices(batches, "text", 1):
             doc, text = batch.column("doc_id")[0].as_py(), batch.column("text")[0].as_py()
             key = hashlib.md5(text.encode()).hexdigest()
-            rows = [(doc, key, k, w, p) for k, (w, p) in enumerate(pieces_of(text, byte_bpe(tokenizer)))]
+            rows = [(doc, key, k, kind, p) for k, (kind, p) in enumerate(pieces_of(text, byte_bpe(tokenizer)))]
             for i in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 256]), schema.types)], schema=schema)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(tokenizer)
         for batch in in_slices(batches, "text"):
-            ids = [np.array(bpe.tree(t), bpe.kind) if w else bpe.encode(t) for w, t in zip(batch.column("word").to_pylist(), batch.column("text").to_pylist())]
-            cols = [batch.column(k) for k in ("doc_id", "doc_key", "piece", "word")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "doc_key", "piece", "word", "ids"])
+            ids = [np.array(bpe.tree(t), bpe.kind) if k == "word" else bpe.encode(t) for k, t in zip(batch.column("kind").to_pylist(), batch.column("text").to_pylist())]
+            yield batch.append_column("ids", pa.array([x.tobytes() for x in ids], pa.binary()))
 
     def together(t: pa.Table) -> pa.Table:
         bpe = byte_bpe(tokenizer)
         t = t.sort_by("piece")
-        parts = [(w, np.frombuffer(x, bpe.kind)) for w, x in zip(t.column("word").to_pylist(), t.column("ids").to_pylist())]
-        out, run = [], []
-        for w, ids in [*parts, (False, np.empty(0, bpe.kind))]:
-            if w:
-                run.append(ids.tolist())
-                continue
-            while len(run) > 1:  # the tree's upper levels
-                run = [bpe.join(run[i], run[i + 1]) if i + 1 < len(run) else run[i] for i in range(0, len(run), 2)]
-            if run:
-                out.append(np.array(run.pop(), bpe.kind))
-            out.append(ids)
+        parts = zip(t.column("kind").to_pylist(), (np.frombuffer(x, bpe.kind) for x in t.column("ids").to_pylist()), t.column("text").to_pylist())
+        joins = {"word": lambda x, y: (np.array(bpe.join(x[0].tolist(), y[0].tolist()), bpe.kind), ""), "text": lambda x, y: (bpe.join_texts(x[0], x[1], y[0], y[1]), x[1] + y[1])}
+        out, run, of = [np.empty(0, bpe.kind)], [], "end"
+        for kind, ids, text in [*parts, ("end", out[0], "")]:
+            if kind != of:
+                while len(run) > 1:  # the tree's upper levels
+                    run = [joins[of](run[i], run[i + 1]) if i + 1 < len(run) else run[i] for i in range(0, len(run), 2)]
+                out += [x for x, _ in run]
+                run, of = [], kind
+            if kind in joins:
+                run.append((ids, text))
+            else:
+                out.append(ids)
         return pa.Table.from_batches([_rows([t.column("doc_id")[0].as_py()], [np.concatenate(out)], bpe, digests)])
 
     short = docs.filter(F.length("text") <= long_chars).mapInArrow(whole, kind)
     pieces = docs.filter(F.length("text") > long_chars)
     copies = pieces.groupBy("doc_id", F.md5(F.col("text").cast("binary")).alias("doc_key")).agg(F.count(F.lit(1)).alias("copies"))
-    pieces = pieces.dropDuplicates(["doc_id", "text"]).mapInArrow(cut, "doc_id long, doc_key string, piece long, word boolean, text string")
+    pieces = pieces.dropDuplicates(["doc_id", "text"]).mapInArrow(cut, "doc_id long, doc_key string, piece long, kind string, text string")
     done = (
         pieces.repartition("doc_id", "doc_key", "piece")
-        .mapInArrow(leaves, "doc_id long, doc_key string, piece long, word boolean, ids binary")
+        .mapInArrow(leaves, "doc_id long, doc_key string, piece long, kind string, text string, ids binary")
         .groupBy("doc_id", "doc_key").applyInArrow(_keyed(together), kind + ", doc_key string")
     )
     c = copies.select(F.col("doc_id").alias("c_id"), F.col("doc_key").alias("c_key"), "copies")
@@ -273,37 +325,35 @@ def _keyed(f):
     return g
 
 
-def pieces_of(text: str, bpe: ByteBpe, size: int = 1 << 15) -> Iterator[tuple[bool, str]]:
-    """(False, text) for pieces between safe places, (True, letters) for cuts of one long pre-token; consecutive True pieces belong together."""
+def pieces_of(text: str, bpe: ByteBpe, size: int = 1 << 15) -> Iterator[tuple[str, str]]:
+    """("text", part) for cuts of a stretch anywhere, ("word", letters) for cuts of one long pre-token; neighbours of a kind belong together unless ("end", "") is between. ("whole", text) stands for itself."""
     parts = bpe.special.split(text) if bpe.special is not None else [text]
     for k, part in enumerate(parts):
         if k % 2:
-            yield False, part
+            yield "whole", part
             continue
-        units = safe_units(part)
         held: list[str] = []
-        n = 0
-        for i, u in enumerate(units):
+        for i, u in enumerate(safe_units(part)):
             u = " " + u if i else u
-            if len(u) > LONG_UNIT:
-                if held:
-                    yield False, "".join(held)
-                held, n = [], 0
-                for word, (a, b) in bpe.tok.pre_tokenizer.pre_tokenize_str(u):
-                    if len(word) > LEAF:
-                        for j in range(0, len(word), size):
-                            yield True, word[j : j + size]
-                        yield False, ""
-                    else:
-                        yield False, u[a:b]
+            if len(u) <= LONG_UNIT:
+                held.append(u)
                 continue
-            if n + len(u) > size and held:
-                yield False, "".join(held)
-                held, n = [], 0
-            held.append(u)
-            n += len(u)
-        if held:
-            yield False, "".join(held)
+            yield from _stretch("".join(held), size)
+            held = []
+            for word, (a, b) in bpe.tok.pre_tokenizer.pre_tokenize_str(u):
+                if len(word) > LEAF:
+                    for j in range(0, len(word), size):
+                        yield "word", word[j : j + size]
+                    yield "end", ""
+                else:
+                    yield "whole", u[a:b]
+        yield from _stretch("".join(held), size)
+
+
+def _stretch(text: str, size: int) -> Iterator[tuple[str, str]]:
+    for j in range(0, len(text), size):
+        yield "text", text[j : j + size]
+    yield "end", ""
 
 
 def op5_bpe_encode_decode(spark, sf_dir):
