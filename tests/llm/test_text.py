@@ -69,6 +69,45 @@ def test_tree_of_long_words():
         assert b.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def long_texts(rnd):
+    """Texts of several leaves: prose, runs of white space and signs, mixed scripts, special tokens, and stretches without spaces between them."""
+    alphabet = ["a", "the ", " ", "  ", "\n", "\t", "'s", "é", "12", "!?", "\x1c", "\xa0", "日本", "😀", "word ", " erou hath", "<|endoftext|>"]
+    yield " ".join(rnd.choice("the of and thin erou hath was reed Onti scum über née".split()) for _ in range(9000))
+    yield "".join(rnd.choice(alphabet) for _ in range(30_000))
+    yield "".join(rnd.choice(alphabet[:-1]) for _ in range(30_000))
+    yield "x " * 3000 + "ab" * 7000 + " and then" * 2000 + "\n" * 5000 + "end" + "é日" * 4000 + " the end" * 900
+    yield " " * 20_000 + "\t\n" * 3000 + "a b" * 5000
+
+
+def test_joins_of_long_texts(spark):
+    """Long texts go by halves that are joined, in a task and over tasks, and give the library's ids."""
+    t, b = library("byte_bpe_50k.json"), bpe.byte_bpe("byte_bpe_50k.json")
+    texts = list(long_texts(random.Random(8)))
+    for text in texts:
+        before = b.joins
+        assert b.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+        assert "<|" in text or "ab" * 9 in text or " " * 5000 in text or b.joins - before >= len(text) // bpe.LEAF // 4
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.encode_documents(df, long_chars=5000).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == t.encode(texts[r.doc_id], add_special_tokens=False).ids
+
+
+def test_a_join_anywhere():
+    t, b, rnd = library("byte_bpe_50k.json"), bpe.byte_bpe("byte_bpe_50k.json"), random.Random(9)
+    ids = lambda x: np.array(t.encode(x, add_special_tokens=False).ids, b.kind)
+    for text in long_texts(rnd):
+        text = text.replace("<|endoftext|>", " ")
+        for _ in range(25):
+            a = rnd.randrange(max(1, len(text) - 800))
+            part = text[a : a + rnd.randint(2, 800)]
+            cut = rnd.randrange(len(part) + 1)
+            assert b.join_texts(ids(part[:cut]), part[:cut], ids(part[cut:]), part[cut:]).tolist() == ids(part).tolist(), (part, cut)
+
+
+def test_bpe_of_nothing(nothing):
+    assert bpe.encode_documents(nothing).count() == 0 and bpe.encode_documents(nothing, digests=True).count() == 0
+
+
 def test_token_counts_are_the_librarys(docs, nothing):
     t = library("word_bpe_49k.json")
     want = [(r.doc_id, len((r.text or "").encode()), len(t.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect()]
@@ -156,9 +195,36 @@ def test_simhash_documents(docs, nothing):
     want = [(r.doc_id, fp[r.doc_id, r.text], least[root[fp[r.doc_id, r.text]]]) for r in rows]
     got = simhash.near_duplicates(docs.filter("doc_id is not null")).collect()
     same([(r.doc_id, r.fp % (1 << 64), r.component_id) for r in got], want)
-    kept = simhash.keep_first(docs.filter("doc_id is not null"))
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
-    assert simhash.near_duplicates(nothing).count() == 0
+    assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_first(nothing).count() == 0
+
+
+@pytest.mark.parametrize("words", [3, 5])
+def test_simhash_keeps_one_document_of_each_group(spark, words):
+    """Null and shared ids, repeated rows, ties, and columns with the operator's own names, against plain components."""
+    rnd = random.Random(17)
+    text = lambda n: " ".join(rnd.choice("abcdefghij") for _ in range(n))
+    a, b = text(300), text(300)
+    rows = [(5, a), (None, a), (None, b), (None, text(80)), (7, b + " j"), (7, text(50)), (7, text(50)), (3, ""), (4, None), (None, " "), (9, a), (9, a), (2, text(40)), (2, text(40))]
+    df = spark.createDataFrame([(*r, i % 2 == 0, i, "f") for i, r in enumerate(rows)], "doc_id long, text string, has boolean, _first int, fp string").repartition(3)
+    documents = sorted({(d is not None, d or 0, t or "") for d, t in rows})
+    fp = {t: simhash.fingerprint(t, words) for _, _, t in documents}
+    nodes = sorted(set(fp.values()))
+    root = roots(nodes, [(x, y) for x in nodes for y in nodes if x < y and bin(x ^ y).count("1") <= 2])
+    key = {t: df.select(F.xxhash64(F.lit(t))).first()[0] for t in fp}
+    want = {}
+    for has, d, t in documents:
+        want[root[fp[t]]] = min(want.get(root[fp[t]], (True, 1 << 60, 0, "")), (has, d, key[t], t))
+    got = simhash.keep_first(df, words)
+    assert got.columns == df.columns
+    same([(r.doc_id, r.text or "") for r in got.collect()], [(d if has else None, t) for has, d, _, t in want.values()])
+    whole = {(*rows[i], i % 2 == 0, i, "f") for i in range(len(rows))}
+    assert {tuple(r) for r in got.collect()} <= whole
+
+
+def test_simhash_of_null_ids(spark):
+    rows = [(None, "a b c d"), (4, "a b c d"), (None, "x y z"), (6, "a b c d")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    same([(r.doc_id, r.component_id) for r in got.collect()], [(None, 4), (4, 4), (None, None), (6, 4)])
 
 
 def units_of(text, least, most):
