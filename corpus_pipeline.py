@@ -31,8 +31,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6, with its contract's shingles and bits: of each component the document of the smallest id stays."""
-    return simhash.keep_first(docs)
+    """Operator 6, on shingles of five words: of each component the document of the smallest id stays (null ids first; repeated rows once)."""
+    return simhash.keep_first(docs, words=5)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
