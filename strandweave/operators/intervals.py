@@ -50,8 +50,9 @@ def interpolated(probes: DataFrame, knots: DataFrame, keys: Sequence[str], x: st
     knot = F.struct(F.col(kx).cast("double").alias("x"), F.col(ky).cast("double").alias("y"))
     one = probes.select(*keys, F.struct(*(F.col(c) for c in probes.columns)).alias("_p"), F.col(x).cast("double").alias("_x"), F.lit(1).alias("_o"), F.lit(None).cast("struct<x: double, y: double>").alias("_k"))
     two = knots.select(*keys, F.lit(None).cast(one.schema["_p"].dataType).alias("_p"), F.col(kx).cast("double").alias("_x"), F.lit(0).alias("_o"), knot.alias("_k"))
-    order = Window.partitionBy(*keys).orderBy("_x", "_o")
-    before, after = F.last("_k", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.first("_k", True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # a frame up to the current row grows as it goes, in either order; one from it onwards would be read anew for each row
+    so_far = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before, after = F.last("_k", True).over(so_far.orderBy("_x", "_o")), F.last("_k", True).over(so_far.orderBy(F.desc("_x"), F.desc("_o")))
     both = two.unionByName(one).withColumn("_a", before).withColumn("_z", after).filter("_o = 1")
     a, z = F.col("_a"), F.col("_z")
     line = a["y"] + (z["y"] - a["y"]) * (F.col("_x") - a["x"]) / (z["x"] - a["x"])
@@ -66,12 +67,16 @@ def zero_weights(df: DataFrame, spans: DataFrame, keys: Sequence[str], width: fl
 
 
 def outside_spans(events: DataFrame, spans: DataFrame, keys: Sequence[str], width: float, share: float = 0.5) -> DataFrame:
-    """Events (keys, ea, eb) of which less than `share` lies in spans (a, b); an event without length goes if a span holds it."""
+    """Different events (keys, ea, eb) of which less than `share` lies in spans (a, b); an event without length goes if a span holds it.
+
+    Only series and times meet the spans; events come back by them alone, nulls included, with what else they hold.
+    """
     events = events.distinct()
-    pairs = overlap_join(events, spans.select(*keys, "a", "b"), keys, ("ea", "eb"), ("a", "b"), width)
+    at = [*keys, "ea", "eb"]
+    pairs = overlap_join(events.select(*at).distinct(), spans.select(*keys, "a", "b"), keys, ("ea", "eb"), ("a", "b"), width)
     part = F.greatest(F.lit(0.0), F.least("eb", "b") - F.greatest("ea", "a"))
-    full = pairs.groupBy(*events.columns).agg(F.sum(part).alias("_in")).filter((F.col("_in") >= share * (F.col("eb") - F.col("ea"))))
-    return events.join(full.select(*events.columns), list(events.columns), "left_anti")
+    full = pairs.groupBy(*at).agg(F.sum(part).alias("_in")).filter(F.col("_in") >= share * (F.col("eb") - F.col("ea")))
+    return events.join(full.select(*at), at, "left_anti")  # a null series or time meets no span, so it stays
 
 
 def near_another(events: DataFrame, others: DataFrame, keys: Sequence[str], t: str, u: str, within: float) -> DataFrame:

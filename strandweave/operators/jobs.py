@@ -45,7 +45,7 @@ def operations(log: DataFrame, keys: Sequence[str], state: str = "state", at: st
 def overall_progress(events: DataFrame, ranges: DataFrame, cap: float = 0.999) -> DataFrame:
     """events (stage, pct, ...) with overall: pct within its stage's range (stage, low, high), capped. ranges has a row a stage."""
     pct = F.greatest(F.lit(0.0), F.least(F.lit(1.0), "pct"))
-    return events.join(F.broadcast(ranges), "stage").withColumn("overall", F.least(F.lit(cap), F.col("low") + (F.col("high") - F.col("low")) * pct)).drop("low", "high")
+    return events.join(ranges, "stage").withColumn("overall", F.least(F.lit(cap), F.col("low") + (F.col("high") - F.col("low")) * pct)).drop("low", "high")
 
 
 def monotone_progress(events: DataFrame, keys: Sequence[str], at: str = "t") -> DataFrame:
@@ -103,7 +103,7 @@ def remaining(ops: DataFrame, rates: DataFrame, keys: Sequence[str]) -> DataFram
     """(keys, seconds): what is left of each operation (op, amount, done) at its rate in seconds an amount: its own so far where some is done, the table's (op, cost) otherwise."""
     own = F.try_divide(F.col("spent"), F.col("done"))
     left = (F.col("amount") - F.col("done")) * F.coalesce(F.when(F.col("done") > 0, own), F.col("cost"))
-    return ops.join(F.broadcast(rates), "op").groupBy(*keys).agg(F.sum(left).alias("seconds"))
+    return ops.join(rates, "op").groupBy(*keys).agg(F.sum(left).alias("seconds"))
 
 
 def admission_order(jobs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -72,20 +72,25 @@ def robust_line(df: DataFrame, keys: Sequence[str], t: str = "t", y: str = "o",
 
     Times are taken from each series' weighted mean, so that large epochs lose no digits.
     """
+    from strandweave.session import materialised
+
     keys = list(keys)
     mean = df.groupBy(*keys).agg((F.sum(F.col(w) * F.col(t)) / F.sum(w)).alias("_tm"))
-    rows = df.join(mean, keys).select(*keys, (F.col(t) - F.col("_tm")).alias("_t"), F.col(y).alias("_y"), F.col(w).cast("double").alias("_w0"), "_tm").withColumn("_w", F.col("_w0"))
+    rows = df.select(*keys, F.col(t).alias("_t"), F.col(y).alias("_y"), F.col(w).cast("double").alias("_w")).join(mean, keys)
+    # stored once; each pass reads them twice, with the few numbers a series of the fit before
+    rows = materialised(rows.withColumn("_t", F.col("_t") - F.col("_tm")))
+    off = F.col("_y") - F.col("_a") * F.col("_t") - F.col("_b")
+    weighed, fit = rows, None
     for k in range(passes):
+        if k:
+            g = F.exp(-0.5 * F.pow(F.try_divide(off, F.lit(width) * F.col("_spread")), 2))
+            weighed = rows.join(fit.drop("_m"), keys).select(*rows.columns[:-2], (F.col("_w") * F.coalesce(g, F.lit(1.0))).alias("_w"), "_tm")
         a, b = _line()
-        fit = rows.groupBy(*keys).agg(*_moments(F.col("_w"), F.col("_t"), F.col("_y")), F.max("_tm").alias("_m"))
-        fit = fit.withColumn("_a", a).withColumn("_b", b).select(*keys, "_a", "_b", "_m")
-        rows = rows.select(*keys, "_t", "_y", "_w0", "_w", "_tm").join(fit, keys).withColumn("_r", F.col("_y") - F.col("_a") * F.col("_t") - F.col("_b"))
-        spread = rows.groupBy(*keys).agg(F.sqrt(F.sum(F.col("_w") * F.col("_r") * F.col("_r")) / F.sum("_w")).alias("spread"))
-        rows = rows.join(spread, keys)
-        if k < passes - 1:
-            g = F.exp(-0.5 * F.pow(F.try_divide(F.col("_r"), F.lit(width) * F.col("spread")), 2))
-            rows = rows.withColumn("_w", F.col("_w0") * F.coalesce(g, F.lit(1.0))).drop("_a", "_b", "_m", "_r", "spread")
-    return fit.join(spread, keys).select(*keys, F.col("_a").alias("a"), (F.col("_b") - F.col("_a") * F.col("_m")).alias("b"), "spread")
+        line = weighed.groupBy(*keys).agg(*_moments(F.col("_w"), F.col("_t"), F.col("_y")), F.max("_tm").alias("_m"))
+        line = materialised(line.withColumn("_a", a).withColumn("_b", b).select(*keys, "_a", "_b", "_m"))
+        spread = weighed.join(line, keys).groupBy(*keys).agg(F.sqrt(F.sum(F.col("_w") * off * off) / F.sum("_w")).alias("_spread"))
+        fit = materialised(line.join(spread, keys))
+    return fit.select(*keys, F.col("_a").alias("a"), (F.col("_b") - F.col("_a") * F.col("_m")).alias("b"), F.col("_spread").alias("spread"))
 
 
 def prefix_moments(df: DataFrame, keys: Sequence[str], t: str = "t", y: str = "o", w: str = "w") -> DataFrame:
@@ -149,7 +154,7 @@ def whitened(frames: DataFrame, reference: DataFrame, vec: str = "vec", eps: flo
     z = F.zip_with(F.col(vec), F.col("_stats"), lambda x, p: (x.cast("double") - p["m"]) / (p["s"] + eps))
     from strandweave.functions.vector import unit
 
-    return frames.crossJoin(F.broadcast(packed)).withColumn("_z", z).withColumn(vec, unit(F.col("_z"))).drop("_z", "_stats")
+    return frames.withColumn("_stats", packed.scalar()).withColumn("_z", z).withColumn(vec, unit(F.col("_z"))).drop("_z", "_stats")
 
 
 def z_normalised(frames: DataFrame, keys: Sequence[str], value: str = "value", eps: float = 1e-6) -> DataFrame:

@@ -147,9 +147,8 @@ def step_curve(points: DataFrame, cuts: DataFrame, keys: Sequence[str]) -> DataF
     order = Window.partitionBy(*keys).orderBy("t", "_c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     segs = every.withColumn("seg", F.sum("_c").over(order)).filter("_c = 0")
     got = segs.groupBy(*keys, "seg").agg(F.percentile(F.when(F.col("w") > 0, F.col("o")), 0.5).alias("_l"), F.sum("w").alias("support"))
-    by = Window.partitionBy(*keys).orderBy("seg")
-    back = F.last("_l", True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.first("_l", True).over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    so_far = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back, ahead = F.last("_l", True).over(so_far.orderBy("seg")), F.last("_l", True).over(so_far.orderBy(F.desc("seg")))
     return got.select(*keys, "seg", F.coalesce(back, ahead).alias("level"), "support")
 
 

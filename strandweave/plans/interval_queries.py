@@ -83,7 +83,7 @@ def e5_runs(spark, sf_dir):
 def c13_agreement_in_events(spark, sf_dir):
     """Spans whose anchors, wholly inside, have a median within 20 of 50: confirmed, so they go."""
     a = anchors(spark, sf_dir, "event_type").select("series", "t", F.col("t").alias("t2"), "o")
-    g = _grid(spark, sf_dir).filter(F.floor(F.col("g") / HOUR) % 12 == 0).select("series", F.col("g").alias("ea"), (F.col("g") + 6 * HOUR).alias("eb"))
+    g = _grid(spark, sf_dir).filter(F.floor(F.col("g") / HOUR) % 6 == 0).select("series", F.col("g").alias("ea"), (F.col("g") + 6 * HOUR).alias("eb"))
     met = intervals.overlap_join(g, a, ["series"], ("ea", "eb"), ("t", "t2"), 6 * HOUR).filter((F.col("t") - 600 >= F.col("ea")) & (F.col("t") + 600 <= F.col("eb")))
     agreed = met.groupBy("series", "ea", "eb").agg(F.percentile("o", 0.5).alias("m"), F.count(F.lit(1)).alias("n")).filter("n >= 3 and abs(m - 50) <= 20")
     return g.join(agreed, ["series", "ea", "eb"], "left_anti").select("series", "ea", "eb")
@@ -163,7 +163,7 @@ select e.series, round(e.ea, 6) as ea, round(e.eb, 6) as eb from e left join c o
     "g5_uncovered_gaps": f"""select series, round(reach, 6) as gap_a, round(a, 6) as gap_b from (select *, max(b) over (partition by series order by a, b rows between unbounded preceding and 1 preceding) as reach from ({SPANS_SQL})) where a - reach >= 0.5""",
     "e5_runs": f"""with d as (select distinct series, cast(floor(b) as bigint) as i from ({SPANS_SQL})), r as (select series, i, i - row_number() over (partition by series order by i) as g from d)
 select series, min(i) as run_a, max(i) as run_b, count(*) as n from r group by series, g""",
-    "c13_agreement_in_events": f"""with g as (select series, g as ea, g + {6 * HOUR} as eb from ({_GRID}) where cast(floor(g / {HOUR}) as bigint) % 12 = 0), a as ({AE}),
+    "c13_agreement_in_events": f"""with g as (select series, g as ea, g + {6 * HOUR} as eb from ({_GRID}) where cast(floor(g / {HOUR}) as bigint) % 6 = 0), a as ({AE}),
 ok as (select g.series, ea from g join a on a.series = g.series and t - 600 >= ea and t + 600 <= eb group by g.series, ea having count(*) >= 3 and abs(quantile_cont(o, 0.5) - 50) <= 20)
 select series, ea, eb from g where not exists (select 1 from ok where ok.series = g.series and ok.ea = g.ea)""",
     "i31_map_pieces": f"select series, t0, t1, round(x0, 6) as x0, round(x1, 6) as x1 from ({_PIECES})",

@@ -40,12 +40,13 @@ def j3_band_edges(spark, sf_dir):
 
 
 def _shifted(spark, sf_dir, by: int):
-    e = _envelopes(spark, sf_dir).filter("frame < 200")
+    e = _envelopes(spark, sf_dir)
     return e, e.withColumn("frame", F.col("frame") + by)
 
 
 def _nodes(e):
-    return e.filter("frame % 20 = 0 and frame between 40 and 140").select("series", F.col("frame").alias("node"))
+    """A grid of every 20th frame."""
+    return e.filter("frame % 20 = 0").select("series", F.col("frame").alias("node"))
 
 
 def j4_windowed_lags(spark, sf_dir):
@@ -84,27 +85,30 @@ def j10_embedding_surface(spark, sf_dir):
     """Of every frame of the dub, the best frame of ref: the ridge of the similarity surface."""
     f = frames(spark, sf_dir).withColumn("pair", F.lit(1))
     side = lambda s: f.filter(f"series = '{s}'").select("pair", "frame", "vec")
-    got = best_separated(side("dub"), side("ref"), ["pair"], thin=4, apart=0, least=-1.0, margin=-3.0)
+    got = best_separated(side("dub"), side("ref"), ["pair"], thin=1, apart=0, least=-1.0, margin=-3.0)
     return got.select("dub", "ref", F.round("cos", 6).alias("cos"))
 
 
+def _values(spark, sf_dir):
+    return samples(spark, sf_dir).select("series", "i", F.col("x").alias("v"))
+
+
 def j17_resampled(spark, sf_dir):
-    """Samples brought to 2.5 times fewer places."""
-    s = samples(spark, sf_dir).filter("i < 1000").select("series", "i", F.col("x").alias("v"))
-    places = s.filter("i < 400").select("series", "i", (F.col("i") * 2.3717).alias("at"))
-    return S.warped(s, places, ["series"]).select("series", "i", F.round("v", 4).alias("v"))
+    """Samples read at 2.37 times the distance, held at the end."""
+    s = _values(spark, sf_dir)
+    return S.warped(s, s.select("series", "i", (F.col("i") * 2.3717193713).alias("at")), ["series"]).select("series", "i", F.round("v", 4).alias("v"))
 
 
 def j20_warped(spark, sf_dir):
-    s = samples(spark, sf_dir).filter("i < 1000").select("series", "i", F.col("x").alias("v"))
-    return S.warped(s, s.select("series", "i", (F.col("i") * 1.01371 - 3.30019).alias("at")), ["series"]).select("series", "i", F.round("v", 4).alias("v"))
+    s = _values(spark, sf_dir)
+    return S.warped(s, s.select("series", "i", (F.col("i") * 1.0137129173 - 3.3001913717).alias("at")), ["series"]).select("series", "i", F.round("v", 4).alias("v"))
 
 
 def j22_piecewise_warped(spark, sf_dir):
     """Samples read under a shift that jumps at 5 s: each stretch keeps to its own nodes."""
-    s = samples(spark, sf_dir).filter("i < 1000").select("series", "i", F.col("x").alias("v"))
+    s = _values(spark, sf_dir)
     names = s.select("series").distinct()
-    curve = names.select("series", F.explode(F.array(*(F.struct(F.lit(float(t)).alias("t"), F.lit(sh).alias("shift")) for t, sh in ((0, 0.0), (4, 0.0213717), (6, 0.1037193), (9, 0.1037193))))).alias("n")).select("series", "n.*")
+    curve = names.select("series", F.explode(F.array(*(F.struct(F.lit(float(t)).alias("t"), F.lit(sh).alias("shift")) for t, sh in ((0, 0.0), (4, 0.0213717193), (6, 0.1037193713), (9, 0.1037193713))))).alias("n")).select("series", "n.*")
     at = S.piecewise_places(s.select("series", "i"), curve, names.withColumn("tc", F.lit(5.0)), ["series"], 100.0)
     return S.warped(s, at, ["series"]).select("series", "i", F.round("v", 4).alias("v"))
 
@@ -115,33 +119,35 @@ def j23_seam_silences(spark, sf_dir):
 
 
 def j24_silenced(spark, sf_dir):
-    s = samples(spark, sf_dir).filter("i < 1000").select("series", "i", F.col("x").alias("v"))
-    spans = s.select("series").distinct().select("series", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1.005, 2.005), (4.995, 6.105))))).alias("n")).select("series", "n.*")
+    """Samples with two spans of every 100 s silenced."""
+    s = _values(spark, sf_dir)
+    every = s.groupBy("series").agg(F.floor(F.max("i") / 10_000).alias("last")).select("series", F.explode(F.expr("transform(sequence(0L, last), k -> k * 100.0D)")).alias("from"))
+    spans = every.select("series", "from", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1.005, 2.005), (4.995, 6.105))))).alias("n")).select("series", (F.col("from") + F.col("n.a")).alias("a"), (F.col("from") + F.col("n.b")).alias("b"))
     return S.silenced(s, spans, ["series"], 100.0, 0.1, 1.0).select("series", "i", F.round("v", 3).alias("v"))
 
 
 def a7_fitted_blocks(spark, sf_dir):
-    """Blocks 1 to 6 of sound on a grid of blocks 0 to 4: what is missing is zero, what is over goes."""
+    """Sound without its first block on a grid of all blocks but its last two: what is missing is zero, what is over goes."""
     from strandweave.sources.files import fitted_blocks
 
-    b = _blocks(spark, sf_dir, 100).filter("block between 1 and 6")
-    grid = b.select("series").distinct().select("series", F.explode(F.expr("sequence(0L, 4L)")).alias("block"))
-    got = fitted_blocks(grid, b, ["series"], 100)
+    b = _blocks(spark, sf_dir, 100)
+    grid = b.groupBy("series").agg(F.max("block").alias("last")).select("series", F.explode(F.expr("sequence(0L, last - 2)")).alias("block"))
+    got = fitted_blocks(grid, b.filter("block > 0"), ["series"], 100)
     return got.select("series", "block", F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x), 3).alias("total"), F.size("samples").alias("n"))
 
 
-_S = f"select * from ({SAMPLES_SQL}) where i < 1000"
-_WARP = f"""with s as ({_S}), p as ({{places}}),
-c as (select series, i, greatest(0, least(999, pos)) as pos from p)
-select c.series, c.i, round(a.x + coalesce((b.x - a.x) * (pos - floor(pos)), 0), {{digits}}) as v from c join s a on a.series = c.series and a.i = floor(pos) left join s b on b.series = c.series and b.i = floor(pos) + 1"""
+_WARP = f"""with s as ({SAMPLES_SQL}), e as (select series, max(i) as last from s group by series), p as ({{places}}),
+c as (select p.series, i, greatest(0, least(last, pos)) as pos from p join e on p.series = e.series)
+select c.series, c.i, round(a.x + coalesce((b.x - a.x) * (pos - floor(pos)), 0), 4) as v from c join s a on a.series = c.series and a.i = floor(pos) left join s b on b.series = c.series and b.i = floor(pos) + 1"""
+_NEAR = "greatest(0, least(1, greatest(i // 10000 * 100 + {a} - i / 100, i / 100 - (i // 10000 * 100 + {b})) / 0.1))"
 ORACLES = {
     "j3_band_edges": "select k, round(pow(10.0::double, log10(50.0) + k / 48 * (log10(7999.0) - log10(50.0))), 6) as edge from (select unnest(generate_series(0, 48)) as k)",
-    "j17_resampled": _WARP.format(places="select series, i, i * 2.3717::double as pos from s where i < 400", digits=4),
-    "j20_warped": _WARP.format(places="select series, i, i * 1.01371::double - 3.30019 as pos from s", digits=4),
-    "j22_piecewise_warped": _WARP.format(places="select series, i, i + 100 * case when i / 100 <= 5 then least(i / 100, 4) / 4 * 0.0213717 else 0.1037193 end as pos from s", digits=4),
+    "j17_resampled": _WARP.format(places="select series, i, i * 2.3717193713::double as pos from s"),
+    "j20_warped": _WARP.format(places="select series, i, i * 1.0137129173::double - 3.3001913717::double as pos from s"),
+    "j22_piecewise_warped": _WARP.format(places="select series, i, i + 100 * case when i / 100 <= 5 then least(i / 100, 4) / 4 * 0.0213717193::double else 0.1037193713::double end as pos from s"),
     "j23_seam_silences": "select c_nationkey as series, round(c_custkey - case when c_acctbal < 0 then abs(c_acctbal / 10000) / 2 else 0.15 end, 4) as a, round(c_custkey + case when c_acctbal < 0 then abs(c_acctbal / 10000) / 2 else 0.15 end, 4) as b from customer",
-    "j24_silenced": f"""select series, i, round(x * least(greatest(0, least(1, greatest(1.005 - i / 100, i / 100 - 2.005) / 0.1)), greatest(0, least(1, greatest(4.995 - i / 100, i / 100 - 6.105) / 0.1))), 3) as v from ({_S})""",
-    "a7_fitted_blocks": f"""with n as (select distinct series from ({SAMPLES_SQL})), g as (select series, b from n, (select unnest(generate_series(0, 4)) as b)), s as (select series, i // 100 as b, sum(x) as t from ({SAMPLES_SQL}) where i // 100 between 1 and 6 group by series, i // 100)
-select g.series, g.b as block, round(coalesce(t, 0), 3) as total, 100 as n from g left join s on s.series = g.series and s.b = g.b""",
+    "j24_silenced": f"select series, i, round(x * least({_NEAR.format(a='1.005::double', b='2.005::double')}, {_NEAR.format(a='4.995::double', b='6.105::double')}), 3) as v from ({SAMPLES_SQL})",
+    "a7_fitted_blocks": f"""with b as (select series, i // 100 as b, sum(x) as t from ({SAMPLES_SQL}) group by series, i // 100), g as (select series, unnest(generate_series(0, max(b) - 2)) as b from b group by series)
+select g.series, g.b as block, round(coalesce(t, 0), 3) as total, 100 as n from g left join b on b.series = g.series and b.b = g.b and b.b > 0""",
 }
 QUERIES = {k: globals()[k] for k in (*ORACLES, "j1_envelopes", "j2_track_envelopes", "j4_windowed_lags", "j6_residual_lags", "j11_whole_length_lags", "j13_descriptors", "j15_found_points", "j10_embedding_surface")}

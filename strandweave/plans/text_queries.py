@@ -203,7 +203,7 @@ def d12_affine_consensus(spark, sf_dir):
     """Scale and offset found again from matches of which a third is wrong."""
     from strandweave.operators.geometry import affine_consensus
 
-    a = anchors(spark, sf_dir, "event_type").withColumn("x", F.col("w") / 100).withColumn("y", (F.col("event_id") % 97) / 97).filter("event_id % 10 = 0")
+    a = anchors(spark, sf_dir, "event_type").withColumn("x", F.col("w") / 100).withColumn("y", (F.col("event_id") % 97) / 97)
     bad = F.col("event_id") % 3 == 0
     m = a.select("series", "x", "y", F.when(bad, F.col("y")).otherwise(F.col("x") * 1.1 + 0.05).alias("u"), F.when(bad, F.col("x")).otherwise(F.col("y") * 0.9 - 0.02).alias("v"), F.lit(0.9).alias("conf"))
     got = affine_consensus(m, ["series"], tries=100)
