@@ -75,7 +75,7 @@ def robust_line(df: DataFrame, keys: Sequence[str], t: str = "t", y: str = "o",
     from strandweave.session import materialised
 
     keys = list(keys)
-    mean = df.groupBy(*keys).agg((F.sum(F.col(w) * F.col(t)) / F.sum(w)).alias("_tm"))
+    mean = df.groupBy(*keys).agg(F.try_divide(F.sum(F.col(w) * F.col(t)), F.sum(w)).alias("_tm"))
     rows = df.select(*keys, F.col(t).alias("_t"), F.col(y).alias("_y"), F.col(w).cast("double").alias("_w")).join(mean, keys)
     # stored once; each pass reads them twice, with the few numbers a series of the fit before
     rows = materialised(rows.withColumn("_t", F.col("_t") - F.col("_tm")))
@@ -88,7 +88,7 @@ def robust_line(df: DataFrame, keys: Sequence[str], t: str = "t", y: str = "o",
         a, b = _line()
         line = weighed.groupBy(*keys).agg(*_moments(F.col("_w"), F.col("_t"), F.col("_y")), F.max("_tm").alias("_m"))
         line = materialised(line.withColumn("_a", a).withColumn("_b", b).select(*keys, "_a", "_b", "_m"))
-        spread = weighed.join(line, keys).groupBy(*keys).agg(F.sqrt(F.sum(F.col("_w") * off * off) / F.sum("_w")).alias("_spread"))
+        spread = weighed.join(line, keys).groupBy(*keys).agg(F.sqrt(F.try_divide(F.sum(F.col("_w") * off * off), F.sum("_w"))).alias("_spread"))
         fit = materialised(line.join(spread, keys))
     return fit.select(*keys, F.col("_a").alias("a"), (F.col("_b") - F.col("_a") * F.col("_m")).alias("b"), F.col("_spread").alias("spread"))
 

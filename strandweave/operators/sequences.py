@@ -234,13 +234,17 @@ def segmented(df: DataFrame, keys: Sequence[str], penalty: float = 700.0, least:
     return by_series(df.select("t", "o", "w", *keys), keys, run, "seg long, t_lo double, t_hi double, a double, b double")
 
 
-def warp_cuts(lines: DataFrame, keys: Sequence[str], least: float = 3.0, apart: float = 15.0) -> DataFrame:
-    """(keys, tc, v): steps of at least `least` between neighbouring lines at the middle of their gap; of those nearer than `apart` the larger."""
+def line_steps(lines: DataFrame, keys: Sequence[str], least: float = 3.0) -> DataFrame:
+    """(keys, tc, v): steps of at least `least` between neighbouring lines at the middle of their gap."""
     order = Window.partitionBy(*keys).orderBy("seg")
     n = {c: F.lead(c).over(order) for c in ("t_lo", "a", "b")}
     tc = (F.col("t_hi") + n["t_lo"]) / 2
-    steps = lines.select(tc.alias("tc"), (n["a"] * tc + n["b"] - F.col("a") * tc - F.col("b")).alias("v"), *keys).filter(F.abs("v") >= least)
-    return merge_cuts(steps, keys, apart)
+    return lines.select(*keys, tc.alias("tc"), (n["a"] * tc + n["b"] - F.col("a") * tc - F.col("b")).alias("v")).filter(F.abs("v") >= least)
+
+
+def warp_cuts(lines: DataFrame, keys: Sequence[str], least: float = 3.0, apart: float = 15.0) -> DataFrame:
+    """(keys, tc, v): line_steps, of those nearer than `apart` the larger."""
+    return merge_cuts(line_steps(lines, keys, least), keys, apart)
 
 
 def merge_cuts(cuts: DataFrame, keys: Sequence[str], apart: float = 15.0) -> DataFrame:

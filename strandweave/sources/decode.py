@@ -50,22 +50,27 @@ def frame_features(frames: DataFrame, keys: Sequence[str], expected: DataFrame |
     return frames.mapInPandas(run, f"{kinds}, frame long, t double, vec array<float>")
 
 
+#: Fixed weights of red, green and blue in luma.
+LUMA = np.array([0.299, 0.587, 0.114])
+
+
 def fingerprints(frames: DataFrame, keys: Sequence[str], zones: int = 6) -> DataFrame:
-    """(keys, frame, zones, p10, p50, p90, novelty): mean luma of horizontal zones, luma's quantiles, and the mean absolute difference to the frame before."""
+    """(keys, frame, zones, p10, p50, p90, novelty) of colour frames (w, h, rgb: three bytes a pixel): means of red, green and blue of each horizontal zone, from the top, luma's quantiles, and its mean absolute difference to the frame before (0 for the first, or after one of another size)."""
     keys = list(keys)
     kinds = ", ".join(f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys)
-    before = F.lag("grey").over(Window.partitionBy(*keys).orderBy("frame"))
+    before = F.lag("rgb").over(Window.partitionBy(*keys).orderBy("frame"))
 
     def run(parts):
         for p in parts:
             rows = []
-            for g, b, w, h in zip(p["grey"], p["_before"], p["w"], p["h"]):
-                x = np.frombuffer(g, np.uint8).reshape(h, w).astype(float)
-                new = np.abs(x.ravel() - np.frombuffer(b, np.uint8)).mean() if b is not None and len(b) == len(g) else 0.0
-                rows.append(([float(z.mean()) for z in np.array_split(x, zones)], *np.percentile(x, (10, 50, 90)), new))
+            for now, last, w, h in zip(p["rgb"], p["_before"], p["w"], p["h"]):
+                x = np.frombuffer(now, np.uint8).reshape(h, w, 3).astype(float)
+                luma = (x @ LUMA).ravel()
+                new = np.abs(luma - np.frombuffer(last, np.uint8).reshape(-1, 3) @ LUMA).mean() if last is not None and len(last) == len(now) else 0.0
+                rows.append(([float(v) for z in np.array_split(x, zones) for v in z.mean((0, 1))], *np.percentile(luma, (10, 50, 90)), new))
             yield p[[*keys, "frame"]].assign(**dict(zip(("zones", "p10", "p50", "p90", "novelty"), map(list, zip(*rows)))) if rows else {})
 
-    return frames.select(*keys, "frame", "w", "h", "grey", before.alias("_before")).mapInPandas(run, f"{kinds}, frame long, zones array<double>, p10 double, p50 double, p90 double, novelty double")
+    return frames.select(*keys, "frame", "w", "h", "rgb", before.alias("_before")).mapInPandas(run, f"{kinds}, frame long, zones array<double>, p10 double, p50 double, p90 double, novelty double")
 
 
 def read_wav(spark: SparkSession, path: str, block: int = 44_100) -> DataFrame:

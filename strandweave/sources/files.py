@@ -58,6 +58,22 @@ def sidecars(videos: DataFrame, files: DataFrame, suffixes: Sequence[str] = ("vt
     return v.join(t, "dir").filter(F.startswith("name", F.concat("_stem", F.lit(".")))).select("dir", "video", "name")
 
 
+def candidate_catalogues(folders: DataFrame) -> DataFrame:
+    """(root, name, series, videos) of folders that hold folders with media (rows of catalogue()), by the folder above; those named with _ first are left out, and a folder directly at the top stands for itself."""
+    up = F.regexp_extract("dir", "^(.*)/[^/]*$", 1)
+    root = F.when(up == "", F.col("dir")).otherwise(up)
+    got = folders.withColumn("root", root).groupBy("root").agg(F.count(F.lit(1)).alias("series"), F.sum("n_files").alias("videos")).filter("videos > 0")
+    return got.withColumn("name", F.regexp_extract("root", "([^/]*)$", 1)).filter(~F.col("name").startswith("_")).select("root", "name", "series", "videos")
+
+
+def summarised(values: Column) -> Column:
+    """An array as what a record keeps of it: JSON of its number of values and their median (null if it has none)."""
+    v = F.array_sort(F.transform(values, lambda x: x.cast("double")))
+    n = F.size(v)
+    middle = (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
+    return F.to_json(F.struct(n.alias("n"), middle.alias("median")), {"ignoreNullFields": "false"})
+
+
 def content_key(name: Column, size: Column, modified: Column, *more: Column) -> Column:
     """The key by which results are kept: name, size and time, and what else they depend on."""
     return F.concat_ws("|", name, size.cast("string"), modified.cast("string"), *more)
