@@ -69,9 +69,9 @@ def links(fps: DataFrame, crowded: int = 64) -> DataFrame:
     point = " + ".join(f"shiftleft({c}, {3 * i})" for i, c in enumerate(count))
     up = ", ".join(f"if({c} < 4, {1 << 3 * i}L, null)" for i, c in enumerate(count))
     down = ", ".join(f"if({c} > 0, {-(1 << 3 * i)}L, null)" for i, c in enumerate(count))
-    # fingerprints are few bytes and their cells many: dealt out before they are made, whatever few partitions they come in
+    # fingerprints are few bytes and their cells many: dealt out before they are made, whatever few partitions they come in (by fp itself the plan would drop it)
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = fps.repartition(parts, "fp").select("fp", F.expr(point).alias("point"), F.expr(f"explode(array(0L, {up}, {down}))").alias("step")).filter("step is not null")
+    keys = fps.repartition(parts, F.xxhash64("fp")).select("fp", F.expr(point).alias("point"), F.expr(f"explode(array(0L, {up}, {down}))").alias("step")).filter("step is not null")
     keys = keys.select("fp", F.expr("point + step").alias("cell"))
     cells = keys.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = stored(keys.join(cells, "cell"), "simhash-cells")
