@@ -12,7 +12,8 @@ back exactly. The loss mask holds the spans (start, end in code points) of assis
 
 A conversation's events are folded in one task, since each depends on those before; that task holds its messages
 only (and streaming them past needs no more than the open one when `edit` and `regenerate` are absent). Null text
-is empty, null role is "user", null event is `message`. Events of equal sequence go by event, role, then text; repeated rows count each. Conversations without messages give no row.
+is empty, null role is "user", null event is `message`; rows of null conv_id are one conversation. Events of equal sequence go by event, role, text, then target; repeated
+rows count each. Conversations without messages give no row, nor does an empty log; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def format_log(log: DataFrame) -> DataFrame:
         close()
         yield from flush()
 
-    dealt = log.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "event", "role", "text")
+    dealt = log.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "event", "role", "text", "target")
     return dealt.mapInArrow(folded, "conv_id long, formatted string, loss_mask array<struct<start: long, end: long>>")
 
 

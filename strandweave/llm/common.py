@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextvars
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,10 +43,29 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: compact, columnar, cut lineage."""
+_SCRATCH: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What stored() writes inside is removed at its end: for callers who have then written what they made of it."""
+    paths: list[str] = []
+    before = _SCRATCH.set(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(before)
+        for p in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: compact, columnar, cut lineage. keep: not removed by the scratch() around it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not keep and _SCRATCH.get() is not None:
+        _SCRATCH.get().append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

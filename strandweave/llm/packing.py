@@ -6,8 +6,8 @@ are summed in two levels (blocks of partitions, then blocks) to give each partit
 so no task and no driver sees more than a number a partition. A document that crosses a window's edge leaves
 a boundary record on either side: each piece says where it starts in its document and in its sequence.
 
-Null text is empty: such a document is its end token alone. Repeated rows are packed each. An empty table
-gives no rows. Only the last sequence is short, so padding is below one window in all.
+Null text is empty: such a document is its end token alone. Null ids and repeated rows are packed each. An empty table
+gives no rows; other columns, whatever their names, aren't read. Only the last sequence is short, so padding is below one window in all.
 """
 
 from __future__ import annotations

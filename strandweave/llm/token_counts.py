@@ -5,7 +5,8 @@ nor its splitting pattern reaches across those. Batches hold about as many bytes
 in a batch the library encodes each different piece once, and a piece seen before by this worker not at all.
 Pieces longer than `long_piece` (no white space for thousands of characters) are encoded and not kept.
 
-Null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated results.
+Null text counts as empty (0 bytes, 0 tokens); null ids are counted like any; repeated rows give repeated results, an empty table none; other columns,
+whatever their names, aren't read.
 """
 
 from __future__ import annotations
