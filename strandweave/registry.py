@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandweave.plans import cut_queries, file_queries, interval_queries, job_queries, pair_queries, robust_queries, signal_queries, similarity_queries, text_queries, window_queries
+from strandweave.plans import cut_queries, file_queries, interval_queries, job_queries, pair_queries, robust_queries, sequence_sql, signal_queries, similarity_queries, text_queries, window_queries
 
-MODULES = (robust_queries, interval_queries, window_queries, similarity_queries, text_queries, job_queries, signal_queries, pair_queries, cut_queries, file_queries)
+MODULES = (robust_queries, interval_queries, window_queries, similarity_queries, text_queries, job_queries, signal_queries, pair_queries, cut_queries, file_queries, sequence_sql)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLES.items()}
