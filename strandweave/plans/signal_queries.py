@@ -123,7 +123,7 @@ def j24_silenced(spark, sf_dir):
     s = _values(spark, sf_dir)
     every = s.groupBy("series").agg(F.floor(F.max("i") / 10_000).alias("last")).select("series", F.explode(F.expr("transform(sequence(0L, last), k -> k * 100.0D)")).alias("from"))
     spans = every.select("series", "from", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1.005, 2.005), (4.995, 6.105))))).alias("n")).select("series", (F.col("from") + F.col("n.a")).alias("a"), (F.col("from") + F.col("n.b")).alias("b"))
-    return S.silenced(s, spans, ["series"], 100.0, 0.1, 1.0).select("series", "i", F.round("v", 3).alias("v"))
+    return S.silenced(s, spans, ["series"], 100.0, 0.1, 1.0).select("series", "i", F.round("v", 8).alias("v"))
 
 
 def a7_fitted_blocks(spark, sf_dir):
@@ -146,7 +146,7 @@ ORACLES = {
     "j20_warped": _WARP.format(places="select series, i, i * 1.0137129173::double - 3.3001913717::double as pos from s"),
     "j22_piecewise_warped": _WARP.format(places="select series, i, i + 100 * case when i / 100 <= 5 then least(i / 100, 4) / 4 * 0.0213717193::double else 0.1037193713::double end as pos from s"),
     "j23_seam_silences": "select c_nationkey as series, round(c_custkey - case when c_acctbal < 0 then abs(c_acctbal / 10000) / 2 else 0.15 end, 4) as a, round(c_custkey + case when c_acctbal < 0 then abs(c_acctbal / 10000) / 2 else 0.15 end, 4) as b from customer",
-    "j24_silenced": f"select series, i, round(x * least({_NEAR.format(a='1.005::double', b='2.005::double')}, {_NEAR.format(a='4.995::double', b='6.105::double')}), 3) as v from ({SAMPLES_SQL})",
+    "j24_silenced": f"select series, i, round(x * least({_NEAR.format(a='1.005::double', b='2.005::double')}, {_NEAR.format(a='4.995::double', b='6.105::double')}), 8) as v from ({SAMPLES_SQL})",
     "a7_fitted_blocks": f"""with b as (select series, i // 100 as b, sum(x) as t from ({SAMPLES_SQL}) group by series, i // 100), g as (select series, unnest(generate_series(0, max(b) - 2)) as b from b group by series)
 select g.series, g.b as block, round(coalesce(t, 0), 3) as total, 100 as n from g left join b on b.series = g.series and b.b = g.b and b.b > 0""",
 }
