@@ -18,6 +18,8 @@ from strandweave.functions.vector import cosine
 from strandweave.session import materialised
 
 BLOCK = 2048
+#: Ways that a pair's query blocks are dealt for the join, so that no pair is one key.
+LANES = 16
 
 
 def packed_frames(frames: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
@@ -54,7 +56,11 @@ def best_separated(dub: DataFrame, ref: DataFrame, keys: Sequence[str], thin: in
     r = pack(ref).select(*keys, F.col("block").alias("r_block"), F.col("frames").alias("r_frames"), F.col("vecs").alias("r_vecs"))
     kinds = ", ".join(f"{k} {dub.schema[k].dataType.simpleString()}" for k in keys)
     d, r = materialised(d), materialised(r)
-    met = d.join(r, keys).repartition(*keys, "d_block", "r_block")
+    # a pair alone is one key for all its blocks: dub's are dealt to lanes, and ref's go to each lane that is there
+    last = d.agg(F.max("d_block")).first()[0]
+    lanes = min(LANES, (last or 0) + 1)
+    lane = F.pmod("d_block", F.lit(lanes)).cast("int").alias("lane")
+    met = d.select("*", lane).join(r.select("*", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")), [*keys, "lane"]).drop("lane").repartition(*keys, "d_block", "r_block")
 
     def first(batches):
         for batch in batches:

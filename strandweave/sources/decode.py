@@ -90,14 +90,27 @@ def read_wav(spark: SparkSession, path: str, block: int = 44_100) -> DataFrame:
     return files.mapInPandas(run, "track string, block long, rate int, samples array<double>")
 
 
-def write_wav(blocks: DataFrame, track: str, path: str, rate: int) -> None:
-    """One track's blocks to a WAV file, streamed block by block."""
-    with wave.open(path, "wb") as w:
-        w.setnchannels(1)
-        w.setsampwidth(2)
-        w.setframerate(rate)
-        for row in blocks.filter(F.col("track") == track).orderBy("block").toLocalIterator():
-            w.writeframes(np.clip(np.round(row.samples), -32_768, 32_767).astype("<i2").tobytes())
+def wav_parts(blocks: DataFrame, keys: Sequence[str], rate: int, every: int = 600) -> DataFrame:
+    """(keys, part, content): 16-bit mono WAV files of `every` blocks each, in order of block (samples in the range of 16-bit numbers, clipped). A part is a task's work, so a long track is many."""
+    keys = list(keys)
+    kinds = ", ".join(f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys)
+    row = F.sort_array(F.collect_list(F.struct("block", F.col("samples").cast("array<double>").alias("samples"))))
+    parts = blocks.withColumn("part", F.floor(F.col("block") / every)).groupBy(*keys, "part").agg(F.flatten(F.transform(row, lambda b: b["samples"])).alias("samples"))
+
+    def content(samples) -> bytes:
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(rate)
+            w.writeframes(np.clip(np.round(np.asarray(samples)), -32_768, 32_767).astype("<i2").tobytes())
+        return out.getvalue()
+
+    def run(batches):
+        for p in batches:
+            yield p[[*keys, "part"]].assign(content=[content(x) for x in p["samples"]])
+
+    return parts.mapInPandas(run, f"{kinds}, part long, content binary")
 
 
 def resampled_mono(blocks: DataFrame, keys: Sequence[str], every: int) -> DataFrame:

@@ -480,3 +480,35 @@ def test_fingerprints_of_colour(spark):
     for i, r in enumerate(got):
         assert np.allclose(r.zones, pictures[i].reshape(6, 2, 5, 3).mean((1, 2)).ravel())
         assert np.allclose((r.p10, r.p50, r.p90), np.percentile(luma[i], (10, 50, 90))) and abs(r.novelty - (np.abs(luma[i] - luma[i - 1]).mean() if i else 0)) < 1e-9
+
+
+def test_sound_there_and_back(spark, tmp_path):
+    """Blocks to WAV parts, their files read again: the samples, rounded and clipped."""
+    from strandweave.sources import decode
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=1000) * 20_000
+    df = spark.createDataFrame([("a", k, x[k * 100 : k * 100 + 100].tolist()) for k in range(10)], "track string, block long, samples array<double>")
+    for r in decode.wav_parts(df, ["track"], 8000, 4).collect():
+        (tmp_path / f"{r.part}.wav").write_bytes(bytes(r.content))
+    got = decode.read_wav(spark, f"file://{tmp_path}", 150).collect()
+    read = [v for r in sorted(got, key=lambda r: (r.track, r.block)) for v in r.samples]
+    assert {r.rate for r in got} == {8000} and read == np.clip(np.round(x), -32_768, 32_767).tolist()
+
+
+def test_frame_features(spark):
+    from strandweave.sources import decode
+
+    rng = np.random.default_rng(4)
+    pictures = rng.integers(0, 256, (3, 6, 5), np.uint8)
+    df = spark.createDataFrame([("a", i, i / 24, 5, 6, bytearray(p.tobytes())) for i, p in enumerate(pictures)], "s string, frame long, t double, w int, h int, grey binary")
+    for r in decode.frame_features(df, ["s"], spark.createDataFrame([("a", 3)], "s string, n long")).collect():
+        p = np.pad(pictures[r.frame].astype(float), 1, mode="edge")
+        maps = []
+        for kernel in (decode.LAPLACE, decode.ACROSS):
+            m = np.array([[(p[y : y + 3, x : x + 3] * kernel).sum() for x in range(5)] for y in range(6)])
+            m = np.clip(m, -3, 3).ravel()
+            maps.append(m / np.linalg.norm(m) / np.sqrt(2))
+        assert np.allclose(r.vec, np.concatenate(maps), atol=1e-6)
+    with pytest.raises(Exception, match="incomplete series"):
+        decode.frame_features(df, ["s"], spark.createDataFrame([("a", 9)], "s string, n long")).collect()
