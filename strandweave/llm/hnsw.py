@@ -419,14 +419,13 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, width: int = 32,
         shard, mine = unpacked(row), pickle.loads(row["index"])
         ids = shard[0]
         hung = np.flatnonzero(mine.leaders[mine.group] != np.arange(len(ids)))
-        first = row["part"] == 0
-        return [shard, mine, _unit(shard[2][mine.leaders]), (ids[hung], ids[mine.leaders[mine.group[hung]]]) if first else None, mine.audit if first else (0, 0)]
+        return [shard, mine, _unit(shard[2][mine.leaders]), (ids[hung], ids[mine.leaders[mine.group[hung]]]), mine.audit]
 
     def search(held: list, block: dict) -> pa.RecordBatch:
         shard, mine, leaders, hung, planted = held
         q_rows = unpacked(block)
         links, (node, root), audit = links_of(mine, leaders, shard, q_rows, least, recall)
-        if hung is not None:  # what hangs under the shard's leaders, said once
+        if hung is not None:  # what hangs under the shard's leaders, said with a task's first block: any task may be the only one with a block of this dimension
             node, root = np.concatenate([node, hung[0]]), np.concatenate([root, hung[1]])
         held[3], held[4] = None, (0, 0)
         some = links > 0

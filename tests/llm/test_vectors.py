@@ -157,6 +157,16 @@ def test_exact_copies_and_counts(spark):
     assert all(got[i] == (29, 0, i == 0) for i in range(30))
 
 
+def test_few_vectors_of_a_second_dimension(spark):
+    """Two near ones of another dimension are linked, whichever block they fall in."""
+    rng = np.random.default_rng(4)
+    x = [rng.normal(size=8).tolist() for _ in range(40)] + [[1.0, 2.0, 3.0], [1.0, 2.0, 3.001], [1.0, 2.0, 3.002]]
+    for shift in range(4):
+        rows = spark.createDataFrame([(i + 1000 * shift, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {r.vec_id - 1000 * shift: (r.n_links, r.component_id - 1000 * shift) for r in hnsw.near_duplicates(rows, least_shards=1, block_rows=8).collect()}
+        assert [got[i] for i in (40, 41, 42)] == [(2, 40)] * 3
+
+
 def test_long_vectors_and_bytes(spark):
     """Shards are bounded by bytes: a dimension of 2,048 makes more of them."""
     assert hnsw.Layout(1_000_000, 1000, 2048, 8).shards == 245 and hnsw.Layout(1_000_000, 1000, 64, 8).shards == 8
