@@ -337,6 +337,17 @@ def test_chat_folds_a_log(spark):
     assert chat.format_log(df.filter("conv_id = 9")).count() == 0
 
 
+def test_chat_ties_clashes_and_repeats(spark):
+    """Events of one sequence go by event, role, text and target, in any order of the rows; columns with the operator's names aren't read; repeated rows count each."""
+    log = [(1, 0, "message", "user", "a", None), (1, 1, "message", "user", "b", None), (1, 2, "edit", None, "x", 1), (1, 2, "edit", None, "x", 0), (2, 0, "message", "user", "r", None), (2, 0, "message", "user", "r", None), (None, 5, None, None, None, None), (None, 4, "start", "assistant", None, None)]
+    schema = "conv_id long, seq long, event string, role string, text string, target int, formatted string, loss_mask int"
+    for rows in (log, log[::-1]):
+        df = spark.createDataFrame([(*r, "no", 1) for r in rows], schema).repartition(2)
+        got = {r.conv_id: chat.read_back(r.formatted) for r in chat.format_log(df).collect()}
+        # targets 0 then 1: the edit of message 0 drops message 1, so the edit of 1 finds none
+        assert got == {1: [("user", "x")], 2: [("user", "r"), ("user", "r")], None: [("assistant", ""), ("user", "")]}
+
+
 def test_chat_query(spark):
     sf = "/root/testdata/sf0.001"
     got = {r.conv_id: r for r in chat.op4_chat_formatting(spark, sf).collect()}
