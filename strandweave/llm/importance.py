@@ -93,7 +93,7 @@ def tuples_of(cut_rows: DataFrame, ids: DataFrame, longest: int) -> tuple[DataFr
         second = [pa.array([side] * w, pa.bool_()), pa.array([block] * w, pa.int64()), *(pa.nulls(w, schema.field(i).type) for i in (2, 3, 4)), pa.array(np.arange(w)), pa.array([r[r >= 0].tolist() for r in distinct], pa.list_(pa.int64())), pa.array(n)]
         return pa.concat_tables([pa.Table.from_arrays(first, schema=schema), pa.Table.from_arrays(second, schema=schema)])
 
-    both = documents.groupBy("block").cogroup(words.withColumnRenamed("block", "in_block").groupBy("in_block")).applyInArrow(runs, "target boolean, block long, doc_id long, n_words long, uses binary, k long, ids array<long>, n long")
+    both = documents.groupBy("block").cogroup(words.select(F.col("block").alias("in_block"), "k", "id").groupBy("in_block")).applyInArrow(runs, "target boolean, block long, doc_id long, n_words long, uses binary, k long, ids array<long>, n long")
     both = stored(both, "importance-runs")
     return both.filter("k is not null").select("target", "block", "k", "ids", "n"), both.filter("k is null").select("target", "block", "doc_id", "n_words", "uses")
 
