@@ -14,6 +14,7 @@ table gives no rows, an empty target leaves all counts of it at 0. Other columns
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,12 +25,20 @@ from pyspark.sql import functions as F
 
 from strandweave.llm.common import id_and_text, in_slices, stored, table
 
-#: Bytes of text in a block: its words are numbered together.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in a block: its words are numbered together, by a task that holds them and their counts, not the texts.
+BLOCK_BYTES, SLICE_BYTES = 32 << 20, 1 << 20
 #: Letters A-Z in lower case, digits, a-z and all that isn't ASCII as they are, the rest to spaces. UTF-8 has bytes of 128 and more outside ASCII alone.
 _FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_CUT = pa.schema([("target", pa.bool_()), ("block", pa.int64()), ("doc_id", pa.int64()), ("uses", pa.binary()), ("k", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
-_CUT_SQL = "target boolean, block long, doc_id long, uses binary, k long, word string, n long"
+_CUT = pa.schema([("target", pa.bool_()), ("block", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("uses", pa.binary()), ("k", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
+_CUT_SQL = "target boolean, block long, doc_id long, n_words long, uses binary, k long, word string, n long"
+
+
+def pressed(numbers: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(numbers, "<i4").tobytes(), 1)
+
+
+def opened(uses: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(uses), "<i4")
 
 
 def words_of(text: str) -> list[bytes]:
@@ -42,29 +51,51 @@ def cut(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 32
-        for batch in in_slices(batches, "text", BLOCK_BYTES):
-            numbers: defaultdict[bytes, int] = defaultdict()
-            numbers.default_factory = numbers.__len__
-            uses = [np.fromiter(map(numbers.__getitem__, words_of(t)), np.int32) for t in batch.column("text").to_pylist()]
-            n = np.bincount(np.concatenate(uses), minlength=len(numbers)) if numbers else np.empty(0, np.int64)
-            sides = batch.column("target")
-            m, w = batch.num_rows, len(numbers)
-            yield pa.RecordBatch.from_arrays([sides, pa.array(np.full(m, block)), batch.column("doc_id"), pa.array([x.tobytes() for x in uses], pa.binary()), *(pa.nulls(m, _CUT.field(i).type) for i in (4, 5, 6))], schema=_CUT)
-            if w:  # a partition is of one side alone
-                words = pa.array([x.decode() for x in numbers], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([sides[0].as_py()] * w, pa.bool_()), pa.array(np.full(w, block)), pa.nulls(w, pa.int64()), pa.nulls(w, pa.binary()), pa.array(np.arange(w)), words, pa.array(n.astype(np.int64))], schema=_CUT)
-            block += 1
+        block, held, side = TaskContext.get().partitionId() << 32, 0, None
+        numbers: defaultdict[bytes, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
+        n = np.zeros(1 << 16, np.int64)
+
+        def words() -> pa.RecordBatch:
+            w = len(numbers)
+            cols = [pa.array([side] * w, pa.bool_()), pa.array(np.full(w, block)), pa.nulls(w, pa.int64()), pa.nulls(w, pa.int64()), pa.nulls(w, pa.binary()), pa.array(np.arange(w)), pa.array([x.decode() for x in numbers], pa.string()), pa.array(n[:w])]
+            return pa.RecordBatch.from_arrays(cols, schema=_CUT)
+
+        for batch in in_slices(batches, "text", SLICE_BYTES):
+            texts, m, side = batch.column("text").to_pylist(), batch.num_rows, batch.column("target")[0].as_py()  # a partition is of one side alone
+            uses = [np.fromiter(map(numbers.__getitem__, words_of(t)), np.int32) for t in texts]
+            if len(numbers) > len(n):
+                n = np.concatenate([n, np.zeros(max(len(n), len(numbers) - len(n)), np.int64)])
+            met, times = np.unique(np.concatenate(uses), return_counts=True)
+            n[met] += times
+            cols = [batch.column("target"), pa.array(np.full(m, block)), batch.column("doc_id"), pa.array([len(x) for x in uses], pa.int64()), pa.array([pressed(x) for x in uses], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(m, _CUT.field(i).type) for i in (5, 6, 7))], schema=_CUT)
+            held += sum(map(len, texts))
+            if held >= BLOCK_BYTES:
+                yield words()
+                block, held = block + 1, 0
+                numbers.clear()
+                n[:] = 0
+        if numbers:
+            yield words()
 
     return texts.mapInArrow(run, _CUT_SQL)
 
 
-def tuples_of(cut_rows: DataFrame, ids: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
+def dictionary(cut_rows: DataFrame) -> DataFrame:
+    """(id, word, s, t) of each distinct word: its uses in the corpus and in the target."""
+    words = cut_rows.filter("word is not null").groupBy("word").agg(*_uses())
+    return stored(words.withColumn("id", F.monotonically_increasing_id()), "importance-dictionary")
+
+
+def _uses() -> list[Column]:
+    return [F.sum(F.when(F.col("target") == side, F.col("n")).otherwise(0)).alias(name) for side, name in ((False, "s"), (True, "t"))]
+
+
+def runs_of(cut_rows: DataFrame, ids: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
     """(features, documents): the distinct runs of 1 to `longest` words of each block as tuples of ids, (target, block, k, ids, n), and the documents, (target, block, doc_id, n_words, uses of k)."""
-    documents = cut_rows.filter("word is null").select("target", "block", "doc_id", "uses")
-    words = cut_rows.filter("word is not null").select("target", "block", "k", "word", "n").join(ids, "word").select("target", "block", "k", "id", "n")
-    if longest == 1:
-        return words.select("target", "block", "k", F.array("id").alias("ids"), "n"), documents.withColumn("n_words", (F.octet_length("uses") / 4).cast("long"))
+    documents = cut_rows.filter("word is null").select("target", "block", "doc_id", "n_words", "uses")
+    words = cut_rows.filter("word is not null").select("block", "k", "word").join(ids.select("word", "id"), "word")
     schema = pa.schema([("target", pa.bool_()), ("block", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("uses", pa.binary()), ("k", pa.int64()), ("ids", pa.list_(pa.int64())), ("n", pa.int64())])
 
     def runs(docs: pa.Table, known: pa.Table) -> pa.Table:
@@ -74,7 +105,7 @@ def tuples_of(cut_rows: DataFrame, ids: DataFrame, longest: int) -> tuple[DataFr
         id_of[known.column("k").to_numpy()] = known.column("id").to_numpy()
         spelt, m = [], docs.num_rows
         for x in docs.column("uses").to_pylist():
-            own = id_of[np.frombuffer(x, np.int32)]
+            own = id_of[opened(x)]
             rows = np.full((sum(max(0, len(own) - j) for j in range(longest)), longest), -1)
             at = 0
             for j in range(min(longest, len(own))):  # runs of j + 1 words
@@ -82,13 +113,12 @@ def tuples_of(cut_rows: DataFrame, ids: DataFrame, longest: int) -> tuple[DataFr
                 at += len(own) - j
             spelt.append(rows)
         distinct, place = np.unique(np.concatenate(spelt), axis=0, return_inverse=True)
-        place = place.ravel().astype(np.int32)
+        place = place.ravel()
         ends = np.cumsum([len(x) for x in spelt])
-        uses = [place[e - len(x) : e].tobytes() for x, e in zip(spelt, ends)]
+        uses = [pressed(place[e - len(x) : e]) for x, e in zip(spelt, ends)]
         n = np.bincount(place, minlength=len(distinct)).astype(np.int64)
         side, block = docs.column("target")[0].as_py(), docs.column("block")[0].as_py()
-        n_words = [len(x) // 4 for x in docs.column("uses").to_pylist()]
-        first = [docs.column("target"), docs.column("block"), docs.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(uses, pa.binary()), *(pa.nulls(m, schema.field(i).type) for i in (5, 6, 7))]
+        first = [docs.column("target"), docs.column("block"), docs.column("doc_id"), docs.column("n_words"), pa.array(uses, pa.binary()), *(pa.nulls(m, schema.field(i).type) for i in (5, 6, 7))]
         w = len(distinct)
         second = [pa.array([side] * w, pa.bool_()), pa.array([block] * w, pa.int64()), *(pa.nulls(w, schema.field(i).type) for i in (2, 3, 4)), pa.array(np.arange(w)), pa.array([r[r >= 0].tolist() for r in distinct], pa.list_(pa.int64())), pa.array(n)]
         return pa.concat_tables([pa.Table.from_arrays(first, schema=schema), pa.Table.from_arrays(second, schema=schema)])
@@ -99,14 +129,16 @@ def tuples_of(cut_rows: DataFrame, ids: DataFrame, longest: int) -> tuple[DataFr
 
 
 def hashed(features: DataFrame, ids: DataFrame, longest: int, buckets: int) -> DataFrame:
-    """(ids, bucket, s, t) of each distinct tuple: its bytes hashed once, its uses in the corpus and in the target."""
-    uses = [F.sum(F.when(F.col("target") == side, F.col("n")).otherwise(0)).alias(name) for side, name in ((False, "s"), (True, "t"))]
-    tuples = features.groupBy("ids").agg(*uses)
+    """(ids, bucket, s, t) of each distinct tuple: its bytes put together and hashed once, its uses in the corpus and in the target."""
+    tuples = features.groupBy("ids").agg(*_uses())
     for j in range(longest):
         spelt = ids.select(F.col("id").alias(f"id{j}"), F.col("word").alias(f"word{j}"))
         tuples = tuples.withColumn(f"id{j}", F.get("ids", F.lit(j))).join(spelt, f"id{j}", "left")
-    text = F.concat_ws(" ", *(f"word{j}" for j in range(longest)))
-    return tuples.select("ids", F.pmod(F.crc32(text.cast("binary")), F.lit(buckets)).cast("int").alias("bucket"), "s", "t")
+    return tuples.select("ids", _bucket(F.concat_ws(" ", *(f"word{j}" for j in range(longest))), buckets), "s", "t")
+
+
+def _bucket(text: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(text.cast("binary")), F.lit(buckets)).cast("int").alias("bucket")
 
 
 def gains(tuples: DataFrame, buckets: int) -> DataFrame:
@@ -122,19 +154,22 @@ def weighed(docs: DataFrame, target: DataFrame, longest: int = 1, buckets: int =
     """(doc_id, n_words, n_features, weight) of each document; target has texts alone."""
     sides = id_and_text(docs).withColumn("target", F.lit(False)).unionByName(target.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("target")))
     cut_rows = stored(cut(sides), "importance-words")
-    distinct = cut_rows.filter("word is not null").select("word").distinct()
-    ids = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "importance-dictionary")
-    features, documents = tuples_of(cut_rows, ids, longest)
-    tuples = stored(hashed(features, ids, longest, buckets), "importance-tuples")
+    ids = dictionary(cut_rows)
+    if longest == 1:  # a tuple of one id is its dictionary's row: the counts and the bytes are there
+        tuples = stored(ids.select("id", "word", _bucket(F.col("word"), buckets), "s", "t"), "importance-tuples")
+        features, documents, key = cut_rows.filter("word is not null").select("target", "block", "k", "word"), cut_rows.filter("word is null"), "word"
+    else:
+        features, documents = runs_of(cut_rows, ids, longest)
+        tuples, key = stored(hashed(features, ids, longest, buckets), "importance-tuples"), "ids"
     # a row a bucket: bounded by the parameter
-    by_tuple = tuples.join(F.broadcast(gains(tuples, buckets)), "bucket").select("ids", "gain")
-    back = features.filter("not target").join(by_tuple, "ids").select(F.col("block").alias("in_block"), "k", "gain")
+    by_tuple = tuples.join(F.broadcast(gains(tuples, buckets)), "bucket").select(key, "gain")
+    back = features.filter("not target").join(by_tuple, key).select(F.col("block").alias("in_block"), F.col("k").cast("int").alias("k"), F.col("gain").cast("int").alias("gain"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("weight", pa.int64())])
 
     def add(own: pa.Table, known: pa.Table) -> pa.Table:
         gain = np.zeros(known.num_rows + 1, np.int64)
         gain[known.column("k").to_numpy()] = known.column("gain").to_numpy()
-        uses = [np.frombuffer(x, np.int32) for x in own.column("uses").to_pylist()]
+        uses = [opened(x) for x in own.column("uses").to_pylist()]
         return pa.Table.from_arrays([own.column("doc_id"), own.column("n_words"), pa.array([len(x) for x in uses], pa.int64()), pa.array([int(gain[x].sum()) for x in uses], pa.int64())], schema=schema)
 
     own = documents.filter("not target").select("block", "doc_id", "n_words", "uses")
