@@ -257,96 +257,32 @@ def simplified(df: DataFrame, keys: Sequence[str], tolerance: float = 3.0) -> Da
     return by_series(df.select("t", "o", *keys), keys, lambda p: p.iloc[K.polyline(p["t"].to_numpy(float), p["o"].to_numpy(float), tolerance)][["t", "o"]].reset_index(drop=True), "t double, o double")
 
 
-def drift_curve(df: DataFrame, keys: Sequence[str], rate: float, smooth: int = 48, power: float = 3.0, gate: float = 0.5) -> DataFrame:
-    """(keys, t, curve): o by moving weighted medians (weights to `power`) of confident nodes, a Gaussian over it, and a cap on its rate, forwards then backwards."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        t, o, w = (p[c].to_numpy(float) for c in "tow")
-        positive = w[w > 0]
-        good = w >= gate * np.median(positive) if len(positive) else np.zeros(len(w), bool)
-        if good.sum() < 2:
-            return pd.DataFrame({"t": t, "curve": np.full(len(t), np.median(o) if len(o) else 0.0)})
-        tt, yy, ww = t[good], o[good], w[good] ** power
-        half = max(1, smooth // 2)
-        level = np.array([K.weighted_median(yy[max(0, k - half) : k + half + 1], np.maximum(ww[max(0, k - half) : k + half + 1], 1e-6)) for k in range(len(yy))])
-        level = np.interp(t, tt, level)
-        step = np.median(np.diff(t)) if len(t) > 1 else 1.0
-        sigma = max(1.0, 3.0 / max(step, 1e-9))
-        reach = min(int(4 * sigma), max(1, len(t)))
-        kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-        flat = np.convolve(np.pad(level, reach, mode="edge"), kernel / kernel.sum(), "valid")
-        return pd.DataFrame({"t": t, "curve": K.rate_capped(t, flat, rate)})
-
-    return by_series(df.select("t", "o", "w", *keys), keys, run, "t double, curve double")
-
-
-def restored_levels(match: DataFrame, keys: Sequence[str], rate: float, apart: float = 1.0, long: float = 2.0, around: float = 4.0) -> DataFrame:
-    """match (dub, ref or null) with dropped runs filled by interpolation, unless the offset's medians `around` seconds before and after differ by more than `apart` seconds and the run is longer than `long`; (keys, dub, ref, restored).
+def plateaus(lags: DataFrame, keys: Sequence[str], agree: float = 1.5, span: float = 40.0, join: float = 2.5, half: float = 20.0) -> DataFrame:
+    """(keys, t0, t1, lag, n, conf) of windows (t, lag, conf) around t: runs whose lags agree with the run's own weighted median, neighbours with lags within `join` joined.
 
-    Runs are decided in order, each on what those before it left.
+    Windows without a finite lag or confidence belong to none. A run counts if the centres of its first and its last window are `span` apart, so that the two share no sound.
+    A series' windows, some every few seconds, are one group: each is judged by the median of those before it.
     """
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        d = p["dub"].to_numpy(np.int64)
-        r = p["ref"].to_numpy(float)
-        was = np.isnan(r)
-        i, n = 0, len(d)
-        while i < n:
-            if not np.isnan(r[i]):
-                i += 1
-                continue
-            j = i
-            while j < n and np.isnan(r[j]):
-                j += 1
-            before = (d >= d[i] - around * rate) & (d < d[i]) & ~np.isnan(r)
-            after = (d > d[j - 1]) & (d <= d[j - 1] + around * rate) & ~np.isnan(r)
-            if before.any() and after.any():
-                step = np.median((r - d)[after]) - np.median((r - d)[before])
-                if abs(step) <= apart * rate or j - i <= long * rate:
-                    r[i:j] = np.round(np.interp(d[i:j], [d[i - 1], d[j]], [r[i - 1], r[j]]))
-            i = j
-        return pd.DataFrame({"dub": d, "ref": pd.array(np.where(np.isnan(r), 0, r).astype(np.int64), dtype="Int64"), "restored": was & ~np.isnan(r), "_null": np.isnan(r)}).assign(ref=lambda x: x["ref"].mask(x["_null"])).drop(columns="_null")
-
-    return by_series(match.select("dub", "ref", *keys), keys, run, "dub long, ref long, restored boolean")
-
-
-def without_round_trips(cuts: DataFrame, keys: Sequence[str], back: float = 2.5) -> DataFrame:
-    """Cuts (keys, tc, before, after) less each group of successive ones after which the level is back within `back` of where it began."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        before, after = p["before"].to_numpy(float), p["after"].to_numpy(float)
-        keep, i = [], 0
-        while i < len(p):
-            end = next((j for j in range(len(p) - 1, i, -1) if abs(after[j] - before[i]) <= back), None)
-            if end is None:
-                keep.append(i)
-                i += 1
-            else:
-                i = end + 1
-        return p.iloc[keep][["tc", "before", "after"]].reset_index(drop=True)
-
-    return by_series(cuts.select("tc", "before", "after", *keys), keys, run, "tc double, before double, after double")
-
-
-def plateaus(lags: DataFrame, keys: Sequence[str], agree: float = 1.5, span: float = 40.0, join: float = 2.5, half: float = 20.0) -> DataFrame:
-    """(keys, t0, t1, lag, n, conf) of windows (t, lag, conf): runs whose lags agree with the run's own weighted median, at least `span` long, neighbours with lags within `join` joined."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p[np.isfinite(p["lag"].to_numpy(float)) & (p["conf"].to_numpy(float) > 0)]
         t, lag, conf = (p[c].to_numpy(float) for c in ("t", "lag", "conf"))
+        middle = lambda r: K.weighted_median(lag[r], conf[r])
         runs: list[list[int]] = []
         for i in range(len(t)):
-            if runs and abs(lag[i] - K.weighted_median(lag[runs[-1]], conf[runs[-1]])) <= agree:
+            if runs and abs(lag[i] - middle(runs[-1])) <= agree:
                 runs[-1].append(i)
             else:
                 runs.append([i])
-        runs = [r for r in runs if t[r[-1]] - t[r[0]] + 2 * half >= span and len(r) > 1]
         joined: list[list[int]] = []
         for r in runs:
-            if joined and abs(K.weighted_median(lag[joined[-1]], conf[joined[-1]]) - K.weighted_median(lag[r], conf[r])) <= join:
+            if t[r[-1]] - t[r[0]] < span:
+                continue
+            if joined and abs(middle(r) - middle(joined[-1])) <= join:
                 joined[-1] += r
             else:
                 joined.append(list(r))
-        rows = [(t[r[0]] - half, t[r[-1]] + half, K.weighted_median(lag[r], conf[r]), len(r), conf[r].sum()) for r in joined]
+        rows = [(t[r[0]] - half, t[r[-1]] + half, middle(r), len(r), conf[r].sum()) for r in joined]
         return pd.DataFrame(rows, columns=["t0", "t1", "lag", "n", "conf"])
 
     return by_series(lags.select("t", "lag", "conf", *keys), keys, run, "t0 double, t1 double, lag double, n long, conf double")

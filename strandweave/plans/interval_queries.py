@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandweave.operators import intervals, robust
+from strandweave.operators import intervals, robust, timemap
 from strandweave.plans.fixtures import CUES_SQL, SPANS_SQL, anchors, anchors_sql, cues, spans, wmed_sql
 
 HOUR = 3600.0
@@ -89,15 +89,32 @@ def c13_agreement_in_events(spark, sf_dir):
     return g.join(agreed, ["series", "ea", "eb"], "left_anti").select("series", "ea", "eb")
 
 
-def _pieces(spark, sf_dir):
-    """A time map per conversation: nodes every 7 s with a shift that steps at 21 s."""
-    convs = cues(spark, sf_dir).select("series").distinct()
-    nodes = convs.select("series", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("k")).select("series", (F.col("k") * 7.0).alias("t"), F.when(F.col("k") > 3, 40.0).otherwise(F.col("k") * 2.0).alias("shift"))
-    return intervals.map_pieces(nodes, ["series"], 24.0)
+def _layout(spark, sf_dir):
+    """Of each conversation a curve (a node a turn, 7 s apart, shifted by the text's length), its length, and cuts after every fourth turn, of the sign that the text says."""
+    c = cues(spark, sf_dir).select("series", F.col("n"), F.round((F.col("end") - F.col("start")) * 15).cast("long").alias("k"))
+    curve = c.select("series", (F.col("n") * 7.0).alias("t"), (F.col("k") % 41).cast("double").alias("shift"))
+    tc = F.col("n") * 7.0 + 3.5 * (F.col("k") % 3)
+    cuts = c.filter("n % 4 = 3").select("series", tc.alias("tc"), F.when(F.col("k") % 2 == 0, -1.0).otherwise(1.0).alias("delta"), (tc - F.col("k") % 5 * 0.8).alias("t_end"), (tc + F.col("k") % 7 * 0.9).alias("t_nxt"))
+    return curve, cuts, c.groupBy("series").agg((F.max("n") * 7.0 + 5.0).alias("length"))
 
 
-_NODES = "select series, k * 7.0::double as t, case when k > 3 then 40.0::double else k * 2.0::double end as shift from (select distinct conv_id as series from conversations), (select unnest(generate_series(0, 12)) as k)"
-_PIECES = f"""select * from (select series, t as t0, lead(t) over q as t1, t + shift / 24 as x0, lead(t + shift / 24) over q as x1 from ({_NODES}) window q as (partition by series order by t)) where t1 > t0 and x1 > x0"""
+def _pieces(spark, sf_dir):
+    return timemap.cut_pieces(*_layout(spark, sf_dir), ["series"], 24.0)
+
+
+_CUE_K = "select conv_id as series, turn as n, length(text) as k from conversations"
+#: Every knot's shift looked up for itself: in its stretch between the nodes about it, else by the rule for its side.
+_PIECES = f"""(with k as ({_CUE_K}), n as (select series, n * 7.0::double as t, (k % 41)::double as s from k), z as (select series, max(n) * 7.0::double + 5 as length from k group by series),
+c as (select series, n * 7.0::double + 3.5 * (k % 3) as tc, k % 2 = 0 as hole, n * 7.0::double + 3.5 * (k % 3) - k % 5 * 0.8::double as t_end, n * 7.0::double + 3.5 * (k % 3) + k % 7 * 0.9::double as t_nxt from k where n % 4 = 3),
+b as (select series, lag(tc) over q as after, tc as upto, lag(case when hole then t_nxt else tc end) over q as a, case when hole then t_end else tc end as b from (select * from c union all select series, 'infinity'::double, false, length, length from z) window q as (partition by series order by tc)),
+g as (select b.series, coalesce(after, '-infinity'::double) as after, upto, coalesce(a, 0) as a, case when isinf(upto) then length else b end as b, after is null as head, isinf(upto) as tail from b join z on z.series = b.series),
+w as (select g.*, (select list({{'t': n.t, 's': n.s}} order by n.t) from n where n.series = g.series and n.t > g.after and n.t <= g.upto) as ns from g where b > a),
+p as (select series, after, head, tail, ns, len(ns) as m, unnest(list_concat([a, b], list_transform(list_filter(ns, lambda x: x.t > a and x.t < b), lambda x: x.t))) as t from w where ns is not null),
+e as (select *, list_filter(ns, lambda x: x.t <= p.t)[-1] as lo, list_filter(ns, lambda x: x.t >= p.t)[1] as hi from p),
+v as (select series, after, t, case when lo is null and (head or m = 1) then ns[1].s when lo is null then ns[1].s + (ns[2].s - ns[1].s) / (ns[2].t - ns[1].t) * (t - ns[1].t)
+  when hi is null and (tail or m = 1) then ns[m].s when hi is null then ns[m].s + (ns[m].s - ns[m - 1].s) / (ns[m].t - ns[m - 1].t) * (t - ns[m].t) when hi.t = lo.t then lo.s else lo.s + (hi.s - lo.s) * (t - lo.t) / (hi.t - lo.t) end as s from e),
+x as (select series, t as t0, lead(t) over q as t1, t + s / 24 as x0, lead(t + s / 24) over q as x1 from v window q as (partition by series, after order by t))
+select * from x where t1 > t0 and x1 > x0)"""
 
 
 def i31_map_pieces(spark, sf_dir):

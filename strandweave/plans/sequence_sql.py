@@ -17,6 +17,10 @@ _FLIPPED = _PAIRS.format(k=3, z=24).replace(f"d as (select frame, vec from ({FRA
 _FOUND = "(select count(*) from ({pairs} select * from m where cos > 0.35 and cos - rest > 0.01))"
 _CUTS = f"c as (select series, t / 86400 as tc, o as v, row_number() over (partition by series order by t, event_id) as i from ({_A}) where w >= 50)"
 
+_TRIPS = f"""{_CUTS}, l as (select series, i, tc, v as a, lead(v) over (partition by series order by i) as b from c),
+m as (select series, i, tc, a, b from l where b is not null),
+j as (select x.series, x.i, x.tc, x.a, min(y.i) as back from m x left join m y on y.series = x.series and y.i > x.i and abs(y.b - x.a) <= 2.5 group by x.series, x.i, x.tc, x.a),
+s as (select * from j where i = 1 union all select j.* from s join j on j.series = s.series and j.i = coalesce(s.back, s.i) + 1)"""
 ORACLES = {
     "c12_mutual_nearest": f"{_COSINES} select f.dub, f.ref, round(f.cos, 6) as cos from f join b on b.ref = f.ref where abs(b.dub - f.dub) <= 6",
     "j10_embedding_surface": f"{_COSINES} select dub, ref, round(cos, 6) as cos from f",
@@ -36,11 +40,19 @@ select series, max(list_max(ns))::bigint as n from s group by series""",
 select c.series, c.i, case when c.tc - s.tc < 2 then g else g + 1 end, case when c.tc - s.tc < 2 and abs(c.v) <= abs(s.v) then s.tc else c.tc end, case when c.tc - s.tc < 2 and abs(c.v) <= abs(s.v) then s.v else c.v end
 from s join c on c.series = s.series and c.i = s.i + 1)
 select series, round(arg_max(tc, i), 6) as tc, round(arg_max(v, i), 4) as v from s group by series, g""",
-    "e15_without_round_trips": f"""with recursive {_CUTS}, l as (select series, i, tc, v as a, lead(v) over (partition by series order by i) as b from c),
-m as (select series, i, tc, a, b from l where b is not null),
-j as (select x.series, x.i, x.tc, max(y.i) as back from m x left join m y on y.series = x.series and y.i > x.i and abs(y.b - x.a) <= 2.5 group by x.series, x.i, x.tc),
-s as (select * from j where i = 1 union all select j.* from s join j on j.series = s.series and j.i = coalesce(s.back, s.i) + 1)
-select series, round(tc, 6) as tc from s where back is null""",
+    "e15_without_round_trips": f"""with recursive {_TRIPS} select series, round(tc, 6) as tc from s where back is null""",
+    "e15_flattened": f"""with recursive {_TRIPS}, u as (select series, t / 86400 as t, avg(o) as shift from ({_A}) group by series, t / 86400),
+x as (select s.series, s.tc, j.tc as stop, s.a as base from s join m j on j.series = s.series and j.i = s.back),
+y as (select x.*, (select max(abs(u.shift - x.base)) from u where u.series = x.series and u.t > x.tc and u.t < x.stop) as far from x)
+select u.series, round(u.t, 6) as t, round(coalesce(arg_max(y.base, y.tc), max(u.shift)), 5) as shift from u left join y on y.series = u.series and y.far > 20 and u.t between y.tc and y.stop group by u.series, u.t""",
+    "e6_restored_runs": f"""with a as ({AE_SQL}), d as (select series, row_number() over (partition by series order by event_id) - 1 as dub, t, o, w, cast(floor(t / 86400) as bigint) - 19723 as day from a),
+m as (select series, dub, case when w >= 25 and cast(floor(t / 7200) as bigint) % 5 <> 0 then cast(dub + day * 8 + day % 5 * 40 + case when cast(floor(t / 10800) as bigint) % 4 = 0 then floor(o / 10) * 6 else 0 end as bigint) end as ref from d),
+i as (select *, case when ref is null then dub - row_number() over (partition by series, ref is null order by dub) end as isle from m),
+r as (select series, isle, min(dub) as x, max(dub) as y from i where isle is not null group by series, isle),
+l as (select r.*, (select median(ref - dub) from m where m.series = r.series and ref is not null and dub >= x - 16 and dub < x) as lb, (select median(ref - dub) from m where m.series = r.series and ref is not null and dub > y and dub <= y + 16) as la,
+  (select arg_max(ref, dub) from m where m.series = r.series and dub < x and ref is not null) as p0, (select arg_min(ref, dub) from m where m.series = r.series and dub > y and ref is not null) as p1 from r),
+f as (select * from l where lb is not null and la is not null and (abs(la - lb) <= 4 or y - x + 1 <= 8))
+select i.series, i.dub, case when f.series is null then ref else cast(round_even(p0 + (p1 - p0) * (i.dub - (x - 1))::double / (y - x + 2), 0) as bigint) end as ref, f.series is not null as restored from i left join f on f.series = i.series and f.isle = i.isle""",
     "k6_throttled": f"""with recursive e as (select series, t, max(w / 99) over (partition by series order by t, event_id rows unbounded preceding) as pct, row_number() over (partition by series order by t, event_id) as i from ({_A})),
 s as (select series, i, t, pct, true as kept from e where i = 1 union all
 select series, i, case when k then t else lt end, case when k then pct else lp end, k from (select e.*, s.t as lt, s.pct as lp, (e.pct >= 1 and s.pct < 1) or (e.pct - s.pct >= 0.05 and e.t - s.t >= 86400) as k from s join e on e.series = s.series and e.i = s.i + 1))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandweave.operators import robust, sequences, similarity
+from strandweave.operators import levels, robust, sequences, similarity
 from strandweave.plans.fixtures import FRAMES_SQL, anchors, anchors_sql, frames
 
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::double * z[2]::double))"
@@ -168,7 +169,10 @@ def i24_time_map(spark, sf_dir):
 
 
 def i25_drift_curve(spark, sf_dir):
-    got = sequences.drift_curve(_steps(spark, sf_dir), ["series"], 20.0)
+    """By stretches between the steps' days and one cut more, beyond which nothing is confident."""
+    points = _steps(spark, sf_dir).withColumn("w", F.when(F.col("t") > 25.0, 0.0).otherwise(F.col("w")))
+    cuts = points.select("series").distinct().select("series", F.explode(F.array(*(F.lit(float(t)) for t in (10, 20, 25)))).alias("tc"))
+    got = levels.drift_curve(points, cuts, ["series"], 20.0)
     return got.select("series", F.round("t", 6).alias("t"), F.round("curve", 4).alias("curve"))
 
 
@@ -177,22 +181,52 @@ def f3_merged_cuts(spark, sf_dir):
     return sequences.merge_cuts(cuts, ["series"], 2.0).select("series", F.round("tc", 6).alias("tc"), F.round("v", 4).alias("v"))
 
 
+def _match(spark, sf_dir):
+    """Of each event type, its events numbered in order as dub's frames, and where they match: offsets that step and swing with the value, frames of low weight dropped."""
+    order = Window.partitionBy("series").orderBy("event_id")
+    a = anchors(spark, sf_dir, "event_type").withColumn("dub", F.row_number().over(order) - 1)
+    day = F.floor(F.col("t") / 86400).cast("long") - 19723
+    step = (day % 5) * 40 + F.when(F.floor(F.col("t") / 10800) % 4 == 0, F.floor(F.col("o") / 10) * 6).otherwise(0)
+    return a.select("series", F.col("dub").cast("long").alias("dub"), F.when((F.col("w") >= 25) & (F.floor(F.col("t") / 7200) % 5 != 0), (F.col("dub") + day * 8 + step).cast("long")).alias("ref"))
+
+
+def _decided(spark, sf_dir):
+    m = _match(spark, sf_dir)
+    sizes = m.groupBy("series").agg((F.max("ref") + 9).alias("n_ref"))
+    return levels.level_decision(m, sizes, ["series"], 5.0, 4.0)
+
+
 def e6_restored_levels(spark, sf_dir):
-    m = anchors(spark, sf_dir, "event_type").select("series", F.col("event_id").alias("dub"), F.when(F.col("w") >= 40, F.col("event_id") + F.floor(F.col("event_id") / 3000) * 100).cast("long").alias("ref"))
-    return sequences.restored_levels(m, ["series"], 24.0)
+    return _decided(spark, sf_dir)[0]
 
 
-def e15_without_round_trips(spark, sf_dir):
-    from pyspark.sql import Window
+def e6_cut_intervals(spark, sf_dir):
+    return _decided(spark, sf_dir)[1]
+
+
+def e6_restored_runs(spark, sf_dir):
+    return levels.restored_runs(_match(spark, sf_dir), ["series"], 4.0)
 
+
+def _cuts_with_levels(spark, sf_dir):
     a = anchors(spark, sf_dir).filter("w >= 50").select("series", (F.col("t") / 86400).alias("tc"), F.col("o").alias("before"))
-    a = a.withColumn("after", F.lead("before").over(Window.partitionBy("series").orderBy("tc"))).filter("after is not null")
-    return sequences.without_round_trips(a, ["series"]).select("series", F.round("tc", 6).alias("tc"))
+    return a.withColumn("after", F.lead("before").over(Window.partitionBy("series").orderBy("tc"))).filter("after is not null")
+
+
+def e15_without_round_trips(spark, sf_dir):
+    return levels.without_round_trips(_cuts_with_levels(spark, sf_dir), ["series"]).select("series", F.round("tc", 6).alias("tc"))
+
+
+def e15_flattened(spark, sf_dir):
+    """The events' values as a curve, laid on the base of each excursion of the cuts."""
+    curve = anchors(spark, sf_dir).groupBy("series", (F.col("t") / 86400).alias("t")).agg(F.avg("o").alias("shift"))
+    got = levels.flattened(curve, levels.round_trips(_cuts_with_levels(spark, sf_dir), ["series"]), ["series"], 20.0, 5.0)
+    return got.select("series", F.round("t", 6).alias("t"), F.round("shift", 5).alias("shift"))
 
 
 def i34_plateaus(spark, sf_dir):
     lags = _steps(spark, sf_dir).select("series", "t", F.col("o").alias("lag"), F.col("w").alias("conf"))
-    got = sequences.plateaus(lags, ["series"], 15.0, 2.0, 10.0, 0.5)
+    got = sequences.plateaus(lags, ["series"], 15.0, 3.0, 10.0, 0.5)
     return got.select("series", *(F.round(c, 4).alias(c) for c in ("t0", "t1", "lag", "conf")), "n")
 
 
@@ -215,6 +249,6 @@ p as (select * from r where i % greatest(1, n // 10) = 0) select x.series, round
 _NO_SQL = (
     "c3_orientation", "c12_mutual_nearest", "i1_monotone_chain", "i2_coarse_offsets", "i3_windowed_chain", "i4_flat_alignment", "i6_affine_alignment", "i8_guarded_alignment", "i9_protected_alignment", "i10_amerced_alignment",
     "i11_band_alignment", "i15_segmented", "i16_warp_cuts", "i20_tv_levels", "i21_cut_boundaries", "i22_simplified", "i23_fitted_curve", "i24_time_map", "i25_drift_curve", "f3_merged_cuts", "e6_restored_levels",
-    "e15_without_round_trips", "i34_plateaus",
+    "e15_without_round_trips", "i34_plateaus", "e6_cut_intervals", "e6_restored_runs", "e15_flattened",
 )
 QUERIES = {k: globals()[k] for k in (*ORACLES, *_NO_SQL)}
