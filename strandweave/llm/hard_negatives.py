@@ -4,8 +4,8 @@ The largest inner product is the smallest distance once each row has a component
 (lengths are in units of the longest row's). A bounded sample of rows gives the pivots; each row belongs to the cell of its nearest one, and is packed with
 others of its cell, at about its distance from the pivot, in blocks of bounded size: a cell that a third of all rows share is many blocks.
 
-What is wanted of an anchor is a slot: the first k rows of its label (or of others) with a score from `low` to `high`. Anchors are grouped by their own
-cell. The sample's rows, then the blocks of the anchors' own cell give each slot a score that k rows reach, so that every further
+What is wanted of an anchor is a slot: the first k rows of its label (or of others) with a score from `low` to `high`. Anchors are grouped by their nearest home, some of
+the pivots, so many that a group is full. The sample's rows, then the blocks of the cells around its own home give each slot a score that k rows reach, so that every further
 row must be within a shell of distances; by the triangle inequality that is, for each cell, a range of distances from its pivot. Blocks that overlap the
 range of a group's slots are sent to it, no others, and joined exactly there, a bounded number of blocks a task; the tasks' first k are merged.
 
@@ -55,6 +55,10 @@ class Space:
     ids: np.ndarray
     labels: np.ndarray
     v: np.ndarray
+    homes: int = 1  # the first so many pivots
+
+    def home_of(self, to_pivots: np.ndarray) -> np.ndarray:
+        return to_pivots[:, : self.homes].argmin(1).astype(np.int32)
 
     def lengthened(self, v: np.ndarray, anchors: bool) -> np.ndarray:
         u = v / self.longest
@@ -197,14 +201,14 @@ def at_home(slots: DataFrame, known: Broadcast, k: int, same: bool) -> DataFrame
                     best = Best(len(ids), k)
                     if len(space.ids):
                         best.offer(Slots(dim, ids, labels, v, tag, low, high).scores(space.ids, space.labels, space.v, same), space.ids)
-                    home = space.to_pivots(space.lengthened(v, True)).argmin(1).astype(np.int32)
+                    home = space.home_of(space.to_pivots(space.lengthened(v, True)))
                     yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("dim", "anchor_id", "tag", "label", "v")), pa.array(np.maximum(low, best.score[:, -1])), own.column("high"), pa.array(home)], names=["dim", "anchor_id", "tag", "label", "v", "low", "high", "home"])
 
     return slots.mapInArrow(run, _SLOTS_SQL)
 
 
 def ranges(slots: DataFrame, known: Broadcast) -> DataFrame:
-    """(dim, home, cell, near, far): distances from a cell's pivot at which rows may serve a slot of anchors at home in another; at most PIVOTS squared a dimension."""
+    """(dim, home, cell, from_r, to_r): distances from the pivot of a cell around another home at which rows may serve a slot; at most PIVOTS squared a dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,16 +228,18 @@ def ranges(slots: DataFrame, known: Broadcast) -> DataFrame:
                         mine = home[lo : lo + GROUP_SLOTS] == h
                         pair = [near[mine].min(0), far[mine].max(0)]
                         hull[h] = [np.minimum(hull[h][0], pair[0]), np.maximum(hull[h][1], pair[1])] if h in hull else pair
+                around = space.home_of(space.to_pivots(space.pivots))
                 for h, (near, far) in hull.items():
-                    m = len(near)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, dim, np.int32)), pa.array(np.full(m, h, np.int32)), pa.array(np.arange(m, dtype=np.int32)), pa.array(near - SLIP), pa.array(far + SLIP)], names=["dim", "home", "cell", "near", "far"])
+                    cell = np.flatnonzero(around != h).astype(np.int32)
+                    m = len(cell)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, dim, np.int32)), pa.array(np.full(m, h, np.int32)), pa.array(cell), pa.array(near[cell] - SLIP), pa.array(far[cell] + SLIP)], names=["dim", "home", "cell", "near", "far"])
 
     found = slots.mapInArrow(run, "dim int, home int, cell int, near double, far double")
     return found.groupBy("dim", "home", "cell").agg(F.min("near").alias("from_r"), F.max("far").alias("to_r"))
 
 
 def joined(slots: DataFrame, blocks: DataFrame, ranged: DataFrame, k: int, same: bool) -> DataFrame:
-    """(anchor_id, tag, vec_id, score): the first k of each slot and task, among the blocks that overlap the ranges of the slots' home."""
+    """(anchor_id, tag, vec_id, score): the first k of each slot and task, among the blocks that overlap the ranges (dim, home, cell, from_r, to_r) of the slots' home."""
     on = (F.col("b.dim") == F.col("h.dim")) & (F.col("b.cell") == F.col("h.cell")) & (F.col("far") >= F.col("from_r")) & (F.col("near") <= F.col("to_r"))
     reach = F.broadcast(ranged).alias("h")
     serving = blocks.select("dim", "cell", "near", "far").alias("b").join(reach, on).groupBy(F.col("h.dim").alias("dim"), "home").agg(F.count(F.lit(1)).alias("n"))
@@ -289,14 +295,13 @@ def joined(slots: DataFrame, blocks: DataFrame, ranged: DataFrame, k: int, same:
 def first_rows(slots: DataFrame, blocks: DataFrame, known: Broadcast, k: int, same: bool) -> DataFrame:
     """(anchor_id, tag, rank, vec_id, score): the first k rows for each slot (dim, anchor_id, tag, label, v, low, high), stored."""
     slots = stored(at_home(slots, known, k, same), "negatives-slots")
-    homes = slots.select("dim", "home").distinct()
-    own = homes.select("dim", "home", F.col("home").alias("cell"), F.lit(-1.0).alias("from_r"), F.lit(9.0).alias("to_r"))
+    around = [(dim, int(h), cell, -1.0, 9.0) for dim, space in known.value.items() for cell, h in enumerate(space.home_of(space.to_pivots(space.pivots)))]
+    own = slots.sparkSession.createDataFrame(around, "dim int, home int, cell int, from_r double, to_r double").join(slots.select("dim", "home").distinct(), ["dim", "home"], "left_semi")
     near = stored(joined(slots, blocks, own, k, same), "negatives-near")
     reached = near.withColumn("rank", _rank()).filter(F.col("rank") == k).select(F.col("anchor_id").alias("a"), F.col("tag").alias("t"), F.col("score").alias("reached"))
     raised = slots.join(reached, (F.col("anchor_id") == F.col("a")) & (F.col("tag") == F.col("t")), "left").withColumn("low", F.greatest("low", F.coalesce("reached", "low"))).drop("a", "t", "reached")
     raised = stored(raised, "negatives-raised")
-    others = ranges(raised, known).filter("home <> cell")
-    far = joined(raised, blocks, stored(others, "negatives-ranges"), k, same)
+    far = joined(raised, blocks, stored(ranges(raised, known), "negatives-ranges"), k, same)
     return stored(near.unionByName(far).withColumn("rank", _rank()).filter(F.col("rank") <= k).select("anchor_id", "tag", "rank", "vec_id", "score"), "negatives-first")
 
 
@@ -304,16 +309,19 @@ def _rank() -> Column:
     return F.row_number().over(Window.partitionBy("anchor_id", "tag").orderBy(F.desc("score"), "vec_id"))
 
 
-def mined(anchors: DataFrame, rows: DataFrame, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, pivots: int = PIVOTS, sample_rows: int = SAMPLE_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def mined(anchors: DataFrame, rows: DataFrame, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, pivots: int = PIVOTS, sample_rows: int = SAMPLE_ROWS, block_bytes: int = BLOCK_BYTES, group_slots: int = GROUP_SLOTS) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) for anchors and rows as whole_numbers() gives them: for each anchor and each of its
     first `positives` rows of its label, the first `negatives` rows of other labels whose score is from low to high percent of the positive's."""
     spark = rows.sparkSession
     rows = stored(rows, "negatives-rows")
-    known = spark.sparkContext.broadcast(spaces(rows, pivots, sample_rows))
-    blocks = blocks_of(rows, known, block_bytes)
     one = F.row_number().over(Window.partitionBy("vec_id").orderBy("label", "v"))
     asked = anchors.withColumn("of_id", one).filter("of_id = 1").select("dim", F.col("vec_id").alias("anchor_id"), "label", "v")
     asked = stored(asked.join(F.broadcast(rows.select("dim").distinct()), "dim"), "negatives-anchors")
+    by_dim = spaces(rows, pivots, sample_rows)
+    for r in asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect():
+        by_dim[r["dim"]].homes = max(1, min(len(by_dim[r["dim"]].pivots), r["n"] * positives // group_slots))
+    known = spark.sparkContext.broadcast(by_dim)
+    blocks = blocks_of(rows, known, block_bytes)
     everything = asked.select("dim", "anchor_id", F.lit(0).cast("long").alias("tag"), "label", "v", F.lit(NONE + 1).cast("long").alias("low"), F.lit(TOP).cast("long").alias("high"))
     liked = first_rows(everything, blocks, known, positives, True).select(F.col("anchor_id").alias("p_anchor"), F.col("rank").cast("long").alias("tag"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
     wanted = asked.join(liked, F.col("anchor_id") == F.col("p_anchor"))

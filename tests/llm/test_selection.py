@@ -152,8 +152,8 @@ def mined_by_hand(rows, positives, negatives):
     return out
 
 
-@pytest.mark.parametrize(("size", "pivots", "sample"), [(1, 256, 2048), (1, 5, 16), (1e6, 4, 32)])
-def test_hard_negatives(spark, size, pivots, sample):
+@pytest.mark.parametrize(("size", "pivots", "sample", "slots"), [(1, 256, 2048, 512), (1, 9, 16, 20), (1e6, 4, 32, 40)])
+def test_hard_negatives(spark, size, pivots, sample, slots):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(5, 8))
     x = [size * (centres[i % 5] + rng.normal(size=8) * (0.02 if i < 200 else 0.6)) for i in range(500)]
@@ -167,7 +167,7 @@ def test_hard_negatives(spark, size, pivots, sample):
     kept = [(r.vec_id, r.label, [int(c) for c in r.v]) for r in whole.collect()]
     assert {k for k, _, _ in kept} == {i for i, v, label in data if i is not None and i not in {750, 760, 770, 780, 790, 900}}
     assert all(v == [math.floor(256 * c) for c in dict((i, e) for i, e, _ in data)[i]] for i, _, v in kept if i not in {3, 10})
-    got = hard_negatives.mined(whole.filter("vec_id % 10 = 0"), whole, 3, 6, pivots=pivots, sample_rows=sample, block_bytes=1500)
+    got = hard_negatives.mined(whole.filter("vec_id % 10 = 0"), whole, 3, 6, pivots=pivots, sample_rows=sample, block_bytes=1500, group_slots=slots)
     assert Counter(tuple(r) for r in got.collect()) == mined_by_hand(kept, 3, 6)
 
 
