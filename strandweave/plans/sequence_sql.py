@@ -27,11 +27,6 @@ ORACLES = {
     "c3_orientation": f"select 1 as pair, plain, flipped, flipped > 2 * greatest(plain, 1) as is_mirrored from (select {_FOUND.format(pairs=_PAIRS.format(k=3, z=24))} as plain, {_FOUND.format(pairs=_FLIPPED)} as flipped)",
     "e11_detelecined": f"""with k as ({WINDOWS["b9_thinned"]}), n as (select series, count(*) as n, count(*) filter (where keep) as kept from k group by series)
 select k.series, frame, (row_number() over (partition by k.series order by frame) - 1)::int as new, round(29.97::double * kept / n, 5) as rate from k join n on n.series = k.series where keep""",
-    "i30_layered": f"""with s as (select distinct series from ({AE_SQL})), g as (select series, x * 1.0::double as t from s, (select unnest(generate_series(0, 40)) as x)),
-a as (select *, 1 + least(greatest(t, 0), 20) / 5 as v from g), b as (select *, 1 + least(greatest(t + v / 24, 0), 20) / 5 as v2 from a), c as (select *, 1 + least(greatest(t + v2 / 24, 0), 20) / 5 as v3 from b),
-d as (select series, t, v3 as total, t + v3 / 24 - 3.0::double / 24 as p from c),
-e as (select *, 2 + least(greatest(p, 0), 40) / 10 as u from d), f as (select *, 2 + least(greatest(p + u / 24, 0), 40) / 10 as u2 from e), h as (select *, 2 + least(greatest(p + u2 / 24, 0), 40) / 10 as u3 from f)
-select series, t, round(total - 3 + u3, 5) as shift from h""",
     "i1_monotone_chain": f"""with recursive v as (select series, cast(floor(o * 100) as bigint) as v, row_number() over (partition by series order by event_id) as i from ({_A})),
 s as (select series, i, [v] as vs, [1] as ns from v where i = 1 union all
 select v.series, v.i, list_append(vs, v.v), list_append(ns, 1 + coalesce(list_max(list_transform(list_filter(list_zip(vs, ns), lambda x: x[1] <= v.v), lambda x: x[2])), 0)) from s join v on v.series = s.series and v.i = s.i + 1)

@@ -1,8 +1,14 @@
-"""A Spark session with the settings this library is meant for."""
+"""A Spark session with the settings this library is meant for, and storage in the folder that its executors share."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import contextvars
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +39,48 @@ def shared_folder(spark: SparkSession) -> str:
     return shared
 
 
+#: What was written, by the scopes that are open, innermost last; the first ends with the program.
+_SCOPES: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=([],))
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What stored() and materialised() write inside is removed at its end: for callers who have then written what they made of it."""
+    scopes = _SCOPES.get()
+    before = _SCOPES.set((*scopes, []))
+    try:
+        yield
+    finally:
+        made = _SCOPES.get()[-1]
+        _SCOPES.reset(before)
+        _remove(spark, made)
+
+
+@atexit.register
+def _at_end() -> None:
+    running = SparkSession.getActiveSession()
+    if running is not None and running.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            _remove(running, _SCOPES.get()[0])
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: compact, columnar, cut lineage. It lasts as long as the innermost scratch() around it, with keep as the one
+    around that, and no longer than the program."""
+    spark, scopes = df.sparkSession, _SCOPES.get()
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    scopes[max(0, len(scopes) - 1 - keep)].append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """df, computed once and read from the shared folder from here on: what several later steps use isn't computed for each, and lost executors cost no more than a step."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return stored(df, "step")

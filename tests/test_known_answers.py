@@ -10,6 +10,7 @@ from strandweave.operators import kernels as K
 from strandweave.operators import sequences, signal
 from strandweave.plans import fixtures, pair, pair_queries, similarity_queries, text_queries
 from strandweave.registry import ORACLES, QUERIES
+from tests.test_levels import composed_by_hand, decided
 
 SF = "/root/testdata/sf0.001"
 DAY = 86_400.0
@@ -259,12 +260,12 @@ def test_i22_polyline(spark, steps):
 def test_curves_follow_the_steps(spark, name, column):
     for s, got in grouped(rows(spark, name), "series", "t", column).items():
         t, v = np.array(sorted(got)).T
-        if name == "i25_drift_curve":  # no faster than its rate
-            assert (np.abs(np.diff(v)) <= 20.0 * np.diff(t) + 1e-3).all()
+        if name == "i25_drift_curve":  # no faster than its rate but at its cuts; held where nothing is confident
+            free = np.searchsorted([10, 20, 25], t[1:]) == np.searchsorted([10, 20, 25], t[:-1])
+            assert (np.abs(np.diff(v)) <= 20.0 * np.diff(t) + 1e-3)[free].all() and np.ptp(v[t > 25]) < 1e-3
         for k in range(3):
             inside = (t > 10 * k + 4) & (t < 10 * k + 6)
-            # the drift curve is smoothed over days, across the steps too
-            assert abs(np.median(v[inside]) - (60 * k + 1.25)) < (20 if name == "i25_drift_curve" else 3), (s, k)
+            assert abs(np.median(v[inside]) - (60 * k + 1.25)) < 3, (s, k)
 
 
 def test_i24_pieces_join(spark):
@@ -289,33 +290,31 @@ def test_f3_e15_e6_i34(spark, users, steps):
         while i < len(levels):
             ends = [j for j in range(i + 1, len(levels)) if abs(levels[j][2] - levels[i][1]) <= 2.5]
             left += [] if ends else [levels[i][0]]
-            i = max(ends) + 1 if ends else i + 1
+            i = min(ends) + 1 if ends else i + 1
         assert sorted(x for (x,) in trips[s]) == [round(x, 6) for x in left]
     for s, got in grouped(rows(spark, "i34_plateaus"), "series", "t0", "t1", "lag", "n").items():
         t, lag, conf = steps[s]
-        assert all(b - a > 2.0 for a, b, _, _ in got) and sum(n for *_, n in got) <= len(t)
+        assert all(b - a - 1.0 >= 3.0 for a, b, _, _ in got) and sum(n for *_, n in got) <= len(t)
         assert {round(x / 60) for _, _, x, _ in got} == {0, 1, 2}
-    got = grouped(rows(spark, "e6_restored_levels"), "series", "dub", "ref", "restored")
-    for s, p in got.items():
-        for d, r, new in p:
-            true = d + d // 3000 * 100
-            assert r is None or (abs(r - true) <= 1 if new else r == true)
-        assert any(new for *_, new in p)
+    match = grouped(similarity_queries._match(spark, SF).collect(), "series", "dub", "ref")
+    found, cuts, first = (grouped(rows(spark, q), "series", *c) for q, c in (("e6_restored_levels", ("dub", "ref", "restored")), ("e6_cut_intervals", ("r1", "r2")), ("e6_restored_runs", ("dub", "ref"))))
+    for s, p in match.items():
+        ref = [-1 if r is None else r for _, r in sorted(p, key=lambda x: x[0])]
+        want, intervals, n = decided(ref, max(ref) + 9, 5.0, 4.0)
+        got = sorted(found[s], key=lambda x: x[0])
+        assert [-1 if r is None else r for _, r, _ in got] == want.tolist() and sorted(cuts.get(s, [])) == intervals
+        assert n and any(new for *_, new in got) and len(first[s]) == len(ref)
 
 
 def test_i30_layers(spark):
-    at = lambda x, p: float(np.interp(x, *zip(*p)))
-    layers = [[(0, 2), (40, 6)], [(0, -3), (40, -3)], [(0, 1), (20, 5), (40, 5)]]
-    for s, got in grouped(rows(spark, "i30_layered"), "series", "t", "shift").items():
-        for t, shift in got:
-            place, total = t, 0.0
-            for layer in layers[::-1]:
-                x = place
-                for _ in range(3):
-                    v = at(x, layer)
-                    x = place + v / 24
-                place, total = x, total + v
-            assert abs(shift - total) < 1e-4
+    grid, layers = pair_queries._layers(spark, SF)
+    grid = grouped(grid.collect(), "series", "t")
+    curves, breaks, holes = ([grouped(d.collect(), "series", *c) for d in ds] for ds, c in zip(zip(*layers), (("t", "shift"), ("at",), ("a", "b"))))
+    nodes, cuts = grouped(rows(spark, "i30_layered"), "series", "t", "shift"), grouped(rows(spark, "i30_layered_cuts"), "series", "tc", "delta", "t_end", "t_nxt")
+    for s in grid:
+        own = [(sorted(c[s]), [x for (x,) in b.get(s, [])], h.get(s, [])) for c, b, h in zip(curves, breaks, holes)]
+        want, joints = composed_by_hand(sorted(x for (x,) in grid[s]), own, 1 / 500, 0.05)
+        assert np.allclose(sorted(nodes[s]), want, atol=1e-5) and np.allclose(sorted(cuts.get(s, [])), sorted(joints), atol=1e-5)
 
 
 def test_k2_admitted(spark):
