@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.llm.common import in_slices, table
@@ -161,9 +161,24 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
     return formatted.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def as_log(turns: DataFrame) -> DataFrame:
+    """The log by which conversations (conv_id, turn, role, text) may have come about: an assistant's turn is begun with a draft, regenerated, and streamed in two deltas; others are sent with a draft and edited.
+
+    format_log() folds it back to the turns. Turns of equal number go by role, then text.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    half = F.floor(F.length("text") / 2).cast("int")
+    draft = F.concat(F.lit("draft: "), F.reverse("text"))
+    event = lambda kind, role=None, text=None: F.struct(F.lit(kind).alias("event"), (F.lit(None).cast("string") if role is None else role).alias("role"), (F.lit(None).cast("string") if text is None else text).alias("text"))
+    said = F.array(event("start", F.col("role")), event("delta", None, draft), event("regenerate"), event("delta", None, F.substring("text", F.lit(1), half)), event("delta", None, F.substring("text", half + 1, F.length("text"))))
+    sent = F.array(event("message", F.col("role"), draft), event("edit", None, F.col("text")))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.row_number().over(order))
+    rows = rows.select("conv_id", "n", F.posexplode(F.when(F.col("role") == "assistant", said).otherwise(sent)).alias("k", "e"))
+    return rows.select("conv_id", (F.col("n") * 8 + F.col("k")).cast("long").alias("seq"), "e.event", "e.role", "e.text")
+
+
 def op4_chat_formatting(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
-    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("seq"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
-    log = rows.unionByName(more).withColumn("event", F.lit("message"))
-    return conversation_digests(format_log(log))
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    return conversation_digests(format_log(as_log(turns.unionByName(more))))
