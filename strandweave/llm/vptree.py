@@ -6,7 +6,7 @@ block of queries, a half being left out for those whose distance to its range ex
 triangle inequality). `slack` stretches that distance before the comparison: 1 leaves out nothing that could be
 nearer (exact search), more prunes sooner. Each shard returns its k best per query; those are merged.
 
-Every row is indexed. Distances are Euclidean in doubles; ties go to the smaller vec_id. Rows null, zero or holding null or
+Every row is indexed. Distances are Euclidean in doubles (infinite beyond their range, and last); ties go to the smaller vec_id. Rows null, zero or holding null or
 non-finite components take no part, rows of another dimension than the query's aren't compared with it, rows that
 share vec_id are candidates each, but not for a query of that vec_id; a repeated
 query row gives one result, and of queries that share vec_id but not the vector the smallest vector is searched. An empty table gives no rows; other
@@ -25,12 +25,23 @@ from pyspark.sql import functions as F
 from strandweave.llm.common import stored, table
 from strandweave.llm.vectors import Layout, each_meeting, indexed, packed, unpacked, usable
 
-LEAF = 32
+LEAF, NOBODY = 32, np.iinfo(np.int64).max
 
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    d = q[:, None, :] - x[None, :, :]
-    return np.sqrt((d * d).sum(-1))
+    """Euclidean distances; where squares leave the range of doubles, of differences divided by their largest component."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        d = q[:, None, :] - x[None, :, :]
+        s = (d * d).sum(-1)
+        out = np.sqrt(s)
+        odd = ~((s > 1e-280) & (s < np.inf))
+        if odd.any():
+            d = d[odd]
+            big = np.abs(d).max(-1, initial=0.0)
+            by = np.where((big > 0) & (big < np.inf), big, 1.0)
+            d = d / by[:, None]
+            out[odd] = by * np.sqrt((d * d).sum(-1))
+    return out
 
 
 def build(x: np.ndarray) -> tuple[np.ndarray, list]:
@@ -64,19 +75,20 @@ class Search:
     def __init__(self, x: np.ndarray, ids: np.ndarray, order: np.ndarray, nodes: list, q: np.ndarray, q_ids: np.ndarray, k: int, slack: float):
         self.x, self.ids, self.order, self.nodes, self.q, self.q_ids, self.k, self.slack = x, ids, order, nodes, q, q_ids, k, slack
         self.best = np.full((len(q), k), np.inf)
-        self.found = np.full((len(q), k), np.iinfo(np.int64).max)
+        self.found = np.full((len(q), k), NOBODY)
         self.seen = np.full(len(q), -1)
         if nodes:
             self.descend(0, np.arange(len(q)))
             self.walk(0, np.arange(len(q)))
 
     def offer(self, who: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
-        d = np.where(ids[None, :] == self.q_ids[who][:, None], np.inf, d)
+        own = ids[None, :] == self.q_ids[who][:, None]
+        d = np.where(own, np.inf, d)
         nearer = (d <= self.best[who, -1:]).any(1)
-        who, d = who[nearer], d[nearer]
+        who, d, own = who[nearer], d[nearer], own[nearer]
         if len(who):
             all_d = np.concatenate([self.best[who], d], 1)
-            all_i = np.concatenate([self.found[who], np.where(np.isinf(d), np.iinfo(np.int64).max, ids[None, :])], 1)
+            all_i = np.concatenate([self.found[who], np.where(own, NOBODY, ids[None, :])], 1)
             first = np.lexsort((all_i, all_d), axis=1)[:, : self.k]
             self.best[who], self.found[who] = np.take_along_axis(all_d, first, 1), np.take_along_axis(all_i, first, 1)
 
@@ -106,8 +118,10 @@ class Search:
         self.offer(who, d, self.ids[n[0] : n[0] + 1])
         d = d[:, 0]
         for (low, high), child in ((n[2], n[4]), (n[3], n[5])):
-            bound = np.maximum(low - d, d - high)
-            near = who[bound * self.slack <= self.best[who, -1] * (1 + 1e-12) + 1e-300]
+            with np.errstate(invalid="ignore"):
+                # distances beyond the range of doubles bound nothing
+                bound = np.maximum(low - d if low < np.inf else -np.inf, np.where(d < np.inf, d, -np.inf) - high)
+                near = who[~(bound * self.slack > self.best[who, -1] * (1 + 1e-12) + 1e-300)]
             if len(near):
                 self.walk(child, near)
 
@@ -133,7 +147,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, slack: float = 1.0
         q_ids, _, q = unpacked(row)
         out = [Search(x, ids, order, nodes, q[i : i + 512], q_ids[i : i + 512], k, slack) for i in range(0, len(q), 512)]
         best, found = np.concatenate([s.best for s in out]), np.concatenate([s.found for s in out])
-        real = np.isfinite(best)
+        real = found < NOBODY
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, k)[real.ravel()]), pa.array(found[real]), pa.array(best[real])], names=["query_id", "vec_id", "score"])
 
     found = each_meeting(index, blocks, at, opened, search, "query_id long, vec_id long, score double")
