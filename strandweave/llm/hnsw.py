@@ -304,13 +304,13 @@ def enough(hit: np.ndarray, true: np.ndarray, recall: float) -> bool:
     return (each[some] / of[some]).sum() >= recall * some.sum() - 1e-9 and each.sum() >= recall * of.sum() - 1e-9
 
 
-def hits_of(index: Index, x: np.ndarray, q: np.ndarray, own: np.ndarray, width: int, recall: float) -> tuple[Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], tuple[int, int]]:
-    """Chunks of (query, leader, similarity) that may hold links, each pair once, and (hits, links) of the block's audit; x: the leaders' vectors; own: each query's own group (-1: none)."""
+def hits_of(index: Index, x: np.ndarray, q: np.ndarray, own: np.ndarray, width: int, recall: float) -> tuple[Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], tuple[int, int, int]]:
+    """Chunks of (query, leader, similarity) that may hold links, each pair once, and (hits of the first beams, links, hits of the last) of the block's audit; x: the leaders' vectors; own: each query's own group (-1: none)."""
     step = max(1, (8 << 20) // max(1, len(x)))
     drawn = np.sort(np.random.default_rng(len(q)).permutation(len(q))[:AUDITS])
     true = np.concatenate([q[drawn[i : i + step]] @ x.T >= index.floor for i in range(0, len(drawn), step)])
     true[np.flatnonzero(own[drawn] >= 0), own[drawn][own[drawn] >= 0]] = False
-    audit = None
+    first, last, links = None, 0, int(true.sum())
     while width < len(x):
         rows, sims = index.searched(x, q, width)
         full = sims[:, -1] >= index.floor.min()
@@ -319,12 +319,13 @@ def hits_of(index: Index, x: np.ndarray, q: np.ndarray, own: np.ndarray, width:
         hit[i, rows[drawn][i, j]] = True
         hit[full[drawn]] = True
         hit &= true
-        audit = audit or (int(hit.sum()), int(true.sum()))
+        first = first if first is not None else int(hit.sum())
+        last = int(hit.sum())
         if enough(hit, true, recall):
             break
         width *= 4
     else:
-        rows, sims, full = np.empty((len(q), 0), np.int64), np.empty((len(q), 0), np.float32), np.ones(len(q), bool)
+        rows, sims, full, last = np.empty((len(q), 0), np.int64), np.empty((len(q), 0), np.float32), np.ones(len(q), bool), links
 
     def chunks() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         ok = (rows >= 0) & (sims >= index.floor[rows]) & ~full[:, None]
@@ -336,7 +337,7 @@ def hits_of(index: Index, x: np.ndarray, q: np.ndarray, own: np.ndarray, width:
             i, j = np.nonzero(s >= index.floor)
             yield whole[lo + i], j, s[i, j]
 
-    return chunks(), audit or (0, 0)
+    return chunks(), (last if first is None else first, links, last)
 
 
 class Forest:
@@ -359,7 +360,7 @@ class Forest:
         return a, b
 
 
-def links_of(index: Index, leaders: np.ndarray, rows: tuple, q_rows: tuple, least: float, recall: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[int, int]]:
+def links_of(index: Index, leaders: np.ndarray, rows: tuple, q_rows: tuple, least: float, recall: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[int, int, int]]:
     """For a block of queries: links to each of the shard's rows but itself, counted with copies; a star forest that joins them; the audit. rows, q_rows: (ids, copies, vectors)."""
     ids, copies, x = rows
     q_ids, _, q = q_rows
@@ -367,6 +368,7 @@ def links_of(index: Index, leaders: np.ndarray, rows: tuple, q_rows: tuple, leas
     at = by_id[np.minimum(np.searchsorted(ids, q_ids, sorter=by_id), len(ids) - 1)]
     own = np.where(ids[at] == q_ids, at, -1)
     own_group = np.where(own >= 0, index.group[own], -1)
+    x, q = _scaled(x), _scaled(q)
     x_norm, q_norm = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
     size = np.diff(index.ends, prepend=0)
     links, forest, bound = np.zeros(len(q)), Forest(), np.arccos(least)
@@ -380,7 +382,7 @@ def links_of(index: Index, leaders: np.ndarray, rows: tuple, q_rows: tuple, leas
         one = np.flatnonzero(size[j] == 1)
         for lo in range(0, len(one), 65536):
             a, b = i[one[lo : lo + 65536]], index.leaders[j[one[lo : lo + 65536]]]
-            real = (np.einsum("ij,ij->i", q[a], x[b]) / (q_norm[a] * x_norm[b]) >= least) & (own[a] != b)
+            real = (_cosines(q, x, q_norm, x_norm, a, b) >= least) & (own[a] != b)
             links += np.bincount(a[real], copies[b[real]], len(q))
             forest.add(q_ids[a[real]], ids[b[real]])
 
@@ -394,7 +396,10 @@ def links_of(index: Index, leaders: np.ndarray, rows: tuple, q_rows: tuple, leas
                 a = i[part[lo : lo + max(1, (1 << 20) // wide)]]
                 for m in range(0, len(members), wide):
                     b = members[m : m + wide]
-                    real = (q[a] @ x[b].T / (q_norm[a][:, None] * x_norm[b]) >= least) & (own[a][:, None] != b)
+                    cosine = q[a] @ x[b].T / (q_norm[a][:, None] * x_norm[b])
+                    k, m_ = np.nonzero(np.abs(cosine - least) < 1e-9)  # at the bound, as the pair is measured from its other side
+                    cosine[k, m_] = _cosines(q, x, q_norm, x_norm, a[k], b[m_])
+                    real = (cosine >= least) & (own[a][:, None] != b)
                     links += np.bincount(a, real @ copies[b], len(q))
                     # a group's rows are joined by their leader: one link to any of them is enough
                     some = real.any(1)
@@ -403,9 +408,9 @@ def links_of(index: Index, leaders: np.ndarray, rows: tuple, q_rows: tuple, leas
 
 
 def near_duplicates(embeddings: DataFrame, least: float = 0.9, width: int = 32, recall: float = 0.99, least_shards: int = 4, shard_rows: int | None = None, block_rows: int | None = None) -> DataFrame:
-    """(vec_id, n_links, component_id, kept, audited_recall) of each row: links are pairs of cosine at least `least`, a bound below TIGHT.
+    """(vec_id, n_links, component_id, kept, audited_recall, final_recall) of each row: links are pairs of cosine at least `least`, a bound below TIGHT.
 
-    audited_recall is the share of the audited links that the first, narrowest beams found, over all shards and blocks (null: no vectors).
+    audited_recall is the share of the audited links that the first, narrowest beams found, over all shards and blocks (null: no vectors or no links), final_recall that which the blocks' last, widened ones found.
     """
     if not -1 < least < TIGHT:
         raise ValueError(f"least must be below {TIGHT}")
@@ -430,13 +435,13 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, width: int = 32,
         held[3], held[4] = None, (0, 0)
         some = links > 0
         counted = [q_rows[0][some], np.zeros(some.sum(), np.int64), links[some]]
-        audited = [[planted[0] + audit[0]], [planted[1] + audit[1]], [0]]
+        audited = [[planted[0] + audit[0], audit[2]], [planted[1] + audit[1], audit[1]], [0, 0]]
         cols = [np.concatenate(c) for c in zip(counted, (node, root, np.zeros(len(node), np.int64)), audited)]
-        kind = np.repeat(["count", "link", "audit"], [some.sum(), len(node), 1])
+        kind = np.repeat(["count", "link", "audit", "final"], [some.sum(), len(node), 1, 1])
         return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), *(pa.array(c.astype(np.int64)) for c in cols)], names=["kind", "a", "b", "n"])
 
     found = stored(each_meeting(index, packed(nodes, "block", at.blocks, "copies"), at, opened, search, "kind string, a long, b long, n long"), "hnsw-links")
-    hits, true = found.filter("kind = 'audit'").agg(F.sum("a"), F.sum("b")).first()
+    audits = {r["kind"]: (r["hits"], r["links"]) for r in found.filter("kind in ('audit', 'final')").groupBy("kind").agg(F.sum("a").alias("hits"), F.sum("b").alias("links")).collect()}
     counts = found.filter("kind = 'count'").groupBy(F.col("a").alias("c_id")).agg(F.sum("n").alias("n"))
     roots = components(found.filter("kind = 'link'"))
     # the smallest id of a node is its vec_id, and roots are the smallest of those
@@ -446,8 +451,18 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, width: int = 32,
     every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"))
     out = every.join(by_id, F.col("vec_id") == F.col("k_id"), "left")
     component = F.coalesce("root", "vec_id")
-    recalled = F.lit(hits / true if true else None).cast("double").alias("audited_recall")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), recalled)
+    recalled = [F.lit(hits / links if links else None).cast("double").alias(name) for name, (hits, links) in (("audited_recall", audits.get("audit", (0, 0))), ("final_recall", audits.get("final", (0, 0))))]
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), *recalled)
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components near one: no cosine changes, no square leaves the range of doubles."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def _cosines(q: np.ndarray, x: np.ndarray, q_norm: np.ndarray, x_norm: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of pairs, the same from either side."""
+    return np.einsum("ij,ij->i", q[a], x[b]) / (q_norm[a] * x_norm[b])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
