@@ -2,74 +2,21 @@
 
 from __future__ import annotations
 
-import contextvars
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave.session import scratch, stored  # noqa: F401  used by the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus, read by Spark (any store that Spark can open)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
-
-    Only where the setting is absent and the master is local (tests) a folder of our own is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, materialised in the shared folder; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-_SCRATCH: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """What stored() writes inside is removed at its end: for callers who have then written what they made of it."""
-    paths: list[str] = []
-    before = _SCRATCH.set(paths)
-    try:
-        yield
-    finally:
-        _SCRATCH.reset(before)
-        for p in paths:
-            path = spark._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: compact, columnar, cut lineage. keep: not removed by the scratch() around it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not keep and _SCRATCH.get() is not None:
-        _SCRATCH.get().append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold by which labels are held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)

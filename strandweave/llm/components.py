@@ -2,7 +2,7 @@
 
 Each round hangs every node's larger neighbours under its smallest one (large star), then its smaller ones
 (small star), until nothing moves; rounds grow with the logarithm of the longest path. Only two sums come to
-the driver. Each round is checkpointed in the shared folder, so lost executors cost one round at most.
+the driver. Each round is written to the shared folder, so lost executors cost one round at most.
 """
 
 from __future__ import annotations
@@ -10,20 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import checkpoint
+from strandweave.llm.common import stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, root) of each node of an edge; root is the smallest node reachable. Loops and repeated edges don't matter."""
     e = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).filter("lo <> hi").distinct()
-    e = checkpoint(e)
+    e = stored(e, "components")
     seen = None
     for _ in range(rounds):
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if now[0] == 0 or tuple(now) == seen:
             break
         seen = tuple(now)
-        e = checkpoint(_small(_large(e)))
+        e = stored(_small(_large(e)), "components")
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

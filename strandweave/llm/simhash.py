@@ -107,7 +107,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, crowded: int = 64) -> DataF
 def keep_first(docs: DataFrame, words: int = 3, crowded: int = 64) -> DataFrame:
     """The rows of docs, all columns as they are, of which one document of each component stays.
 
-    A document is an id with a text (rows that share both are one and one of them stays; rows that share the id alone are different ones). The one of the smallest
+    A document is an id with a text (rows that share both are one and of them that of the smallest hash of all its columns stays; rows that share the id alone are different ones). The one of the smallest
     id stays, null ids first, then that of the smallest hash of the text.
     """
     fps = stored(fingerprints(docs, words), "simhash-fp")
@@ -116,7 +116,7 @@ def keep_first(docs: DataFrame, words: int = 3, crowded: int = 64) -> DataFrame:
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     own = [F.col("doc_id").isNotNull().alias("has"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")]
     # the text is shuffled once: the join deals rows by the keys that repeats are dropped by
-    kept = docs.select(row, *own).join(first, ["has", "id", "key"]).dropDuplicates(["has", "id", "key"])
+    kept = docs.select(row, *own).join(first, ["has", "id", "key"]).groupBy("has", "id", "key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
     return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 

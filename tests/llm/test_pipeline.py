@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandweave.llm import quality, simhash, toxicity
-from strandweave.llm.common import scratch, shared_dir, stored
+from strandweave.llm.common import scratch, stored
+from strandweave.session import shared_folder
 from tests.llm.test_text import library, one_apart, roots
 
 import corpus_pipeline
@@ -172,6 +173,6 @@ def test_scratch_is_removed(spark):
     with scratch(spark):
         gone = stored(spark.range(3).toDF("a"), "gone")
         kept = stored(gone, "kept", keep=True)
-    folder = shared_dir(spark).removeprefix("file:")
+    folder = shared_folder(spark).removeprefix("file:")
     names = {x.split("-")[0] for d, sub, _ in os.walk(folder) for x in sub}
     assert kept.count() == 3 and "kept" in names and "gone" not in names

@@ -348,6 +348,15 @@ def test_chat_ties_clashes_and_repeats(spark):
         assert got == {1: [("user", "x")], 2: [("user", "r"), ("user", "r")], None: [("assistant", ""), ("user", "")]}
 
 
+def test_chat_log_of_turns(spark):
+    """A log with drafts, edits, regenerations and deltas folds back to the turns that it was made of."""
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "é日😀x"), (1, 2, "assistant", ""), (1, 2, "user", None), (1, 3, "system", "a"), (1, 4, None, "b"), (2, 5, "assistant", None), (None, 0, "user", "<|im_end|>"), (1, 4, None, "b")]
+    log = chat.as_log(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4))
+    assert {r.event for r in log.collect()} == {"message", "start", "delta", "edit", "regenerate"} and log.count() == 5 * 3 + 2 * 6
+    got = {r.conv_id: chat.read_back(r.formatted) for r in chat.format_log(log).collect()}
+    assert got == {1: [("user", "hi"), ("assistant", "é日😀x"), ("assistant", ""), ("user", ""), ("system", "a"), ("user", "b"), ("user", "b")], 2: [("assistant", "")], None: [("user", "<|im_end|>")]}
+
+
 def test_chat_query(spark):
     sf = "/root/testdata/sf0.001"
     got = {r.conv_id: r for r in chat.op4_chat_formatting(spark, sf).collect()}

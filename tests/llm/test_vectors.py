@@ -191,3 +191,48 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 200)] + [(100, 100), (150, 100)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 200)}}
+
+
+def test_nearest_of_extremes(spark):
+    """Finite rows take part whatever their size: squares that leave the range of doubles lose none."""
+    x = {0: (1e200, 1e200), 1: (2e200, -2e200), 2: (1e160, 1e160), 3: (1.0, 1.0), 4: (0.0, 1e-200), 100: (3.0, 1e-200), 5: (1.7e308, -1.7e308), 6: (-1.7e308, 1.7e308), 200: (2e-200, 1e-200)}
+    rows = spark.createDataFrame([(k, list(v)) for k, v in x.items()], "vec_id long, embedding array<double>")
+    got = {}
+    for r in vptree.nearest(rows.filter("vec_id % 100 = 0"), rows, least_shards=2).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in (0, 100, 200):
+        want = sorted((np.hypot(x[q][0] - v[0], x[q][1] - v[1]), k) for k, v in x.items() if k != q)
+        assert [k for _, k, _ in sorted(got[q])] == [k for _, k in want]
+        assert np.allclose([s for *_, s in sorted(got[q])], [s for s, _ in want], rtol=1e-12, atol=0)
+
+
+def test_links_of_extremes(spark):
+    """Five vectors of one direction and sizes from 1e-200 to 2e200 are all linked, and each counts the others; so are copies and near copies."""
+    rows = [(i, [s * 3.0, s * 4.0]) for i, s in enumerate((1e200, 2e200, 1e-200, 2e-200, 1.0))] + [(9, [-4e300, 3e300])]
+    got = {r.vec_id: r for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least_shards=2).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in range(5)] == [(4, 0)] * 5 and got[9].n_links == 0
+
+
+def test_links_are_symmetric(rows):
+    got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(rows, least_shards=3, block_rows=16).collect()}
+    again = {r.vec_id: r.n_links for r in hnsw.near_duplicates(rows, least_shards=1, block_rows=500).collect()}
+    assert sum(got.values()) % 2 == 0 and got == again
+
+
+def left(spark):
+    from pathlib import Path
+
+    return {p.name for p in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).iterdir() if p.is_dir() and any(f.name.startswith("part-") for f in p.rglob("*"))}
+
+
+def test_scopes_remove_what_is_written(spark, rows):
+    from strandweave.session import scratch
+
+    before = left(spark)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8)], "a long, b long")
+    with scratch(spark):
+        assert {tuple(r) for r in components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)}
+        with scratch(spark):
+            assert hnsw.near_duplicates(rows, least_shards=3).count() and vptree.nearest(rows, rows, least_shards=2).count()
+        assert left(spark) > before
+    assert left(spark) == before
