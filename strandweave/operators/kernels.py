@@ -84,6 +84,16 @@ def drop_alignment(cost: np.ndarray, open_: float, extend: float, drop: float, t
     return Alignment(match, skip, move, extended, n, m)
 
 
+def with_prior(cost: np.ndarray, off_line: np.ndarray, strength: float, low: float, high: float, frames: int) -> np.ndarray:
+    """Costs less each column's least, plus strength times the distance from the draft line, by how weak the columns around match: fully below `low`, not at all above `high`."""
+    least = cost.min(0)
+    signal = 1 - least
+    if len(signal) > frames:
+        signal = np.convolve(signal, np.full(frames, 1 / frames), "same")
+    weak = np.clip((high - signal) / (high - low), 0, 1)
+    return cost - least + strength * weak * np.abs(off_line)
+
+
 def flat_alignment(cost: np.ndarray, drop: float) -> Alignment:
     """Alignment with one flat cost for dropping a frame of either side."""
     n, m = cost.shape

@@ -83,12 +83,15 @@ def windowed_chain(pairs: DataFrame, keys: Sequence[str], window: int = 8000, ov
 
 
 def align_chunks(dub: DataFrame, ref: DataFrame, offsets: DataFrame, keys: Sequence[str], protected: DataFrame | None = None, chunk: int = 4000, overlap: int = 700, margin: int = 120,
-                 costs: tuple[float, float, float] = (0.20, 0.02, 0.30), threshold: float | None = 0.30, flat: float | None = None, amerce: float = 0.0, least_rows: int = 50) -> DataFrame:
+                 costs: tuple[float, float, float] = (0.20, 0.02, 0.30), threshold: float | None = 0.30, flat: float | None = None, amerce: float = 0.0, least_rows: int = 50,
+                 prior: tuple[float, float, float, int] | None = None) -> DataFrame:
     """(keys, dub, ref): the ref frame of each dub frame; null where dropped; frames in chunks of fewer than least_rows ref rows are left out.
 
     Chunks of dub frames, overlapping, are aligned each to the ref frames between the least and the largest of the draft line (offsets)
     less and plus `margin`; a chunk is a group of its own. Where chunks overlap, the one whose
     edge is further away decides, the earlier of equals. costs: opening and extending a drop of ref, dropping dub; flat: one cost for both instead.
+    prior (strength, low, high, frames): costs less each dub frame's least, and more the further a ref frame is from the draft line, as far as the best match, smoothed over so many
+    dub frames of the chunk, falls from high to low: a path stays on the line where nothing matches, and is free where something does.
     """
     keys, step = list(keys), chunk - overlap
     d = dub.select(*keys, F.col("frame").alias("dub"), F.col("vec").alias("_v")).join(offsets, [*keys, "dub"])
@@ -100,6 +103,7 @@ def align_chunks(dub: DataFrame, ref: DataFrame, offsets: DataFrame, keys: Seque
         d = d.join(protected.select(*keys, F.col("i").alias("dub"), "protected"), [*keys, "dub"], "left")
     else:
         d = d.withColumn("protected", F.lit(False))
+    d = d.withColumn("_o", F.col("off").cast("long"))
     reach = d.groupBy(*keys, "chunk").agg(F.min(F.col("dub") + F.col("off")).alias("_lo"), F.max(F.col("dub") + F.col("off")).alias("_hi"), F.min("dub").alias("_a"), F.max("dub").alias("_z"), F.max("_last").alias("_last"))
     width = chunk + 2 * margin
     spans = reach.withColumn("_b", F.explode(F.sequence(F.floor((F.col("_lo") - margin) / width), F.floor((F.col("_hi") + margin) / width))))
@@ -107,8 +111,8 @@ def align_chunks(dub: DataFrame, ref: DataFrame, offsets: DataFrame, keys: Seque
     r = r.join(spans, [*keys, "_b"]).filter((F.col("_f") >= F.col("_lo") - margin) & (F.col("_f") <= F.col("_hi") + margin))
     kinds = ", ".join(f"{k} {dub.schema[k].dataType.simpleString()}" for k in keys)
     columns = [*keys, "chunk"]
-    both = d.select(*columns, F.lit(0).alias("_side"), F.col("dub").alias("_f"), F.col("_v").cast("array<double>").alias("_v"), F.coalesce("protected", F.lit(False)).alias("_p")).unionByName(
-        r.select(*columns, F.lit(1).alias("_side"), "_f", F.col("_v").cast("array<double>").alias("_v"), F.lit(False).alias("_p")))
+    both = d.select(*columns, F.lit(0).alias("_side"), F.col("dub").alias("_f"), F.col("_v").cast("array<double>").alias("_v"), F.coalesce("protected", F.lit(False)).alias("_p"), "_o").unionByName(
+        r.select(*columns, F.lit(1).alias("_side"), "_f", F.col("_v").cast("array<double>").alias("_v"), F.lit(False).alias("_p"), F.lit(0).cast("long").alias("_o")))
     both = both.join(reach.select(*columns, "_a", "_z", "_last"), columns)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -121,6 +125,8 @@ def align_chunks(dub: DataFrame, ref: DataFrame, offsets: DataFrame, keys: Seque
             return empty
         unit = lambda v: v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12)
         cost = 1 - unit(np.stack(rows["_v"])) @ unit(np.stack(q["_v"])).T
+        if prior is not None:
+            cost = K.with_prior(cost, rows["_f"].to_numpy()[:, None] - (q["_f"] + q["_o"]).to_numpy()[None, :], *prior)
         if flat is not None:
             got = K.flat_path(K.flat_alignment(cost, flat))
         else:
@@ -150,11 +156,6 @@ def align(dub: DataFrame, ref: DataFrame, keys: Sequence[str], thin: int = 8, **
     return match.join(cos, [*keys, "dub"], "left")
 
 
-def column_centred(cost: np.ndarray, deviation: np.ndarray, weight: np.ndarray, prior: float) -> np.ndarray:
-    """A chunk's costs less each column's least, plus a prior that grows with the distance from the diagonal where the signal is weak."""
-    return cost - cost.min(0, keepdims=True) + prior * np.abs(deviation) * weight[None, :]
-
-
 def tv_levels(df: DataFrame, keys: Sequence[str], strength: float = 1800.0) -> DataFrame:
     """(keys, t, o, level): o and its total-variation baseline, in order of t."""
     rows = df.select("t", "o", *keys)

@@ -457,15 +457,15 @@ def test_audio_structure(spark):
     assert pair.audio_structure(table(x), table(x), nodes, ["s"], 10.0, 10, smooth=9, span=4.0)[0].count() == 0
 
 
-def test_one_scale_events(spark):
-    """Descriptors of which 40 are missing from the dub: one event of that size, where they are."""
-    rng = np.random.default_rng(3)
-    x = smooth(rng, 400, 16)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    table = lambda v: spark.createDataFrame([("a", i, y.tolist()) for i, y in enumerate(v)], "s string, frame long, vec array<double>")
-    got = pair.one_scale_events(table(x), table(np.concatenate([x[:200], x[240:]])), ["s"], 1.0, margin=60).collect()
-    assert len(got) == 1 and abs(got[0].tc - 220) <= 25 and abs(abs(got[0].v) - 40) <= 4
-    assert pair.one_scale_events(table(x), table(x), ["s"], 1.0, margin=60).count() == 0
+def test_i27_i28_events_of_laid_sound(spark):
+    """48 frames at four a second are 12 s: taken out of A in its middle, put into N there; R is as it is."""
+    middle = {r.series: r.n // 2 / 4 for r in fixtures.samples(spark, SF).groupBy("series").agg(F.max("i").alias("n")).collect()}
+    for name in ("i27_one_scale_events", "i28_two_scale_events"):
+        got = grouped(rows(spark, name), "series", "tc", "kind", "v")
+        assert set(got) == {"A", "N"} and all(len(v) == 1 for v in got.values()), (name, got)
+        (tc, kind, v), (at, other, _) = got["A"][0], got["N"][0]
+        assert kind == "excision" and abs(tc - middle["A"] - 6) <= 8 and abs(abs(v) * 0.041708 - 12) <= 1.5
+        assert other == "insertion" and abs(at - middle["N"]) <= 8
 
 
 def test_fingerprints_of_colour(spark):
