@@ -6,9 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandweave.operators import cues as C
+from strandweave.operators import sidecars
 from strandweave.plans.fixtures import CUES_SQL, SAMPLES_SQL, anchors, anchors_sql, cues, table
 from strandweave.plans.signal_queries import _blocks
-from strandweave.sources import decode, files
+from strandweave.plans.interval_queries import _PIECES, _pieces
+from strandweave.session import scratch_path
+from strandweave.sources import decode, files, store
 
 _A = anchors_sql()
 
@@ -96,6 +99,48 @@ def s3_write_vtt(spark, sf_dir):
     return got.select("series", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+def _sidecars(spark, sf_dir):
+    """A file a conversation, a cue a turn; of some the header is lost, the suffix unknown, or the end cut in the middle of a letter."""
+    c = cues(spark, sf_dir).withColumn("payload", F.array(F.when(F.col("n") % 4 == 2, "<b></b>").otherwise(F.concat(F.lit("é turn "), F.col("n").cast("string")))))
+    c = c.withColumn("settings", F.when(F.col("n") % 2 == 0, "align:left").otherwise(""))
+    docs = C.write_vtt(c.select("series", "n", "start", "end", "payload", "settings"), ["series"])
+    k = F.col("series") % 7
+    text = F.when(k == 1, F.regexp_replace("text", "WEBVTT", "")).otherwise(F.col("text")).cast("binary")
+    content = F.when(k == 2, F.concat(text, F.unhex(F.lit("C3")))).otherwise(text)
+    return docs.select("series", F.concat(F.lit("d"), F.col("series").cast("string")).alias("doc"), F.when(k == 3, "txt").when(k == 4, "VTT").otherwise("vtt").alias("suffix"), content.alias("content"))
+
+
+def s13_report(spark, sf_dir):
+    videos = cues(spark, sf_dir).select("series").distinct().select("series", F.lit(0.5).alias("start"), F.lit(60.0).alias("length"))
+    _, report = sidecars.transferred(_sidecars(spark, sf_dir), _pieces(spark, sf_dir), videos, ["series"], 1 / 24)
+    return report
+
+
+def _levels_of(keys):
+    """What a store computes for users: the mean of each of their event types, from the events that it is given with the key."""
+    return keys.select("key", F.explode("events").alias("e")).groupBy("key", F.col("e.event_type").alias("kind")).agg(F.round(F.avg("e.o"), 6).alias("level"), F.count(F.lit(1)).alias("n"))
+
+
+def a39_loaded_or_computed(spark, sf_dir):
+    """Users' levels from a store that knows every other user, some of them by an older stamp, before all are asked for."""
+    path = scratch_path(spark, "a39")
+    a = anchors(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    users = a.groupBy(F.col("series").alias("key")).agg(F.count(F.lit(1)).alias("stamp"))
+    own = a.select(F.col("series").alias("key"), F.struct("event_type", "o").alias("e"))
+    compute = lambda keys: _levels_of(own.join(keys.select("key"), "key", "left_semi").groupBy("key").agg(F.collect_list("e").alias("events")))
+    store.load_or_compute(users.filter("key % 2 = 0").withColumn("stamp", F.when(F.col("key") % 3 == 0, 0).otherwise(F.col("stamp")).cast("long")), path, compute)
+    return store.load_or_compute(users, path, compute)
+
+
+def s4_published_map(spark, sf_dir):
+    """A time map published twice; the second version is what readers get."""
+    path = scratch_path(spark, "s4")
+    pieces = _pieces(spark, sf_dir)
+    store.publish(pieces.filter("t0 < 10"), path)
+    store.publish(pieces, path)
+    return store.published(spark, path).select("series", "t0", "t1", F.round("x0", 6).alias("x0"), F.round("x1", 6).alias("x1"))
+
+
 _MS = "cast(round_even({c} * 1000, 0) as bigint)"
 _STAMP = "lpad(cast({ms} // 3600000 as varchar), 2, '0') || ':' || lpad(cast({ms} // 60000 % 60 as varchar), 2, '0') || ':' || lpad(cast({ms} // 1000 % 60 as varchar), 2, '0') || '.' || lpad(cast({ms} % 1000 as varchar), 3, '0')"
 _FILES = """v as (select distinct '/c/' || (p_partkey % 10) as dir, 'e' || p_size || '.mkv' as name from part where p_partkey % 2 = 0),
@@ -118,5 +163,16 @@ select series, block, count(*)::int as n, round(sum(v) * 1e6, 2) as total from s
 select p_partkey, coalesce((select min(h.name) from h where h.dir = p.dir and h.name = e || '.en.ASS'), (select min(h.name) from h where h.dir = p.dir and h.name = e || '.x1.vtt'), (select min(h.name) from h where h.dir = p.dir and h.name = e || '.mkv'), 'none') as name from p""",
     "s3_write_vtt": f"""with b as (select series, n, {_STAMP.format(ms=_MS.format(c="start"))} || ' --> ' || {_STAMP.format(ms=_MS.format(c='"end"'))} || chr(10) || array_to_string(payload, chr(10)) || chr(10) as b from ({CUES_SQL})),
 d as (select series, 'WEBVTT' || chr(10) || chr(10) || string_agg(b, chr(10) order by n) as d from b group by series) select series, length(d)::int as n_chars, md5(d) as digest from d""",
+    "a39_loaded_or_computed": f"select user_id as key, event_type as kind, round(avg(value), 6) as level, count(*) as n from events group by user_id, event_type",
+    "s4_published_map": f"select series, t0, t1, round(x0, 6) as x0, round(x1, 6) as x1 from {_PIECES}",
+    "s13_report": f"""with c as (select *, series % 7 as k from ({CUES_SQL})), p as (select * from {_PIECES}),
+q as (select series, n, greatest(0, start - 0.5) as s, least(60.0::double, "end" - 0.5) as e from c where n % 4 <> 2 and k not in (1, 2, 3)),
+m as (select q.series, n, t0 + (greatest(x0, s) - x0) * (t1 - t0) / (x1 - x0) as pa, t0 + (least(x1, e) - x0) * (t1 - t0) / (x1 - x0) as pb from q join p on p.series = q.series and x0 < e and x1 > s where e > s),
+r as (select *, max(pb) over (partition by series, n order by pa, pb rows between unbounded preceding and 1 preceding) as reach from m),
+z as (select *, sum(case when reach is null or pa - reach > 1e-6 then 1 else 0 end) over (partition by series, n order by pa, pb rows unbounded preceding) as run from r),
+f as (select series, count(*) as cues_out from (select series, n from z group by series, n, run having max(pb) - min(pa) >= 1.0::double / 24) group by series)
+select c.series, 'd' || c.series as doc, max(case k when 1 then 'no WEBVTT header' when 2 then 'not text in its encoding' when 3 then 'no reader for .txt' end) as error,
+  count(*) filter (where k not in (1, 2, 3)) as cues_in, coalesce(max(cues_out), 0) as cues_out, 0 as dropped_drawings, count(*) filter (where k not in (1, 2, 3) and n % 4 = 2) as dropped_empty, 0 as dropped_duplicates,
+  count(*) filter (where k not in (1, 2, 3) and n % 2 = 0) as dropped_settings from c left join f on f.series = c.series group by c.series""",
 }
 QUERIES = {k: globals()[k] for k in ORACLES}

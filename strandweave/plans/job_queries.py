@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandweave.functions.times import epoch_seconds
 from strandweave.operators import jobs as J
 from strandweave.plans.fixtures import anchors, anchors_sql, table
-from strandweave.streaming.runs import as_stream, drained
+from strandweave.streaming.runs import as_stream, drained, in_turn
 
 #: Commands for the kinds of events of the test table, and the same in SQL.
 COMMANDS = {"signup": "enqueue", "view": "run", "click": "pause", "error": "cancel", "purchase": "retry"}
@@ -105,20 +105,42 @@ def k1_streamed_states(spark, sf_dir):
     return every.join(last, "job", "left").select("job", F.coalesce("state", F.lit("none")).alias("state"), F.coalesce("changes", F.lit(0)).alias("changes"))
 
 
+def _in_time(e, late):
+    """Events (series, ts, ...) in five parts by time, then those for which late says so and that are older than the end by twelve days, then one far beyond it that lets the watermark pass all."""
+    day = F.floor(F.unix_seconds("ts") / 86400) - 19723
+    behind = late & (day < 18)
+    at = F.least(F.floor(day / 6), F.lit(4))
+    end = e.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(1893456000))).withColumn("series", F.lit("end").try_cast(e.schema["series"].dataType))
+    return in_turn([*(e.filter(~behind & (at == k)) for k in range(5)), e.filter(behind), end])
+
+
 def k_streamed_window_levels(spark, sf_dir):
+    """Daily levels as their windows close; a fiftieth of the events comes after that, and goes."""
     from strandweave.streaming import series
 
-    e = anchors(spark, sf_dir, "event_type").select("series", F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("ts"), "o", "w")
-    got = drained(series.window_levels(as_stream(e), ["series"], late="40 days"), "levels", True)
-    return got.select("series", F.unix_seconds("start").alias("start"), "n", F.round("weight", 3).alias("weight"), F.round("mean", 4).alias("mean"))
+    e = anchors(spark, sf_dir, "event_type").select("series", F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("ts"), "o", "w", "event_id")
+    got = drained(series.window_levels(_in_time(e, F.col("event_id") % 50 == 0), ["series"], late="1 hour"), "levels")
+    return got.filter("series <> 'end'").select("series", F.unix_seconds("start").alias("start"), "n", F.round("weight", 3).alias("weight"), F.round("mean", 4).alias("mean"))
 
 
 def k_streamed_sessions(spark, sf_dir):
+    """Sessions of users as they close; events come in order."""
     from strandweave.streaming import series
 
     e = anchors(spark, sf_dir).select("series", F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("ts"), F.col("o").alias("v"))
-    got = drained(series.sessions(as_stream(e), ["series"], "12 hours", late="40 days"), "sessions", True)
-    return got.select("series", F.round(F.unix_micros("start") / 1e6, 3).alias("start"), F.round(F.unix_micros("end") / 1e6, 3).alias("end"), "n")
+    got = drained(series.sessions(_in_time(e, F.lit(False)), ["series"], "12 hours", late="1 hour"), "sessions")
+    return got.filter("series is not null").select("series", F.round(F.unix_micros("start") / 1e6, 3).alias("start"), F.round(F.unix_micros("end") / 1e6, 3).alias("end"), "n")
+
+
+def k13_shared_throttle(spark, sf_dir):
+    """Reports of four parts of each user's job through one throttle of a day and a twentieth, as a stream; a fiftieth of them comes late, another is repeated."""
+    from strandweave.streaming import jobs
+
+    a = anchors(spark, sf_dir).select("series", F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("ts"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") % 4).alias("part"), F.lit(4).alias("n_parts"), (F.col("w") / 100).alias("pct"))
+    again = a.filter("seq % 50 = 1")
+    stream = _in_time(a.unionByName(again), F.col("seq") % 50 == 0).withWatermark("ts", "1 hour")
+    got = drained(jobs.shared_throttle(stream, "series", 0.05, 86400.0), "throttle")
+    return got.filter("series is not null").select("series", F.round(F.unix_micros("ts") / 1e6, 3).alias("t"), F.round("pct", 6).alias("pct"))
 
 
 _ORD = f"select user_id as job, row_number() over (partition by user_id order by epoch_us(ts), event_id) - 1 as seq, {_COMMAND} as command, epoch_us(ts) / 1e6 as t, event_id from events"
@@ -140,7 +162,12 @@ select job, command as state, round(t, 3) as began, round(lead(t) over (partitio
     "k9_remaining": f"""select series, round(sum((100 - case when event_id % 2 = 0 then w else 0 end) * case when event_id % 2 = 0 and w > 0 then o / w else event_id % 5 + 0.5::double end), 2) as seconds from ({AU}) group by series""",
     "k12_trace": f"""select series, row_number() over (partition by series order by t, cast(event_id as varchar)) - 1 as seq, round(t - min(t) over (partition by series), 3) as t, case when w > 50 then 'decide' else 'note' end as kind, cast(event_id as varchar) as name, case when w > 50 then 'yes' end as verdict from ({AU})""",
     "k13_sub_ranges": f"select event_id, round(max((event_id % 4) * 0.25 + w / 100 * 0.25) over (partition by series order by t, event_id rows unbounded preceding), 6) as pct from ({AU})",
-    "k_streamed_window_levels": f"select series, cast(floor(t / 86400) as bigint) * 86400 as start, count(*) as n, round(sum(w), 3) as weight, round(sum(o * w) / sum(w), 4) as mean from ({anchors_sql('event_type')}) group by series, floor(t / 86400)",
+    "k_streamed_window_levels": f"select series, cast(floor(t / 86400) as bigint) * 86400 as start, count(*) as n, round(sum(w), 3) as weight, round(sum(o * w) / sum(w), 4) as mean from ({anchors_sql('event_type')}) where not (event_id % 50 = 0 and cast(floor(t / 86400) as bigint) - 19723 < 18) group by series, floor(t / 86400)",
+    "k13_shared_throttle": f"""with recursive e as (select series, t, max(((event_id % 4) + w / 100) / 4) over (partition by series order by t, event_id rows unbounded preceding) as pct, row_number() over (partition by series order by t, event_id) as i
+from ({AU}) where not (event_id % 50 = 0 and cast(floor(t / 86400) as bigint) - 19723 < 18)),
+s as (select series, i, t as lt, pct as lp, true as k from e where i = 1 union all
+select series, i, case when k then t else lt end, case when k then pct else lp end, k from (select e.*, s.lt, s.lp, (e.pct >= 1 and s.lp < 1) or (e.pct - s.lp >= 0.05 and e.t - s.lt >= 86400) as k from s join e on e.series = s.series and e.i = s.i + 1))
+select series, round(lt, 3) as t, round(lp, 6) as pct from s where k""",
     "k_streamed_sessions": f"""with a as (select series, t, case when t - lag(t) over (partition by series order by t) >= 43200 then 1 else 0 end as new from ({AU})), r as (select series, t, sum(new) over (partition by series order by t rows unbounded preceding) as run from a)
 select series, round(min(t), 3) as start, round(max(t) + 43200, 3) as "end", count(*) as n from r group by series, run""",
 }

@@ -71,12 +71,17 @@ def _at_end() -> None:
             _remove(running, _SCOPES.get()[0])
 
 
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: compact, columnar, cut lineage. It lasts as long as the innermost scratch() around it, with keep as the one
-    around that, and no longer than the program."""
-    spark, scopes = df.sparkSession, _SCOPES.get()
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new folder's name in the shared folder. What is put there lasts as long as the innermost scratch() around the call, with keep as the one around that, and no longer than the program."""
+    scopes, path = _SCOPES.get(), f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     scopes[max(0, len(scopes) - 1 - keep)].append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df, written as Parquet to a scratch_path() and read again: compact, columnar, cut lineage."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
