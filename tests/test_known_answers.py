@@ -426,6 +426,23 @@ def test_j26_audio_layer(spark):
         assert len(o) > 20 and np.mean(np.abs(o[4:-4] - 4) < 0.75) >= 0.8
 
 
+def test_j26_measures_again_what_is_laid(spark):
+    """A dub that drifts by 1 in 60, up to 13 frames where the fine reach is 4: found to a fraction of a frame all along (lags are whole frames)."""
+    rng = np.random.default_rng(12)
+    x = np.cumsum(rng.normal(size=(1000, 6)), 0)
+    x = x[8:] - (np.cumsum(x, 0)[8:] - np.cumsum(x, 0)[:-8]) / 8
+    ref = x[: 800]
+    at = np.arange(820) / (1 + 1 / 60)
+    dub = np.stack([np.interp(at, np.arange(len(x)), x[:, b]) for b in range(6)], 1)
+    table = lambda v: spark.createDataFrame([("a", i, y.tolist()) for i, y in enumerate(v)], "s string, frame long, bands array<double>")
+    nodes = spark.createDataFrame([("a", k) for k in range(20, 790, 10)], "s string, node long")
+    shift, cuts, _ = pair.audio_layer(table(ref), table(dub), nodes, ["s"], 10.0, wide=2.5, fine=0.4, window=6.0)
+    got = np.array(sorted((r.t * 10, r.o) for r in shift.collect()))
+    inside = (got[:, 0] > 60) & (got[:, 0] < 740)
+    assert np.abs(got[:, 1] - got[:, 0] / 60)[inside].max() < 1 and np.median(np.abs(got[:, 1] - got[:, 0] / 60)) < 0.5
+    assert cuts.count() == 0
+
+
 def test_fine_check(spark):
     """Right places a few frames off are moved to the top of the score; wrong ones go."""
     rng = np.random.default_rng(1)
