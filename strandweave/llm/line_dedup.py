@@ -1,10 +1,10 @@
 """Operator 9: line dedup, by a deletion-neighbourhood join (DataFrame and SQL functions alone).
 
 The unit is a whole line of at least `min_words` words, however long; only if `max_words` is given, a longer line is cut to
-units of that many. Words are what single spaces separate. The edit bound is one word: set, dropped or replaced.
+units of that many. Words are what single spaces separate. The edit bound is one word: set, dropped or replaced; and the two must be
+0.8 alike or more, the word being a fifth of the shorter one's at most, which is to say that both have `min_words` words.
 A unit goes if an earlier one (by doc_id, then place in the text) is equal or within the bound. With `short_lines`, as the
-query and the pipeline have it, shorter ones that aren't empty go if an earlier one is equal (a word less or more would link
-different ones); else they always stay. Removal of a line's every unit removes the line; a document may end up empty, but stays a row.
+query and the pipeline have it, that one rule holds for lines of any length: of 1 to 4 words a word is a quarter or more, so they go if an earlier one is equal; without it they always stay. Removal of a line's every unit removes the line; a document may end up empty, but stays a row.
 
 1. Equal units meet by two 64-bit hashes; the earliest stands for all. Four keys ride along: the hashes of
    the unit's first and second half, and of the halves it would have with one word less.

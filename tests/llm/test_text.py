@@ -418,3 +418,20 @@ def test_without_labels(spark, docs, nothing, of):
     assert quality.score_texts(nothing, scorer).count() == 0
     assert quality.keep_scored(docs, scorer, lambda s: s < 0.6).columns == docs.columns
     json.dumps([r.score for r in got])
+
+
+def test_one_rule_for_lines_of_any_length(spark):
+    """Lines of 1 to 7 words: equal to an earlier one, or one word apart from it with that word a fifth of the shorter one's words at most."""
+    rnd = random.Random(11)
+    lines = [[" ".join(rnd.choice("abc") for _ in range(rnd.randint(1, 7))) for _ in range(12)] for _ in range(40)]
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.rewrite(docs, short_lines=True).collect()}
+    seen = []
+    for i, x in enumerate(lines):
+        kept = []
+        for line in x:
+            words = line.split(" ")
+            near = any(o == words or (one_apart(o, words) and 1 - 1 / min(len(o), len(words)) >= 0.8) for o in seen)
+            kept += [] if near else [line]
+            seen.append(words)
+        assert got[i] == "\n".join(kept)
