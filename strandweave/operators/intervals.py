@@ -17,19 +17,12 @@ def _bucket(x: Column, width: float) -> Column:
     return F.floor(x / F.lit(width)).cast("bigint")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], l: tuple[str, str], r: tuple[str, str], width: float, how: str = "inner") -> DataFrame:  # noqa: E741
-    """Pairs of rows whose closed ranges l of left and r of right overlap; right's columns must differ from left's but for keys. how: inner or left."""
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], l: tuple[str, str], r: tuple[str, str], width: float) -> DataFrame:  # noqa: E741
+    """Pairs of rows whose closed ranges l of left and r of right overlap; right's columns must differ from left's but for keys, and none may be named _b, _from_l or _from_r."""
     la, lb, ra, rb = (F.col(c) for c in (*l, *r))
-    if how == "left":
-        at = Window.partitionBy(*keys).orderBy(*l)
-        left = left.withColumn("_row", F.struct(*(F.col(k) for k in keys), F.row_number().over(at).alias("_n")))
     many_l = left.withColumn("_from_l", _bucket(la, width)).withColumn("_b", F.explode(F.sequence(_bucket(la, width), F.greatest(_bucket(la, width), _bucket(lb, width)))))
     many_r = right.withColumn("_from_r", _bucket(ra, width)).withColumn("_b", F.explode(F.sequence(_bucket(ra, width), F.greatest(_bucket(ra, width), _bucket(rb, width)))))
-    met = many_l.join(many_r, [*keys, "_b"]).filter((ra <= lb) & (rb >= la) & (F.col("_b") == F.greatest("_from_l", "_from_r"))).drop("_b", "_from_l", "_from_r")
-    if how == "inner":
-        return met
-    rest = met.select("_row", *(c for c in right.columns if c not in keys))
-    return left.join(rest, "_row", "left").drop("_row")
+    return many_l.join(many_r, [*keys, "_b"]).filter((ra <= lb) & (rb >= la) & (F.col("_b") == F.greatest("_from_l", "_from_r"))).drop("_b", "_from_l", "_from_r")
 
 
 def points_in_windows(grid: DataFrame, points: DataFrame, keys: Sequence[str], g: str, t: str, half: float) -> DataFrame:
