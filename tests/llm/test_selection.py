@@ -130,6 +130,17 @@ def test_resampled(spark, docs, longest, buckets, percent):
     assert Counter(tuple(r) for r in got.collect()) == +want, runs
 
 
+@pytest.mark.parametrize("longest", [1, 2])
+def test_resampled_in_many_blocks(spark, docs, longest, monkeypatch):
+    """Blocks of a few documents each give the rows that one block gives."""
+    target = spark.createDataFrame([("The thin hath née was reed",)], "text string")
+    whole = Counter(tuple(r) for r in importance.resampled(docs.coalesce(1), target, longest, 300).collect())
+    monkeypatch.setattr(importance, "BLOCK_BYTES", 900)
+    monkeypatch.setattr(importance, "SLICE_BYTES", 400)
+    assert importance.cut(docs.coalesce(1).selectExpr("doc_id", "coalesce(text, '') as text", "false as target")).select("block").distinct().count() > 10
+    assert Counter(tuple(r) for r in importance.resampled(docs.coalesce(1), target, longest, 300).collect()) == whole
+
+
 def test_resampled_of_nothing(spark, docs):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert importance.resampled(none, docs.select("text")).count() == 0
