@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandweave.operators import signal as S
 from strandweave.operators.similarity import best_separated
 from strandweave.plans.fixtures import SAMPLES_SQL, frames, samples, table
+from strandweave.session import materialised
 
 
 def _blocks(spark, sf_dir, size: int = 512):
@@ -90,7 +91,7 @@ def j10_embedding_surface(spark, sf_dir):
 
 
 def _values(spark, sf_dir):
-    return samples(spark, sf_dir).select("series", "i", F.col("x").alias("v"))
+    return materialised(samples(spark, sf_dir).select("series", "i", F.col("x").alias("v")))
 
 
 def j17_resampled(spark, sf_dir):
@@ -110,7 +111,7 @@ def j22_piecewise_warped(spark, sf_dir):
     names = s.select("series").distinct()
     curve = names.select("series", F.explode(F.array(*(F.struct(F.lit(float(t)).alias("t"), F.lit(sh).alias("shift")) for t, sh in ((0, 0.0), (4, 0.0213717193), (6, 0.1037193713), (9, 0.1037193713))))).alias("n")).select("series", "n.*")
     at = S.piecewise_places(s.select("series", "i"), curve, names.withColumn("tc", F.lit(5.0)), ["series"], 100.0)
-    return S.warped(s, at, ["series"]).select("series", "i", F.round("v", 4).alias("v"))
+    return S.warped(s, materialised(at), ["series"]).select("series", "i", F.round("v", 4).alias("v"))
 
 
 def j23_seam_silences(spark, sf_dir):

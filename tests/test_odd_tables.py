@@ -59,3 +59,40 @@ def test_mean_at_the_bound_hangs_on_no_split(spark, tmp_path, parts):
     folder = tmp_path / "split"
     spark.read.parquet(f"{tmp_path}/events.parquet").repartition(parts, "event_id").write.parquet(f"{folder}/events.parquet")
     assert [tuple(x) for x in QUERIES["b13_suspects"](spark, str(folder)).collect()] == want == [(5,)]
+
+
+def test_numbers_and_lines_over_many_stretches(spark, monkeypatch):
+    """Rows numbered and interpolated in stretches of five rows, none of them a whole series: nulls, nan and ends as in one window."""
+    import numpy as np
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from strandweave.operators import intervals, signal, windows
+
+    monkeypatch.setattr(windows, "STRETCH", 5)
+    r = np.random.default_rng(3)
+    rows = [("a" if k % 3 else None, None if k % 17 == 0 else int(r.integers(0, 400)) ** 2, k) for k in range(120)]
+    df = spark.createDataFrame(rows, "s string, x long, y long")
+    want = df.withColumn("i", F.row_number().over(Window.partitionBy("s").orderBy("x", "y")) - 1)
+    got = windows.numbered(df, ["s"], ["x", "y"])
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_cut" in plan
+
+    knots = [("a", float(x), float(y)) for x, y in zip(r.integers(-50, 50, 20), r.integers(0, 9, 20))] + [("b", 1.0, 4.0)]
+    probes = [("a", float(x)) for x in r.uniform(-80, 80, 60)] + [("a", None), ("a", float("nan")), ("a", float("inf")), ("a", -float("inf")), ("b", -3.0), ("b", 9.0), ("c", 1.0)]
+    p, k = spark.createDataFrame(probes, "s string, t double"), spark.createDataFrame(knots, "s string, kt double, kv double")
+    few = sorted(map(tuple, intervals.interpolated(p, k, ["s"]).collect()), key=repr)
+    monkeypatch.setattr(windows, "STRETCH", 10**6)
+    assert repr(few) == repr(sorted(map(tuple, intervals.interpolated(p, k, ["s"]).collect()), key=repr))
+    x, y = zip(*sorted({x: y for _, x, y in sorted(knots[:-1])}.items()))
+    for s, t, v in few:
+        if s == "a" and t is not None and np.isfinite(t):
+            assert abs(v - np.interp(t, x, y)) < 1e-12
+
+    grid = spark.createDataFrame([("a", i) for i in range(200)] + [("z", 7)], "s string, i long")
+    curve = spark.createDataFrame([("a", float(t), t % 7 / 10) for t in range(0, 20, 2)], "s string, t double, shift double")
+    cuts = spark.createDataFrame([("a", 3.0), ("a", 9.5), ("a", 9.7), ("a", 14.0)], "s string, tc double")
+    whole = sorted(map(tuple, signal.piecewise_places(grid, curve, cuts, ["s"], 10.0).collect()))
+    monkeypatch.setattr(windows, "STRETCH", 5)
+    assert whole == sorted(map(tuple, signal.piecewise_places(grid, curve, cuts, ["s"], 10.0).collect()))
