@@ -62,8 +62,11 @@ def windowed_chain(pairs: DataFrame, keys: Sequence[str], window: int = 8000, ov
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         d, r = p["dub"].to_numpy(), p["ref"].to_numpy()
-        seed, taken = None, {}
-        for a in range(0, int(d.max()) + 1, window - overlap):
+        seed, taken, step = None, {}, window - overlap
+        # the windows that hold a row, whatever the numbers; those from below 0 on begin at 0
+        low = np.maximum(0, -((window - 1 - d) // step))
+        held = np.unique(np.concatenate([low + k for k in range(-(-window // step))])) if len(d) else low
+        for a in (held[held * step <= d.max()] * step).tolist():
             m = (d >= a) & (d < a + window)
             if seed is not None:
                 m &= np.abs(r - d - seed) <= reach
@@ -270,11 +273,14 @@ def plateaus(lags: DataFrame, keys: Sequence[str], agree: float = 1.5, span: flo
         t, lag, conf = (p[c].to_numpy(float) for c in ("t", "lag", "conf"))
         middle = lambda r: K.weighted_median(lag[r], conf[r])
         runs: list[list[int]] = []
+        so_far = K.RunningMedian(lag, conf)
         for i in range(len(t)):
-            if runs and abs(lag[i] - middle(runs[-1])) <= agree:
+            if runs and abs(lag[i] - so_far.median()) <= agree:
                 runs[-1].append(i)
             else:
                 runs.append([i])
+                so_far.clear()
+            so_far.add(i)
         joined: list[list[int]] = []
         for r in runs:
             if t[r[-1]] - t[r[0]] < span:
