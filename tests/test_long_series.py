@@ -60,3 +60,16 @@ def test_queues_are_folded_as_they_stream(spark):
             busy = sorted(busy)[1 if len(busy) == 2 else 0 :] + [began + lasts]
             floor = began
             assert got[(q, job)] == (began, began + lasts)
+
+
+def test_blocks_meet_without_a_broadcast(spark, monkeypatch):
+    """Ref's blocks go to every lane: as a broadcast they'd pass the driver that many times."""
+    from strandweave.operators import similarity
+
+    plans, real = [], similarity.materialised
+    monkeypatch.setattr(similarity, "materialised", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    rows = [(1, k, [float(k % 7), 1.0, float(k % 3)]) for k in range(40)]
+    f = spark.createDataFrame(rows, "pair int, frame long, vec array<double>")
+    assert similarity.best_separated(f, f, ["pair"], thin=1, apart=2, least=0.0, margin=-3.0, block=8).count() == 40
+    met = [p for p in plans if "lane" in p]
+    assert met and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in met)
