@@ -190,26 +190,66 @@ def total_variation(y: np.ndarray, strength: float) -> np.ndarray:
     return out
 
 
+#: Rows of a block of earlier cuts, and blocks of a group, that `segments` rules out by one bound.
+_BLOCK, _GROUP = 128, 64
+
+
 def segments(t: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float, least: int) -> list[tuple[int, int]]:
-    """Optimal partition into weighted least-squares lines of at least `least` rows, each costing `penalty`."""
+    """Optimal partition into weighted least-squares lines of at least `least` rows (the first may be shorter), each costing `penalty`.
+
+    A line's error is never less than that of its parts together. So no earlier cut i of a block that ends at b gives row j less than min(best[i] + error(i, b)) + penalty + error(b, j), and the
+    block goes unread where that exceeds what a known cut gives; groups of blocks likewise. `least` rows at a time, as they don't hang on one another.
+    """
     n = len(t)
     if n == 0:
         return []
     t = t - t.mean()
-    sums = [np.concatenate([[0.0], np.cumsum(v)]) for v in (w, w * t, w * y, w * t * t, w * t * y, w * y * y)]
-    best, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-    best[0] = -penalty
-    for j in range(1, n + 1):
-        i = np.arange(0, j - least + 1) if j >= least else np.array([0])
-        s, st, sy, stt, sty, syy = (v[j] - v[i] for v in sums)
+    sums = np.stack([np.concatenate([[0.0], np.cumsum(v)]) for v in (w, w * t, w * y, w * t * t, w * t * y, w * y * y)], 1)
+
+    def error(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        s, st, sy, stt, sty, syy = np.moveaxis(sums[j] - sums[i], -1, 0)
         det = s * stt - st * st
         with np.errstate(divide="ignore", invalid="ignore"):
             slope = np.where(det > 1e-12, (s * sty - st * sy) / det, 0.0)
             level = np.where(s > 0, (sy - slope * st) / s, 0.0)
-        error = np.maximum(syy - slope * sty - level * sy, 0.0)
-        total = best[i] + penalty + error
-        k = int(total.argmin())
-        best[j], cut[j] = total[k], i[k]
+        return np.maximum(syy - slope * sty - level * sy, 0.0)
+
+    best, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+    best[0] = -penalty
+    first = np.arange(1, min(n, max(least, 1) - 1) + 1)
+    best[first] = best[0] + penalty + error(np.zeros(1, np.int64), first)
+    # more than what rounding of the sums moves a bound by; with weights below zero it is none
+    slack = np.inf if (w < 0).any() else 1e-3 * abs(penalty) + 1e-9 * sums[-1, 5]
+    step, low, low_group = max(least, 1), [], []
+    for p in range(step, n + 1, step):
+        j = np.arange(p, min(p + step, n + 1))
+        done = max(0, (p - least + 1) // _BLOCK)  # blocks whose cuts all rows of j may take
+        while len(low) < done:
+            b = (len(low) + 1) * _BLOCK - 1
+            low.append((best[b - _BLOCK + 1 : b + 1] + error(np.arange(b - _BLOCK + 1, b + 1), b)).min())
+            if len(low) % _GROUP == 0:
+                ends = np.arange(len(low) - _GROUP + 1, len(low) + 1) * _BLOCK - 1
+                low_group.append((np.array(low[-_GROUP:]) + error(ends, b)).min())
+        given = np.unique(cut[max(0, p - step) : p])
+        given = given[given <= p - least]
+        bound = (best[given, None] + penalty + error(given[:, None], j)).min(0) + slack if len(given) else np.full(len(j), np.inf)
+        groups = np.arange(len(low_group))
+        ends = (groups + 1) * _GROUP * _BLOCK - 1
+        open_ = ~(np.array(low_group)[:, None] + penalty + error(ends[:, None], j) > bound).all(1) if len(groups) else np.zeros(0, bool)
+        blocks = np.concatenate([(groups[open_, None] * _GROUP + np.arange(_GROUP)).ravel(), np.arange(len(groups) * _GROUP, done)])
+        ends = (blocks + 1) * _BLOCK - 1
+        if len(blocks):
+            blocks = blocks[~(np.array([low[k] for k in blocks])[:, None] + penalty + error(ends[:, None], j) > bound).all(1)]
+        i = np.concatenate([(blocks[:, None] * _BLOCK + np.arange(_BLOCK)).ravel(), np.arange(done * _BLOCK, max(j[-1] - least, 0) + 1)])
+        left, least_of = np.full(len(j), np.inf), np.zeros(len(j), np.int64)
+        for at in range(0, len(i), 8 * _BLOCK * _GROUP):  # bounded, should nothing be ruled out
+            part = i[at : at + 8 * _BLOCK * _GROUP, None]
+            total = np.where(part <= np.maximum(j - least, 0), best[part] + penalty + error(part, j), np.inf)
+            k = total.argmin(0)
+            now = total[k, np.arange(len(j))]
+            less = (now < left) | (np.isnan(now) & ~np.isnan(left))
+            left, least_of = np.where(less, now, left), np.where(less, part[k, 0], least_of)
+        best[j], cut[j] = left, least_of
     out, j = [], n
     while j > 0:
         out.append((int(cut[j]), j))
