@@ -41,7 +41,7 @@ def j3_band_edges(spark, sf_dir):
 
 
 def _shifted(spark, sf_dir, by: int):
-    e = _envelopes(spark, sf_dir)
+    e = materialised(_envelopes(spark, sf_dir))
     return e, e.withColumn("frame", F.col("frame") + by)
 
 

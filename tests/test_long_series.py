@@ -119,3 +119,23 @@ def test_segments_of_a_long_series():
     got = K.segments(t, np.floor(t / 10) * 60 + r.exponential(50, n) / 40, (r.integers(0, 100, n) / 50) ** 3, 5000.0, 40)
     assert time.time() - began < 40  # all earlier cuts of each row: 4,000 million lines
     assert [j for _, j in got] == [*np.searchsorted(t, (10, 20)), n]
+
+
+def test_searches_ship_no_block_a_window(spark):
+    """Many windows meet a tile of blocks at once; the places are those of a plain search, the earliest of equals."""
+    from strandweave.operators import signal
+
+    rng = np.random.default_rng(6)
+    once = rng.normal(size=(70, 2))
+    x = np.concatenate([once, once, np.zeros((20, 2)), rng.normal(size=(40, 2))])
+    table = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "s string, frame long, bands array<double>")
+    nodes = spark.createDataFrame([("a", n) for n in range(6, 190, 7)], "s string, node long")
+    for block in (4, 4096):
+        lags = signal.whole_length_lags(table, table, nodes, ["s"], 5, block)
+        got = {r.node: r.lag for r in lags.collect()}
+        assert got == {n: float((-70 if 75 <= n < 135 else 0) if not 145 <= n < 155 else 5 - n) for n in range(6, 190, 7)}
+        points = {r.node: (r["at"], r.margin) for r in signal.found_points(table, table, nodes, ["s"], 5, 3, block).collect()}
+        assert all(at == n + got[n] for n, (at, _) in points.items())
+        assert all(abs(m) < 1e-12 for n, (_, m) in points.items() if n < 65 or 75 <= n < 135)
+    plan = lags._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInPandas" not in plan
