@@ -139,3 +139,20 @@ def test_searches_ship_no_block_a_window(spark):
         assert all(abs(m) < 1e-12 for n, (_, m) in points.items() if n < 65 or 75 <= n < 135)
     plan = lags._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "MapInPandas" not in plan
+
+
+def test_chunks_give_the_cosines_of_their_matches(spark):
+    """The chunk that has both vectors says their cosine: no join brings vectors to the matches again. Frames without a draft line have no match."""
+    from strandweave.operators import similarity
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(260, 5))
+    table = lambda v, first=0: spark.createDataFrame([("a", first + i, y.tolist()) for i, y in enumerate(v)], "s string, frame long, vec array<double>")
+    dub, ref = table(np.concatenate([x[:90], np.zeros((1, 5)), x[120:]])), table(x)
+    line = dub.filter("frame % 50 <> 7").selectExpr("s", "frame as dub", "cast(if(frame > 90, 29, 0) as long) as off")
+    got = sequences.align_chunks(dub, ref, line, ["s"], chunk=80, overlap=20, margin=16, cosines=True)
+    assert got.filter("dub % 50 = 7").count() == 0 and got.count() == line.count()
+    want = {(r.dub, r.ref): r.cos for r in similarity.assigned_cosine(got.drop("cos"), dub, ref, ["s"]).collect()}
+    rows = {(r.dub, r.ref): r.cos for r in got.filter("ref is not null").collect()}
+    assert len(rows) > 200 and rows == want
+    assert {(r.dub, r.ref) for r in sequences.align_chunks(dub, ref, line, ["s"], chunk=80, overlap=20, margin=16).collect()} == {(r.dub, r.ref) for r in got.collect()}
