@@ -156,3 +156,20 @@ def test_chunks_give_the_cosines_of_their_matches(spark):
     rows = {(r.dub, r.ref): r.cos for r in got.filter("ref is not null").collect()}
     assert len(rows) > 200 and rows == want
     assert {(r.dub, r.ref) for r in sequences.align_chunks(dub, ref, line, ["s"], chunk=80, overlap=20, margin=16).collect()} == {(r.dub, r.ref) for r in got.collect()}
+
+
+def test_nearest_of_both_sides_by_tiles(spark, monkeypatch):
+    """One meeting of tiles serves both ways, however many tiles there are; the earlier of equals."""
+    from strandweave.operators import similarity
+
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(50, 4)), rng.normal(size=(37, 4))
+    y[30], x[41] = y[5], x[2]
+    table = lambda v: spark.createDataFrame([(1, i, z.tolist()) for i, z in enumerate(v)], "pair int, frame long, vec array<double>")
+    unit = lambda v: v / np.sqrt((v * v).sum(1, keepdims=True))
+    c = np.round(unit(x) @ unit(y).T, 12)
+    for size in (1, 16 << 20):
+        monkeypatch.setattr(similarity, "TILE", size)
+        ahead, back = similarity.nearest_both(table(x), table(y), ["pair"], block=8)
+        assert {r.dub: r.ref for r in ahead.collect()} == dict(enumerate(c.argmax(1)))
+        assert {r.ref: (r.dub, round(r.cos, 9)) for r in back.collect()} == {j: (c[:, j].argmax(), round(c[:, j].max(), 9)) for j in range(37)}
