@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from strandweave.operators import jobs, sequences
 from strandweave.operators import kernels as K
@@ -173,3 +174,24 @@ def test_nearest_of_both_sides_by_tiles(spark, monkeypatch):
         ahead, back = similarity.nearest_both(table(x), table(y), ["pair"], block=8)
         assert {r.dub: r.ref for r in ahead.collect()} == dict(enumerate(c.argmax(1)))
         assert {r.ref: (r.dub, round(r.cos, 9)) for r in back.collect()} == {j: (c[:, j].argmax(), round(c[:, j].max(), 9)) for j in range(37)}
+
+
+def test_edge_cuts_meet_no_point_twice(spark, monkeypatch):
+    """Both sides of every point tried, by sums over parts of the points: the steps of joint_levels, which meets each window with all its points."""
+    from strandweave.operators import cuts
+
+    r = np.random.default_rng(10)
+    rows = [(s, float(np.round(t, 2)), float(60 * (t > 3) + 5 * t * (s == "b") + r.normal()), float(r.integers(0, 3))) for s in "ab" for t in 1e6 * (s == "b") + np.sort(r.uniform(0, 20, 150))]
+    points = spark.createDataFrame(rows, "s string, t double, o double, w double")
+    line = points.groupBy("s").agg(F.min("t").alias("t_lo"), F.max("t").alias("t_hi")).withColumn("_a", F.col("t_lo") + 1).withColumn("_z", F.col("t_lo") + 6)
+    tried = points.select("s", F.col("t").alias("tc")).distinct().join(line, "s").filter(F.col("tc").between(F.col("_a"), F.col("_z")))
+    sides = cuts._sides(tried, ["s"], (F.col("t_lo"), F.col("tc")), (F.col("tc"), F.col("t_hi")))
+    want = {(x.s, x.tc): x.step for x in cuts._steps(cuts.joint_levels(sides, points, ["s"], 3.0, 60.0), ["s"]).collect()}
+    monkeypatch.setattr(cuts, "overlap_join", None)
+    for n, m in ((1 << 16, 1 << 11), (40, 7)):
+        monkeypatch.setattr(cuts, "_POINTS", n)
+        monkeypatch.setattr(cuts, "_TRIED", m)
+        got = {(x.s, x.tc): x.step for x in cuts._whole_steps(line, points, ["s"], 3.0).collect()}
+        assert got.keys() == want.keys() and len(got) > 40 and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+    best = {x.s: x.tc for x in cuts.edge_cuts(line.select("s", "t_lo", "t_hi"), points, ["s"], False, 6.0, 1.0, 3.0, 3.0).collect()}
+    assert best == {s: max((k for k in got if k[0] == s), key=lambda k: (abs(got[k]), -k[1]))[1] for s in "ab"}
