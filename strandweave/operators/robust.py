@@ -159,7 +159,10 @@ def whitened(frames: DataFrame, reference: DataFrame, vec: str = "vec", eps: flo
 
 def z_normalised(frames: DataFrame, keys: Sequence[str], value: str = "value", eps: float = 1e-6) -> DataFrame:
     """frames with value less its mean over its sample deviation (plus eps), per keys."""
-    stats = frames.groupBy(*keys).agg(F.avg(value).alias("_m"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("_s"))
+    from strandweave.session import materialised
+
+    # two numbers a series, stored so that the planner sees how small they are: else each series' rows are sorted in one task to meet them
+    stats = materialised(frames.groupBy(*keys).agg(F.avg(value).alias("_m"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("_s")))
     return frames.join(stats, list(keys)).withColumn(value, (F.col(value) - F.col("_m")) / (F.col("_s") + eps)).drop("_m", "_s")
 
 

@@ -195,3 +195,14 @@ def test_edge_cuts_meet_no_point_twice(spark, monkeypatch):
         assert got.keys() == want.keys() and len(got) > 40 and all(abs(got[k] - want[k]) < 1e-6 for k in got)
     best = {x.s: x.tc for x in cuts.edge_cuts(line.select("s", "t_lo", "t_hi"), points, ["s"], False, 6.0, 1.0, 3.0, 3.0).collect()}
     assert best == {s: max((k for k in got if k[0] == s), key=lambda k: (abs(got[k]), -k[1]))[1] for s in "ab"}
+
+
+def test_rows_meet_their_series_figures_by_a_broadcast(spark):
+    """Two numbers a series: sorting the rows by series for them made each series one task."""
+    from strandweave.operators import robust
+
+    big = spark.range(2_000_000).select((F.col("id") % 3).alias("s"), F.col("id").alias("i"), (F.col("id") % 11).cast("double").alias("value"))
+    got = robust.z_normalised(big, ["s"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert abs(got.agg(F.avg("value")).first()[0]) < 1e-9
