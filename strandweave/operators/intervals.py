@@ -17,12 +17,15 @@ def _bucket(x: Column, width: float) -> Column:
     return F.floor(x / F.lit(width)).cast("bigint")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], l: tuple[str, str], r: tuple[str, str], width: float) -> DataFrame:  # noqa: E741
-    """Pairs of rows whose closed ranges l of left and r of right overlap; right's columns must differ from left's but for keys, and none may be named _b, _from_l or _from_r."""
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], l: tuple[str, str], r: tuple[str, str], width: float, many: bool = False) -> DataFrame:  # noqa: E741
+    """Pairs of rows whose closed ranges l of left and r of right overlap; right's columns must differ from left's but for keys, and none may be named _b, _from_l or _from_r.
+
+    many: both sides are large, though the planner may see less, as where rows were just exploded to many; none is broadcast then.
+    """
     la, lb, ra, rb = (F.col(c) for c in (*l, *r))
     many_l = left.withColumn("_from_l", _bucket(la, width)).withColumn("_b", F.explode(F.sequence(_bucket(la, width), F.greatest(_bucket(la, width), _bucket(lb, width)))))
     many_r = right.withColumn("_from_r", _bucket(ra, width)).withColumn("_b", F.explode(F.sequence(_bucket(ra, width), F.greatest(_bucket(ra, width), _bucket(rb, width)))))
-    return many_l.join(many_r, [*keys, "_b"]).filter((ra <= lb) & (rb >= la) & (F.col("_b") == F.greatest("_from_l", "_from_r"))).drop("_b", "_from_l", "_from_r")
+    return (many_l.hint("merge") if many else many_l).join(many_r, [*keys, "_b"]).filter((ra <= lb) & (rb >= la) & (F.col("_b") == F.greatest("_from_l", "_from_r"))).drop("_b", "_from_l", "_from_r")
 
 
 def points_in_windows(grid: DataFrame, points: DataFrame, keys: Sequence[str], g: str, t: str, half: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.operators.intervals import interpolated, overlap_join, uncovered_gaps
+from strandweave.session import materialised
 
 
 def refined_jumps(boundaries: DataFrame, ref: DataFrame, dub: DataFrame, keys: Sequence[str], smooth: int) -> DataFrame:
@@ -45,8 +46,8 @@ def ranges(plateaus: DataFrame, starts: DataFrame, lengths: DataFrame, keys: Seq
 def offsets(ranges_: DataFrame, grid: DataFrame, keys: Sequence[str], rate: float, width: float = 60.0) -> DataFrame:
     """(keys, t, off0): on a grid (keys, t) the offset in frames of the range [a, b) that holds t, the later plateau's where several do; between ranges interpolated, held beyond them."""
     keys = list(keys)
-    met = overlap_join(grid.select(*keys, "t", F.col("t").alias("_t2")), ranges_.select(*keys, "k", "a", "b", "lag"), keys, ("t", "_t2"), ("a", "b"), width).filter(F.col("t") < F.col("b"))
-    known = met.groupBy(*keys, "t").agg((-F.max_by("lag", "k") * rate).alias("kv"))
+    met = overlap_join(grid.select(*keys, "t", F.col("t").alias("_t2")), ranges_.select(*keys, "k", "a", "b", "lag"), keys, ("t", "_t2"), ("a", "b"), width, many=True).filter(F.col("t") < F.col("b"))
+    known = materialised(met.groupBy(*keys, "t").agg((-F.max_by("lag", "k") * rate).alias("kv")))
     return interpolated(grid.select(*keys, "t"), known.withColumnRenamed("t", "kt"), keys, "t", out="off0")
 
 

@@ -91,3 +91,20 @@ def test_robust_line_recovers(spark):
     rows = spark.range(200).select(F.lit("s").alias("series"), F.col("id").cast("double").alias("t"), (F.col("id") * 0.5 + 3 + F.when(F.col("id") % 50 == 0, 400).otherwise(0)).alias("o"), F.lit(1.0).alias("w"))
     got = robust.robust_line(rows, ["series"], passes=4).first()
     assert abs(got.a - 0.5) < 0.05 and abs(got.b - 3) < 6
+
+
+def test_offsets_broadcast_no_grid(spark):
+    """A grid of few bytes a series and many rows: it isn't sent through the driver, whatever the planner takes it for."""
+    from strandweave.operators import structure
+
+    before = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")
+    try:
+        lengths = spark.range(3000).select(F.col("id").alias("s")).repartition(4, "s").groupBy("s").agg(F.max(F.lit(30.0)).alias("length"))
+        grid = lengths.select("s", F.explode(F.expr("transform(sequence(0, 239), x -> x / 8D)")).alias("t"))
+        ranges = lengths.select("s", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(10.0 * k).alias("a"), F.lit(10.0 * k + 8).alias("b"), F.lit(float(k)).alias("lag")) for k in range(3)))).alias("r")).select("s", "r.*")
+        got = structure.offsets(ranges, grid, ["s"], 24.0, 4.0).groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.min("off0").alias("lo"), F.max("off0").alias("hi")).collect()
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", before)
+    assert len(got) == 240 and all(r.n == 3000 and r.lo == r.hi for r in got)
+    assert {r.t: r.lo for r in got}[7.875] == 0 and {r.t: r.lo for r in got}[10.0] == -24 and {r.t: r.lo for r in got}[29.0] == -48
