@@ -206,3 +206,24 @@ def test_rows_meet_their_series_figures_by_a_broadcast(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert abs(got.agg(F.avg("value")).first()[0]) < 1e-9
+
+
+def test_edge_cuts_fit_only_what_may_be_the_largest(spark, monkeypatch):
+    """Of the cuts of a zone those whose sides' means rule them out aren't fitted, over many stretches; weights below zero, nan and none at all rule out nothing that fitting all of them finds."""
+    from strandweave.operators import cuts, windows
+
+    monkeypatch.setattr(windows, "STRETCH", 50)
+    r = np.random.default_rng(4)
+    step = {"a": 60.0, "b": 0.0, "c": 60.0, "d": 60.0, "e": 9.0}
+    rows = [(s, 5e5 + float(np.round(t, 2)), float(step[s] * (t > 3) + r.normal()), float(r.integers(0, 3)) * (s != "d")) for s in step for t in np.sort(r.uniform(0, 20, 200))]
+    rows = [(s, t, o, -0.5 if s == "c" and k % 50 == 7 else w) for k, (s, t, o, w) in enumerate(rows)] + [("e", 5e5 + 12.0, float("nan"), 0.5)]
+    points = spark.createDataFrame(rows, "s string, t double, o double, w double")
+    lines = points.groupBy("s").agg(F.min("t").alias("t_lo"), F.max("t").alias("t_hi"))
+    whole, likely, tried = cuts._whole_steps, cuts._likely, []
+    monkeypatch.setattr(cuts, "_likely", lambda *a: tried.append(likely(*a)) or tried[-1])
+    found = lambda: sorted(map(repr, cuts.edge_cuts(lines, points, ["s"], False, 8.0, 1.0, 20.0, 0.3).collect()))
+    got = found()
+    monkeypatch.setattr(cuts, "_whole_steps", lambda *a, small: whole(*a))
+    assert got == found() and len(got) >= 3 and len(tried) == 1
+    n = {x.s: x["count"] for x in tried[0].groupBy("s").count().collect()}
+    assert n["a"] < 30 and n["d"] < 30 and "b" not in n and n["c"] > 50
