@@ -227,3 +227,26 @@ def test_edge_cuts_fit_only_what_may_be_the_largest(spark, monkeypatch):
     assert got == found() and len(got) >= 3 and len(tried) == 1
     n = {x.s: x["count"] for x in tried[0].groupBy("s").count().collect()}
     assert n["a"] < 30 and n["d"] < 30 and "b" not in n and n["c"] > 50
+
+
+def test_windowed_lags_go_by_blocks(spark, monkeypatch):
+    """Frames meet blocks of nodes, not each node: the same lags whatever the block, with holes, nodes beside the sound and series with one side alone."""
+    from strandweave.operators import signal
+
+    monkeypatch.setattr(signal, "overlap_join", None)
+    r = np.random.default_rng(6)
+    x = r.normal(size=(400, 3))
+    frames = lambda s, at, by: [(s, int(i) + by, x[i].tolist()) for i in at]
+    table = lambda rows: spark.createDataFrame(rows, "s string, frame long, bands array<double>")
+    ref = table(frames("a", [i for i in range(400) if not 120 < i < 170], -50) + frames("b", range(30), 0))
+    dub = table(frames("a", range(400), -47) + frames("c", range(30), 0))
+    nodes = spark.createDataFrame([("a", n) for n in range(-90, 420, 7)] + [("a", 6), ("b", 10), ("c", 10), ("d", 10), (None, 10)], "s string, node long")
+    got = []
+    for block in (1, 1 << 20):
+        monkeypatch.setattr(signal, "BLOCK", block)
+        got.append({(y.s, y.node): (y.lag, y.quality) for y in signal.windowed_lags(ref, dub, nodes, ["s"], 10, 5).collect()})
+    assert repr(sorted(got[0].items())) == repr(sorted(got[1].items()))
+    one = got[0]
+    assert {k for k in one if k[0] != "a"} == {("b", 10), ("c", 10)} and all(one[k] == (None, 0) for k in one if k[0] != "a")
+    assert {n for s, n in one if s == "a"} == {n for n in [*range(-90, 420, 7), 6] if -65 <= n <= 367}
+    assert all(one["a", n][0] == 3 for n in range(-34, 50, 7))
