@@ -74,7 +74,8 @@ def links(fps: DataFrame, crowded: int = 64) -> DataFrame:
     keys = fps.repartition(parts, F.xxhash64("fp")).select("fp", F.expr(point).alias("point"), F.expr(f"explode(array(0L, {up}, {down}))").alias("step")).filter("step is not null")
     keys = keys.select("fp", F.expr("point + step").alias("cell"))
     cells = keys.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = stored(keys.join(cells, "cell"), "simhash-cells")
+    # merged: the planner sees the size of fps, not the rows that it was just exploded to, and would broadcast them by way of the driver
+    met = stored(keys.join(cells.hint("merge"), "cell"), "simhash-cells")
 
     few = met.filter(F.col("n") <= crowded).groupBy("cell").agg(F.sort_array(F.collect_list("fp")).alias("f"))
     within = "filter(slice(f, i + 2, size(f)), y -> bit_count(f[i] ^ y) <= 2)"
@@ -84,7 +85,7 @@ def links(fps: DataFrame, crowded: int = 64) -> DataFrame:
     near = ", ".join(["fp", *(f"fp ^ shiftleft(1L, {i})" for i in range(64))])
     many = many.select("fp", F.expr(f"explode(array({near}))").alias("centre"))
     least = many.groupBy("centre").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).filter("a < top").drop("top")
-    many = many.join(least, "centre").filter("a <> fp").select("a", F.col("fp").alias("b"))
+    many = many.join(least.hint("merge"), "centre").filter("a <> fp").select("a", F.col("fp").alias("b"))
     return few.unionByName(many).distinct()
 
 

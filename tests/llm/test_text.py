@@ -183,6 +183,16 @@ def test_simhash_components(spark, nothing, crowded):
     assert roots(signed, got) == roots(signed, true)
 
 
+def test_simhash_broadcasts_no_exploded_rows(spark, monkeypatch, tmp_path):
+    """The planner takes rows exploded to 33 cells and 65 neighbours to be as small as the fingerprints that they come from."""
+    written = []
+    monkeypatch.setattr(simhash, "stored", lambda df, name, keep=False: written.append(df) or df)
+    spark.createDataFrame([(1,), (3,), (1 << 40,)], "fp long").write.parquet(f"{tmp_path}/fp")
+    got = simhash.links(spark.read.parquet(f"{tmp_path}/fp"), 1)
+    for df in [*written, got]:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_documents(docs, nothing):
     rows = docs.filter("doc_id is not null").collect()
     fp = {(r.doc_id, r.text): plain_fingerprint(r.text or "") for r in rows}
