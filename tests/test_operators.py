@@ -108,3 +108,23 @@ def test_offsets_broadcast_no_grid(spark):
         spark.conf.set("spark.sql.maxBroadcastTableSize", before)
     assert len(got) == 240 and all(r.n == 3000 and r.lo == r.hi for r in got)
     assert {r.t: r.lo for r in got}[7.875] == 0 and {r.t: r.lo for r in got}[10.0] == -24 and {r.t: r.lo for r in got}[29.0] == -48
+
+
+def test_exact_medians_hold_no_series(spark, monkeypatch, tmp_path):
+    """Few parts, values that crowd in one, no numbers, nan and infinite ones, a null key: as F.percentile has them, without its map of all values."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from strandweave.operators import robust
+
+    monkeypatch.setattr(robust, "BINS", 4)
+    r, inf = random.Random(1), float("inf")
+    rows = [("a", r.gauss(0, 1) * 10 ** r.randrange(9), r.randrange(5)) for _ in range(300)]
+    rows += [(None, r.random(), None if k % 3 else k) for k in range(41)] + [("b", x, None) for x in (1e308, -1e308, 3.0, 5e-324)] + [("c", None, None)]
+    rows += [("d", x, 7) for x in (inf, -inf, float("nan"), 2.0, inf)] + [("e", x, 7) for x in (-inf, -inf, 1.0, 1.0)] + [("f", float("nan"), 0), ("f", 1.0, 1)]
+    df = spark.createDataFrame(rows, "s string, x double, y long")
+    got = robust.medians(df, ["s"], ["x", "y"])
+    want = df.groupBy("s").agg(F.percentile("x", 0.5).alias("x"), F.percentile("y", 0.5).alias("y"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "percentile(" not in robust.consensus(df, ["s"], ["x", "y"])._jdf.queryExecution().executedPlan().toString()
