@@ -93,3 +93,33 @@ def test_classified_against_counts(spark):
         elif n / (j - i) >= 2 and length >= 0.8:
             want[s, round(tc, 6)] = ("insertion", None, length)
     assert got == want and {k for k, _, _ in got.values()} == {"excision", "insertion"}
+
+
+def test_descriptors_made_in_their_chunks(spark, monkeypatch):
+    """As from descriptors made before, with missing frames, groups of two chunks and a longer dub: frames are shuffled, descriptors aren't."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sequences, "GROUP", 100)
+    rng = np.random.default_rng(4)
+    x = smooth(rng, 900, 4)
+    gone = {*range(300, 345), *rng.choice(900, 60).tolist()}
+    made = lambda rows: spark.createDataFrame(rows, "s string, frame long, bands array<double>")
+    ref, dub = made([("a", i, v.tolist()) for i, v in enumerate(x) if i not in gone]), made([("a", i + 16 * (i > 400), v.tolist()) for i, v in enumerate(np.concatenate([x, x[:40]]))])
+    r, d = (events.descriptors(e, ["s"], 4.0, 3.0, 0.5, 6) for e in (ref, dub))
+    assert all(sorted(map(tuple, events.numbers(e, ["s"], 12, 2).collect())) == sorted(map(tuple, v.select("s", "frame").collect())) for e, v in ((ref, r), (dub, d)))
+    of = events.means(r, ["s"]).first()
+    white = lambda v: v.withColumn("vec", F.zip_with(F.zip_with("vec", F.array(*map(F.lit, of["mean"])), lambda a, m: a - m), F.array(*map(F.lit, of["deviation"])), lambda a, s: a / (s + 1e-6)))
+    last = r.agg(F.max("frame")).first()[0]
+    line = d.select("s", F.col("frame").alias("dub"), (F.least("frame", F.lit(last)) - F.col("frame")).alias("off"))
+    how = {"chunk": 60, "overlap": 20, "margin": 30, "costs": (0.20, 0.02, 0.20), "threshold": 0.15, "amerce": 0.04, "prior": (2.0, 0.20, 0.40, 40)}
+    want = sequences.align_chunks(white(d), white(r), line, ["s"], cosines=True, **how).collect()
+
+    def describe(f, x, n, given):
+        from strandweave.operators import signal
+
+        there, vec = signal.described(f.astype(float), x, n * 2 + 12, 12, 6)
+        return (there - 12) // 2, (vec - np.asarray(given["mean"])) / (np.asarray(given["deviation"]) + 1e-6)
+
+    given = spark.createDataFrame([("a", last, of["mean"], of["deviation"])], "s string, last long, mean array<double>, deviation array<double>")
+    got = sequences.align_described(dub, ref, line, given, ["s"], 12, 2, describe, **how)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want), key=repr) and len(want) > 400
