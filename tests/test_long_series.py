@@ -250,3 +250,18 @@ def test_windowed_lags_go_by_blocks(spark, monkeypatch):
     assert {k for k in one if k[0] != "a"} == {("b", 10), ("c", 10)} and all(one[k] == (None, 0) for k in one if k[0] != "a")
     assert {n for s, n in one if s == "a"} == {n for n in [*range(-90, 420, 7), 6] if -65 <= n <= 367}
     assert all(one["a", n][0] == 3 for n in range(-34, 50, 7))
+
+
+def test_windows_go_to_few_tiles(spark):
+    """However small the blocks, a window is copied to eight tiles at most; the best places are those of one tile."""
+    from strandweave.operators import signal
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 2))
+    table = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "s string, frame long, bands array<double>")
+    nodes = table.filter("frame % 300 = 100").selectExpr("s", "frame as node")
+    windows = signal._around(table, nodes, ["s"], 5)
+    got = [signal._searched(windows, table, ["s"], 11, block, True).collect() for block in (8, 3000)]
+    assert 2 <= len(got[0]) / 10 <= 8 and len(got[1]) == 10
+    best = lambda rows: {n: max((r.peak, -r["at"]) for r in rows if r.node == n) for n in {r.node for r in rows}}
+    assert best(got[0]) == best(got[1])
