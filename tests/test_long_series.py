@@ -265,3 +265,25 @@ def test_windows_go_to_few_tiles(spark):
     assert 2 <= len(got[0]) / 10 <= 8 and len(got[1]) == 10
     best = lambda rows: {n: max((r.peak, -r["at"]) for r in rows if r.node == n) for n in {r.node for r in rows}}
     assert best(got[0]) == best(got[1])
+
+
+def test_equal_points_of_edge_cuts_are_one(spark, monkeypatch):
+    """Rows that come forty times cost what they cost once; the cut is that of a plain search over all of them."""
+    from strandweave.operators import cuts
+
+    r = np.random.default_rng(12)
+    t = np.sort(r.uniform(0, 40, 120))
+    once = [("a", float(x), float((x > 8) * 9 + r.normal()), float(r.integers(0, 3))) for x in t]
+    made = lambda rows: spark.createDataFrame(rows, "s string, t double, o double, w double")
+    line = spark.createDataFrame([("a", float(t[0]), float(t[-1]))], "s string, t_lo double, t_hi double")
+    likely, seen = cuts._likely, []
+    monkeypatch.setattr(cuts, "_likely", lambda p, *a: seen.append(p.count()) or likely(p, *a))
+    got = [cuts.edge_cuts(line, p, ["s"], False).collect() for p in (made(once * 40), made([(s, x, o, 40 * w) for s, x, o, w in once]))]
+    assert seen == [120, 120]
+    assert len(got[0]) == 1 and got[0][0].tc == got[1][0].tc and abs(got[0][0].v - got[1][0].v) < 1e-9
+    at = made(once * 40).groupBy("s", "t").count().filter("t between 2 and 16").selectExpr("s", "t as tc")
+    ends = at.crossJoin(line.drop("s"))
+    sides = ends.selectExpr("s", "tc", "'before' as side", "t_lo as lo", "tc as hi").union(ends.selectExpr("s", "tc", "'after'", "tc", "t_hi"))
+    steps = cuts._steps(cuts.joint_levels(sides, made(once * 40), ["s"], 0.3, 50.0), ["s"])
+    best = max(steps.filter(F.col("tc").between(float(t[0]) + 2.5, float(t[0]) + 15)).collect(), key=lambda x: (abs(x.step), -x.tc))
+    assert best.tc == got[0][0].tc and abs(best.step - got[0][0].v) < 1e-6
